@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, chat, exact_dedup, license_scan, mixing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
     "op2_token_counts": token_counts.query,
+    "op3_mixing": mixing.query,
+    "op5_license_scan": license_scan.query,
+    "op6_exact_dedup": exact_dedup.query,
+    "op9_chat_format": chat.query,
+}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op9_chat_format": chat.SQL,
 }
-ORACLES: dict[str, str] = {}

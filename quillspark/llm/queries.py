@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, license_scan, mixing, token_counts
+from . import bpe, chat, exact_dedup, license_scan, mixing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
@@ -14,10 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.query,
     "op5_license_scan": license_scan.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_quality": quality.query,
     "op9_chat_format": chat.query,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op7_quality": quality.query,
     "op9_chat_format": chat.SQL,
 }

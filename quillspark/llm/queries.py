@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, license_scan, mixing, quality, token_counts
+from . import bpe, chat, exact_dedup, license_scan, mixing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_quality": quality.query,
     "op9_chat_format": chat.query,
+    "op10_personal_data": pii.query,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.SQL,

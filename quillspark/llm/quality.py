@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytespans import span_hashes, steps_of, word_spans
 from .common import fresh, text_or_empty
 
 #: The fit's bound: at most so many labelled rows, those with the least hash of doc_id.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
 SHRINK_POOLED, SHRINK_DIAGONAL = 0.1, 0.05
-STEP_BYTES = 2_000_000
 
 UPPER, LOWER, DIGIT, SPACE, LINE, STOP, SHOUT, SIGN, HIGH = range(9)
 SENTENCE_SIGNS = b".,;:?'\"()-"
@@ -36,24 +36,6 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Equal for equal byte spans: a polynomial modulo 2**64, from running sums."""
-    n = len(raw)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, n), dtype=np.uint64)])
-    out = (sums[end] - sums[begin]) * _powers(_INVERSE, n + 1)[begin]
-    return (out ^ (out >> np.uint64(29))) * np.uint64(_ODD)
-
-
 def _distinct(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """By document, how many different keys there are, and how often the most frequent one occurs."""
     order = np.lexsort((key, doc))
@@ -72,18 +54,10 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     kind = CLASS[raw]
     count = np.stack([np.diff(np.concatenate([[0], np.cumsum(kind == k)])[at]) for k in range(9)], axis=1).astype(float)
     gap = (kind == SPACE) | (kind == LINE)
-    before = np.ones(len(raw), dtype=bool)
-    before[1:] = gap[:-1]
+    begin, end, doc = word_spans(gap, at)
     first = at[:-1][np.diff(at) > 0]
-    before[first] = True
-    begin = np.flatnonzero(~gap & before)
-    after = np.ones(len(raw), dtype=bool)
-    after[:-1] = gap[1:]
-    after[first[1:] - 1] = True
-    end = np.flatnonzero(~gap & after) + 1
-    doc = np.searchsorted(at, begin, side="right") - 1
     words = np.bincount(doc, minlength=n).astype(float)
-    key = _span_hashes(raw, begin, end)
+    key = span_hashes(raw, begin, end)
     different, most = _distinct(doc, key, n)
     same = doc[1:] == doc[:-1]
     again = np.bincount(doc[1:][same & (key[1:] == key[:-1])], minlength=n)
@@ -96,7 +70,7 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_doc = np.searchsorted(at, line_begin, side="right") - 1
     line_end = np.minimum(np.append(line_begin[1:], len(raw)), at[line_doc + 1])
     lines = np.bincount(line_doc, minlength=n).astype(float)
-    lines_different, _ = _distinct(line_doc, _span_hashes(raw, line_begin, line_end), n)
+    lines_different, _ = _distinct(line_doc, span_hashes(raw, line_begin, line_end), n)
     length = np.diff(at).astype(float)
     solid = np.maximum(length - count[:, SPACE] - count[:, LINE], 1)
     one = np.maximum(words, 1)
@@ -183,19 +157,6 @@ def _calibrated(model: Discriminant, x: np.ndarray, y: np.ndarray) -> Discrimina
     return model
 
 
-def _steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Ranges of rows of about STEP_BYTES each, with their bytes and offsets."""
-    column = column.cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + STEP_BYTES, side="right")) - 1)
-        yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
-        i = j
-
-
 def in_training(doc_id: Column) -> Column:
     """Rows that may be learnt from. A null doc_id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
@@ -209,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Discrim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, at in _steps(batch.column("text")):
+            for i, j, raw, at in steps_of(batch.column("text")):
                 x = statistics(raw, at)
                 yield pa.RecordBatch.from_pydict({"y": batch.column("quality").slice(i, j - i).cast(pa.int32()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
 
@@ -232,7 +193,7 @@ def scored(docs: DataFrame, model: Discriminant | float, score: str) -> DataFram
             return texts.map(lambda _: model).astype("float64")
         import pandas as pd
 
-        parts = [model.score(statistics(raw, at)) for _, _, raw, at in _steps(column)]
+        parts = [model.score(statistics(raw, at)) for _, _, raw, at in steps_of(column)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(score, of(text_or_empty("text")))

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, license_scan, mixing, pii, quality, token_counts
+from . import ann, bpe, chat, exact_dedup, license_scan, mixing, near_dedup, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
     "op2_token_counts": token_counts.query,
     "op3_mixing": mixing.query,
+    "op4_nearest": ann.query,
     "op5_license_scan": license_scan.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_quality": quality.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_chat_format": chat.query,
     "op10_personal_data": pii.query,
 }

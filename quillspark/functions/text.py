@@ -89,11 +89,9 @@ def fill_types(types: Column) -> Column:
     Longer leading runs and runs after a blank stay as they are.
     """
     lead = F.regexp_replace(types, r"^@([^@ ])", "$1$1")
-    for code in TYPE_NAMES:
-        if code not in "@ ":
-            one = "\\^" if code == "^" else code
-            lead = F.when(F.contains(lead, F.lit(code + "@")), F.regexp_replace(lead, rf"(?<={one}@{{0,999}})@", code)).otherwise(lead)
-    return lead
+    runs = F.regexp_extract_all(lead, F.lit(r"(?s)[^@]@*|@+"), F.lit(0))
+    first = lambda x: F.substring(x, 1, 1)
+    return F.array_join(F.transform(runs, lambda x: F.when(first(x).isin("@", " "), x).otherwise(F.repeat(first(x), F.length(x)))), "")
 
 
 def keep_by_type(text: Column, types: Column, wanted: str = " Ww") -> Column:

@@ -11,7 +11,7 @@ def aligned_pairs(df: DataFrame, gt: str, ocr: str, *keep: str) -> DataFrame:
     zipped = F.arrays_zip(F.split(gt, "").alias("g"), F.split(ocr, "").alias("o"))
     same = df.filter((F.length(gt) == F.length(ocr)) & (F.length(gt) > 0))
     rows = same.select(*keep, F.posexplode(zipped).alias("pos", "pair"))
-    return rows.select(*keep, "pos", F.col("pair").getField("0").alias("pdf_letters"), F.col("pair").getField("1").alias("ocr_letters"))
+    return rows.select(*keep, "pos", F.col("pair").getField("g").alias("pdf_letters"), F.col("pair").getField("o").alias("ocr_letters"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

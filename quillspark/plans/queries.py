@@ -1,4 +1,606 @@
 """The registered queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import editing, markup
+from ..functions import text as X
+from ..operators import confusion as C
+from ..operators import correctors, growth, marks
+from ..operators import evaluation as E
+from ..operators import relational as R
+from ..operators import spatial as S
+from ..operators import windows as W
+from .inputs import BOX_SQL, FOLD, LINES_SQL, RATED_SQL, boxes, lines, rated, spread, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL that gives its rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- error rates and their statistics
+
+
+@query(f"WITH {LINES_SQL} SELECT lang, sum(levenshtein(ocr, gt))::BIGINT AS edits, sum(length(gt))::BIGINT AS chars, 100.0::DOUBLE * sum(levenshtein(ocr, gt)) / greatest(sum(length(gt)), 1) AS cer FROM lines GROUP BY lang")
+def cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summed = lines(spark, sf_dir).groupBy("lang").agg(F.sum(X.edit_distance(F.col("ocr"), F.col("gt"))).alias("edits"), F.sum(F.length("gt")).alias("chars"))
+    return summed.withColumn("cer", X.error_rate(F.col("edits"), F.col("chars")))
+
+
+@query()
+def wer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("edits", editing.word_distance_column(F.col("ocr"), F.col("gt")))
+    words = F.size(F.filter(F.split("gt", r"\s+"), lambda w: w != ""))
+    return rows.groupBy("lang").agg(F.sum("edits").alias("edits"), F.sum(words).alias("words")).withColumn("wer", X.error_rate(F.col("edits"), F.col("words")))
+
+
+@query(f"""WITH {RATED_SQL} SELECT lang, count(before) AS n, round(avg(before), 6) AS mean, round(stddev_samp(before), 6) AS std, min(before) AS min, quantile_cont(before, 0.25) AS q25,
+ quantile_cont(before, 0.5) AS q50, quantile_cont(before, 0.75) AS q75, max(before) AS max FROM rated GROUP BY lang""")
+def cer_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("before", X.error_rate(X.edit_distance(F.col("ocr"), F.col("gt")), F.length("gt")))
+    return rows.groupBy("lang").agg(*E.description("before")).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query(f"""WITH {RATED_SQL}, i AS (SELECT lang, CASE WHEN before <> 0 THEN 100.0::DOUBLE * (1 - after / before) END AS x FROM rated)
+ SELECT lang, count(x) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(stddev_samp(x), 5) AS std, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr FROM i GROUP BY lang""")
+def improvement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rated(spark, sf_dir).withColumn("x", X.improvement(F.col("before"), F.col("after")))
+    s = rows.groupBy("lang").agg(F.count("x").alias("n"), E.spread(F.col("x")).alias("s"))
+    return s.select("lang", "n", F.round("s.mean", 6).alias("mean"), F.round("s.median", 6).alias("median"), F.round("s.std", 5).alias("std"), F.round("s.iqr", 6).alias("iqr"))
+
+
+@query(f"""WITH {RATED_SQL} SELECT source, count(*) FILTER (before < after) AS worse, count(*) - count(*) FILTER (before < after) AS not_worse,
+ 100.0::DOUBLE * count(*) FILTER (before < after) / count(*) AS worse_pct FROM rated GROUP BY source""")
+def better_worse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rated(spark, sf_dir).groupBy("source").agg(*E.better_worse(F.col("before"), F.col("after")))
+
+
+@query(f"""WITH {RATED_SQL}, a AS (SELECT count(*)::DOUBLE AS rows_all, round(avg(before), 6) AS before_mean, round(avg(after), 6) AS after_mean, quantile_cont(before, 0.5)::DOUBLE AS before_median,
+ quantile_cont(after, 0.5)::DOUBLE AS after_median, (count(*) FILTER (before < after))::DOUBLE AS worse FROM rated) UNPIVOT a ON rows_all, before_mean, after_mean, before_median, after_median, worse INTO NAME metric VALUE value""")
+def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = rated(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("rows_all"), F.round(F.avg("before"), 6).alias("before_mean"), F.round(F.avg("after"), 6).alias("after_mean"),
+        F.percentile("before", 0.5).alias("before_median"), F.percentile("after", 0.5).alias("after_median"), F.count(F.when(F.col("before") < F.col("after"), 1)).alias("worse"),
+    )
+    return wide.select(*(F.col(c).cast("double").alias(c) for c in wide.columns)).unpivot([], wide.columns, "metric", "value")
+
+
+@query(f"WITH {RATED_SQL} SELECT doc_id, line_no::INTEGER AS line_no, before, after FROM rated WHERE after >= before AND before > 0")
+def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.regressions(rated(spark, sf_dir), "before", "after").select("doc_id", "line_no", "before", "after")
+
+
+@query(f"WITH {RATED_SQL} SELECT doc_id, line_no::INTEGER AS line_no, before FROM rated WHERE before > 5")
+def rate_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("before", X.error_rate(X.edit_distance(F.col("ocr"), F.col("gt")), F.length("gt")))
+    return rows.filter("before > 5").select("doc_id", "line_no", "before")
+
+
+@query(f"""WITH {LINES_SQL}, l AS (SELECT source, length(gt) AS n FROM lines) SELECT source, count(n) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n)::INTEGER AS min,
+ quantile_cont(n, 0.25)::DOUBLE AS q25, quantile_cont(n, 0.5)::DOUBLE AS q50, quantile_cont(n, 0.75)::DOUBLE AS q75, max(n)::INTEGER AS max FROM l GROUP BY source""")
+def length_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select("source", F.length("gt").alias("len"))
+    return rows.groupBy("source").agg(*E.description("len")).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+# --- filters, samples, splits, sets
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND text IS NOT NULL")
+def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.of_types(R.drop_null_pairs(table(spark, sf_dir, "documents"), "text"), "lang", "de", "fr").select("doc_id", "lang")
+
+
+@query("SELECT doc_id AS id, lang AS type, source AS filename FROM documents")
+def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rename(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), {"doc_id": "id", "lang": "type", "source": "filename"})
+
+
+@query("SELECT d.doc_id, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL")
+def null_pairs_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.drop_null_pairs(table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id"), "quality", "toxic").select("doc_id", "quality", "toxic")
+
+
+_BUCKET = "(({k}) * 7919 + {s}) % {n}"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_BUCKET.format(k='doc_id', s=0, n=100)} < 80 THEN 'train' WHEN {_BUCKET.format(k='doc_id', s=0, n=100)} < 90 THEN 'val' ELSE 'test' END AS split FROM documents")
+def split_80_10_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fraction_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", {"train": 80, "val": 10, "test": 10})
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {_BUCKET.format(k='doc_id', s=104729, n=1000003)}, doc_id LIMIT 5")
+def dev_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5, seed=1)
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY {_BUCKET.format(k='doc_id', s=104729, n=1000003)}, doc_id LIMIT 5)")
+def dev_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return R.complement(docs, R.sample(docs, "doc_id", 5, seed=1), "doc_id")
+
+
+@query("SELECT doc_id, (ntile(92) OVER (ORDER BY doc_id) - 1)::INTEGER AS chunk FROM documents")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.chunk_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 92)
+
+
+_PAGE = "(((conv_id * 1000 + turn)) * 7919) % 1000003"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT conv_id, turn FROM conversations), r AS (SELECT *, row_number() OVER (ORDER BY {_PAGE}, conv_id, turn) AS k FROM p)
+ SELECT conv_id, turn, CASE WHEN k <= 100 THEN 'train' WHEN k <= 125 THEN 'val' ELSE 'test' END AS sample FROM r WHERE k <= 150""")
+def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.disjoint_samples(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ("conv_id", "turn"), {"train": 100, "val": 25, "test": 25}).select("conv_id", "turn", "sample")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, '@') ORDER BY doc_id LIMIT 20")
+def first_with_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_hits(table(spark, sf_dir, "documents"), F.contains("text", F.lit("@")), 20, "doc_id").select("doc_id")
+
+
+@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def pending_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT 'document' AS kind, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text))::BIGINT FROM benchmark UNION ALL SELECT 'turn', count(*), sum(length(text))::BIGINT FROM conversations")
+def appended_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda name, kind: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), "text")
+    every = part("documents", "document").unionByName(part("benchmark", "benchmark")).unionByName(part("conversations", "turn"))
+    return every.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+_CHARS = "SELECT DISTINCT unnest(string_split({t}.text, '')) AS c FROM {t}"
+
+
+@query(f"""WITH a AS ({_CHARS.format(t='benchmark')}), b AS ({_CHARS.format(t='conversations')}) SELECT coalesce(a.c, b.c) AS char, a.c IS NOT NULL AS in_benchmark, b.c IS NOT NULL AS in_conversations
+ FROM a FULL JOIN b ON a.c = b.c WHERE coalesce(a.c, b.c) <> ''""")
+def alphabet_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two alphabets each character is in: intersection and both differences."""
+    a, b = (W.characters(table(spark, sf_dir, t), "text").select("char", F.lit(True).alias(f"in_{t}")) for t in ("benchmark", "conversations"))
+    return a.join(b, "char", "full").select("char", *(F.coalesce(f"in_{t}", F.lit(False)).alias(f"in_{t}") for t in ("benchmark", "conversations")))
+
+
+# --- gap marks and cells
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, sum(length(replace(replace(gt, '^', ''), '@', '')))::BIGINT AS chars, count(*) FILTER (gt = '?') AS cleared FROM lines GROUP BY doc_id")
+def gaps_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    return rows.groupBy("doc_id").agg(F.sum(F.length(X.strip_gaps(F.col("gt")))).alias("chars"), F.count(F.when((F.col("gt") != "") & (X.clear_cell(F.col("gt"), "?") == ""), 1)).alias("cleared"))
+
+
+_TYPES = "translate(gt, 'abcdefghijklmnopqrstuvwxyz', 'WWWWWWWW@@@@@@IIIIIIIWWWWW')"
+_FILL = "regexp_replace(regexp_replace(t, '[^ @IW]', 'W', 'g'), '^@([^@ ])', '\\1\\1')"
+
+
+@query(f"""WITH {LINES_SQL}, typed AS (SELECT doc_id, line_no, {_TYPES} AS t FROM lines), lead AS (SELECT doc_id, line_no, {_FILL} AS t FROM typed),
+ pieces AS (SELECT doc_id, line_no, t, regexp_extract_all(t, '[^@]@*|@+') AS p FROM lead),
+ filled AS (SELECT doc_id, line_no, array_to_string(list_transform(p, lambda x: CASE WHEN x[1] IN ('@', ' ') THEN x ELSE repeat(x[1], length(x)) END), '') AS f FROM pieces)
+ SELECT doc_id, sum(length(replace(f, 'W', '')))::BIGINT AS not_w, sum(length(replace(f, '@', '')))::BIGINT AS filled, count(DISTINCT f) AS kinds FROM filled GROUP BY doc_id""")
+def fill_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = F.regexp_replace(F.translate("gt", "abcdefghijklmnopqrstuvwxyz", "WWWWWWWW@@@@@@IIIIIIIWWWWW"), "[^ @IW]", "W")
+    rows = lines(spark, sf_dir).select("doc_id", X.fill_types(typed).alias("f"))
+    size = lambda gone: F.sum(F.length(F.replace("f", F.lit(gone), F.lit("")))).cast("long")
+    return rows.groupBy("doc_id").agg(size("W").alias("not_w"), size("@").alias("filled"), F.countDistinct("f").alias("kinds"))
+
+
+# --- windows, votes, vocabularies
+
+
+@query("""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, unnest(range(length(coalesce(text, '')) + 1)) AS i FROM documents)
+ SELECT doc_id, count(*) AS n, sum(length(substr(t, i + 1, 100)))::BIGINT AS chars, count(*) FILTER (substr(t, i + 1, 100) = '') AS empty FROM w GROUP BY doc_id""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("w")))
+    rows = W.windows(docs, "w", W.starts_sliding(F.length("w")), 100)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("w")).alias("chars"), F.count(F.when(F.col("w") == "", 1)).alias("empty"))
+
+
+@query("""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 50)) AS start FROM documents) SELECT doc_id, start::INTEGER AS start, substr(text, start + 1, 50) AS w FROM w""")
+def disjoint_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w"))
+    return W.windows(docs, "w", W.starts_disjoint(F.length("w"), 50), 50).select("doc_id", "start", "w")
+
+
+@query("""WITH w AS (SELECT item_id, text, unnest(range(greatest(length(text) - 20, 0) + 1)) AS start FROM benchmark) SELECT item_id, start::INTEGER AS start, substr(text, start + 1, 20) AS w FROM w""")
+def ngram_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("w"))
+    return W.windows(items, "w", W.starts_full(F.length("w"), 20), 20).select("item_id", "start", "w")
+
+
+_VOTE = """WITH b AS (SELECT item_id, text, length(text) AS n FROM benchmark), w AS (SELECT item_id, n, text, unnest(range(greatest(n - 20, 0) + 1)) AS i FROM b),
+ c AS (SELECT item_id, n, i, translate(substr(text, i + 1, 20), 'lO', CASE WHEN i % 3 = 0 THEN '10' ELSE 'lO' END) AS win FROM w),
+ v AS (SELECT item_id, n, i, unnest(range(length(win))) AS j, win FROM c),
+ s AS (SELECT item_id, i + j AS pos, substr(win, j + 1, 1) AS ch, sum({w}) AS weight FROM v GROUP BY ALL),
+ e AS (SELECT item_id, pos, arg_max(ch, (weight, -ascii(ch))) AS ch FROM s GROUP BY ALL) SELECT item_id, string_agg(ch, '' ORDER BY pos) AS text FROM e GROUP BY item_id"""
+
+
+def _vote(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.length("text").alias("n"))
+    parts = W.windows(items, "text", W.starts_full(F.col("n"), 20), 20)
+    read = F.when(F.col("start") % 3 == 0, F.translate("text", "lO", "10")).otherwise(F.col("text"))
+    return W.elected(W.votes(parts.withColumn("text", read), "item_id", "n", "text", kind, 20), "item_id")
+
+
+@query(_VOTE.format(w="1.0::DOUBLE"))
+def window_vote_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vote(spark, sf_dir, "uniform")
+
+
+@query(_VOTE.format(w="10 - 0.5::DOUBLE * abs(10 - j)"))
+def window_vote_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vote(spark, sf_dir, "triangle")
+
+
+@query()
+def window_vote_bell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vote(spark, sf_dir, "bell")
+
+
+_ALPHABET = "SELECT unnest(string_split(text, '')) AS char FROM documents"
+
+
+@query(f"SELECT char, count(*) AS n FROM ({_ALPHABET}) WHERE char <> '' GROUP BY char")
+def character_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.characters(spread(table(spark, sf_dir, "documents").select("text")), "text")
+
+
+_VOCAB = "vocab AS (SELECT char, (row_number() OVER (ORDER BY encode(char)) + 2)::INTEGER AS idx FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM {t} UNION SELECT '@' UNION SELECT '<UNK>') WHERE char <> '')"
+
+
+@query(f"WITH {_VOCAB.format(t='documents')} SELECT * FROM vocab")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.vocabulary(spread(table(spark, sf_dir, "documents").select("text")), "text", "@")
+
+
+@query(f"""WITH {_VOCAB.format(t='conversations')}, chars AS (SELECT item_id, generate_subscripts(string_split(text, ''), 1) AS pos, unnest(string_split(text, '')) AS char FROM benchmark),
+ coded AS (SELECT item_id, list(coalesce(v.idx, (SELECT idx FROM vocab WHERE char = '<UNK>')) ORDER BY pos) AS ids FROM chars c LEFT JOIN vocab v ON v.char = c.char GROUP BY item_id)
+ SELECT item_id, list_concat(list_concat([1], ids), [2])::INTEGER[] AS ids FROM coded""")
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = W.index_map(W.vocabulary(table(spark, sf_dir, "conversations"), "text", "@"))
+    return table(spark, sf_dir, "benchmark").select("item_id", W.encode(F.col("text"), index).alias("ids"))
+
+
+@query("SELECT item_id, text AS decoded, true AS same FROM benchmark")
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    index = W.index_map(W.vocabulary(items, "text"))
+    back = W.decode(W.encode(F.col("text"), index), index)
+    return items.select("item_id", back.alias("decoded"), (back == F.col("text")).alias("same"))
+
+
+_RARE = "WITH {v}, w AS (SELECT doc_id, unnest(range(0, length(text), 50)) AS start, text FROM documents), c AS (SELECT doc_id, start, unnest(string_split(substr(text, start + 1, 50), '')) AS char FROM w)"
+
+
+@query(f"""{_RARE.format(v=_VOCAB.format(t='documents'))}, f AS (SELECT doc_id, start, max(idx) >= 60 AS rare FROM c JOIN vocab USING (char) GROUP BY ALL)
+ SELECT count(*) FILTER (rare) AS rare, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (rare) / count(*) AS pct FROM f""")
+def rare_char_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w")))
+    index = W.index_map(W.vocabulary(docs, "w", "@"))
+    wins = W.windows(docs, "w", W.starts_disjoint(F.length("w"), 50), 50).withColumn("rare", F.exists(W.encode(F.col("w"), index), lambda i: i >= 60))
+    return wins.agg(F.count(F.when(F.col("rare"), 1)).alias("rare"), F.count(F.lit(1)).alias("n")).withColumn("pct", 100.0 * F.col("rare") / F.col("n"))
+
+
+@query("""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 50)) AS start FROM documents), c AS (SELECT doc_id, start, unnest(string_split(substr(text, start + 1, 50), '')) AS char FROM w)
+ SELECT char, arg_min(doc_id, (doc_id, start)) AS doc_id, arg_min(start, (doc_id, start))::INTEGER AS start FROM c WHERE char <> '' GROUP BY char""")
+def first_window_with_char(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w")))
+    wins = W.windows(docs, "w", W.starts_disjoint(F.length("w"), 50), 50)
+    chars = wins.select("doc_id", "start", F.explode(F.array_distinct(F.split("w", ""))).alias("char")).filter(F.col("char") != "")
+    best = chars.groupBy("char").agg(F.min(F.struct("doc_id", "start")).alias("f"))
+    return best.select("char", "f.doc_id", "f.start")
+
+
+@query("SELECT item_id, regexp_replace(text, '[^a-z ]', ' ', 'g') AS text FROM benchmark")
+def unknown_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.array(*(F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz "))
+    return table(spark, sf_dir, "benchmark").select("item_id", W.replace_unknown(F.col("text"), known).alias("text"))
+
+
+# --- markup
+
+_TEX = r"replace(replace(replace(gt, ' the ', ' $x_1$ '), ' of ', ' \citep[see][p. 1]{key} '), ' and ', ' \ref{fig} ')"
+
+
+def _tex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    marked = F.col("gt")
+    for word, tex in ((" the ", " $x_1$ "), (" of ", r" \citep[see][p. 1]{key} "), (" and ", r" \ref{fig} ")):
+        marked = F.replace(marked, F.lit(word), F.lit(tex))
+    return rows.withColumn("tex", marked)
+
+
+@query(rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no::INTEGER AS line_no, {_TEX} AS tex FROM lines) SELECT doc_id, line_no,
+ CASE WHEN (length(tex) - length(replace(tex, '$', ''))) % 2 = 0 THEN regexp_replace(tex, '\$[^$]*\$', '↭', 'g') END AS masked,
+ regexp_replace(regexp_replace(tex, '\$[^$]*\$', '↭', 'g'), '^.*\$', '') AS predicted FROM t""")
+def mask_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tex(spark, sf_dir).select("doc_id", "line_no", X.mask_inline_target(F.col("tex")).alias("masked"), X.mask_inline_prediction(F.col("tex")).alias("predicted"))
+
+
+@query(rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no::INTEGER AS line_no, {_TEX} AS tex FROM lines) SELECT doc_id, line_no,
+ regexp_replace(regexp_replace(tex, '\\cite[^{{}}]*?\{{[^{{}}]*\}}', '↫', 'g'), '\\ref[^{{}}]*?\{{[^{{}}]*\}}', '↷', 'g') AS masked FROM t""")
+def mask_cite_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = X.mask_command(F.col("tex"), "cite", X.MARKS["cite"])
+    return _tex(spark, sf_dir).select("doc_id", "line_no", X.mask_command(once, "ref", X.MARKS["ref"]).alias("masked"))
+
+
+@query(rf"""WITH {LINES_SQL}, t AS (SELECT lang, {_TEX} AS tex FROM lines) SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(translate(tex, '*`$', ''), '\\([^a-zA-Z]|[a-zA-Z]+[*='']?)')) AS residual FROM t GROUP BY lang""")
+def residual_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tex(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(X.has_residual_command(F.col("tex")), 1)).alias("residual"))
+
+
+@query()
+def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and predictions with marks for math, citations and references, error rates before and after, and whether commands are left."""
+    rows = _tex(spark, sf_dir).withColumn("pred", X.noisy(F.col("tex")))
+
+    def fix(c: str, inline):
+        cited = markup.mask_commands_column(inline(F.col(c)), "\\cite", X.MARKS["cite"])
+        return markup.mask_commands_column(cited, "\\ref", X.MARKS["ref"])
+
+    fixed = rows.withColumn("target_fixed", fix("tex", X.mask_inline_target)).withColumn("pred_fixed", fix("pred", X.mask_inline_prediction))
+    left = X.has_residual_command(F.col("target_fixed"))
+    rate = lambda a, b: F.when(~left, X.error_rate(X.edit_distance(F.col(a), F.col(b)), F.length(b)))
+    return fixed.select("doc_id", "line_no", left.alias("masked"), rate("pred", "tex").alias("cer_orig"), rate("pred_fixed", "target_fixed").alias("cer_fixed"))
+
+
+@query()
+def tagged_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tex(spark, sf_dir).withColumn("types", markup.tag_characters_column(F.col("tex")))
+    return rows.select("doc_id", F.explode(F.split("types", "")).alias("code")).filter("code <> ''").groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {LINES_SQL}, t AS (SELECT doc_id, unnest(string_split({_TYPES}, '')) AS code FROM lines) SELECT doc_id, CASE code WHEN 'W' THEN 'word' WHEN 'I' THEN 'inline' ELSE 'delete' END AS type, count(*) AS n
+ FROM t WHERE code IN ('W', 'I', '@') GROUP BY ALL""")
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.explode(F.split(F.translate("gt", "abcdefghijklmnopqrstuvwxyz", "WWWWWWWW@@@@@@IIIIIIIWWWWW"), "")).alias("code")
+    rows = lines(spark, sf_dir).select("doc_id", codes).filter(F.col("code").isin("W", "I", "@"))
+    return rows.groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n")).select("doc_id", X.type_name(F.col("code")).alias("type"), "n")
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, count(*) FILTER (regexp_matches(translate(gt, 'abcdefghijklmnopqrstuvwxyz', 'WWWWWWWWWWWWWWWWWWWWWWWwxW'), '[cdewxyijkrqs]')) AS hyphened FROM lines GROUP BY doc_id")
+def hyphen_type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = F.translate("gt", "abcdefghijklmnopqrstuvwxyz", "WWWWWWWWWWWWWWWWWWWWWWWwxW")
+    return lines(spark, sf_dir).groupBy("doc_id").agg(F.count(F.when(X.has_hyphen_type(types), 1)).alias("hyphened"))
+
+
+# --- alignment and confusion
+
+
+@query()
+def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its texts padded to one length, and whether taking the gaps out gives the texts back."""
+    rows = lines(spark, sf_dir).withColumn("a", editing.aligned_column(F.col("ocr"), F.col("gt")))
+    back = (F.length("a.ocr_aligned") == F.length("a.gt_aligned")) & (F.length("a.ocr_types") == F.length("a.gt_types"))
+    return rows.select("doc_id", "line_no", "a.ocr_aligned", "a.gt_aligned", "a.ocr_types", "a.gt_types", back.alias("even"))
+
+
+@query()
+def words_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with TeX, aligned and cut to the places that are words."""
+    rows = _tex(spark, sf_dir).withColumn("types", markup.tag_characters_column(F.col("tex"))).withColumn("a", editing.aligned_column(X.noisy(F.col("tex")), F.col("tex"), F.col("types")))
+    filled = X.fill_types(F.col("a.gt_types"))
+    cut = lambda c, gap: X.strip_gaps(X.keep_by_type(F.col(c), filled), gap)
+    return rows.select("doc_id", "line_no", cut("a.ocr_aligned", "^").alias("ocr_words"), cut("a.gt_aligned", "@").alias("gt_words"))
+
+
+_PAIRS = f"WITH {LINES_SQL}, p AS (SELECT unnest(string_split(gt, '')) AS pdf_letters, unnest(string_split(same_length, '')) AS ocr_letters FROM lines WHERE length(gt) > 0), n AS (SELECT pdf_letters, ocr_letters, count(*) AS counts_unnormalized FROM p GROUP BY ALL), f AS (SELECT *, 100.0::DOUBLE * counts_unnormalized / sum(counts_unnormalized) OVER (PARTITION BY pdf_letters) AS counts FROM n)"
+
+
+def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.confusion(C.aligned_pairs(lines(spark, sf_dir), "gt", "same_length"))
+
+
+@query(f"{_PAIRS} SELECT * FROM f")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confusion(spark, sf_dir)
+
+
+@query()
+def confusion_of_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select(editing.aligned_column(F.col("ocr"), F.col("gt")).alias("a")).select("a.*")
+    return C.confusion(C.aligned_pairs(rows, "gt_aligned", "ocr_aligned"))
+
+
+@query(f"""{_PAIRS} SELECT CASE WHEN pdf_letters = '@' AND ocr_letters <> '@' THEN 'DELETE' ELSE pdf_letters END AS pdf, CASE WHEN ocr_letters = '^' AND pdf_letters <> '^' THEN 'INSERT' ELSE ocr_letters END AS ocr, counts, counts_unnormalized
+ FROM f WHERE counts_unnormalized > 10""")
+def confusion_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.subset(_confusion(spark, sf_dir), count=10).select("pdf", "ocr", "counts", "counts_unnormalized")
+
+
+@query(f"""{_PAIRS}, t AS (SELECT token, min(side) AS side FROM (SELECT pdf_letters AS token, 0 AS side FROM f UNION ALL SELECT ocr_letters, 1 FROM f) GROUP BY token)
+ SELECT token, row_number() OVER (ORDER BY (token IN ('^', '@'))::INTEGER, side, encode(token))::INTEGER AS place FROM t""")
+def confusion_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.axis(_confusion(spark, sf_dir))
+
+
+@query(f'{_PAIRS}, g AS (SELECT pdf_letters, ocr_letters, counts, counts_unnormalized::DOUBLE AS counts_unnormalized FROM f) UNPIVOT g ON counts, counts_unnormalized INTO NAME "column" VALUE value')
+def confusion_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.folded(_confusion(spark, sf_dir))
+
+
+@query(f"{_PAIRS} SELECT ocr_letters, counts FROM f WHERE pdf_letters = 'l' AND counts BETWEEN 1 AND 100")
+def confusion_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.histogram(_confusion(spark, sf_dir), "l").select("ocr_letters", "counts")
+
+
+@query(f"""WITH {LINES_SQL}, p AS (SELECT unnest(string_split(gt, ' ')) AS g, unnest(string_split(same_length, ' ')) AS o FROM lines), k AS (SELECT lower(regexp_replace(g, '[^a-zA-Z0-9]', '', 'g')) AS pdf_letters, o AS ocr_letters FROM p)
+ SELECT pdf_letters, ocr_letters, count(*) AS counts_unnormalized FROM k WHERE pdf_letters <> '' GROUP BY ALL""")
+def word_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.arrays_zip(F.split("gt", " ").alias("g"), F.split("same_length", " ").alias("o"))
+    pairs = lines(spark, sf_dir).select(F.explode(both).alias("p")).select(C.cleaned_key(F.col("p").getField("g")).alias("pdf_letters"), F.col("p").getField("o").alias("ocr_letters"))
+    return C.confusion(pairs.filter("pdf_letters <> ''")).select("pdf_letters", "ocr_letters", "counts_unnormalized")
+
+
+_MARKED = "translate(gt, 'qxzj', '↭↫↷↷')"
+
+
+@query(f"""WITH {LINES_SQL}, m AS (SELECT {_MARKED} AS t, translate(translate(same_length, 'qxzj', '↭↫↷j'), 'k', '↫') AS p FROM lines WHERE length(gt) > 0), c AS (SELECT unnest(string_split(t, '')) AS t, unnest(string_split(p, '')) AS p FROM m),
+ s AS (SELECT t, p, t IN ('↭', '↫', '↷') AS tm, p IN ('↭', '↫', '↷') AS pm FROM c),
+ e AS (SELECT t AS sign, (t = p)::INTEGER AS tp, 0 AS fp, (NOT pm)::INTEGER AS fn, 1 AS n FROM s WHERE tm UNION ALL SELECT p, 0, 1, 0, 0 FROM s WHERE pm AND p <> t),
+ g AS (SELECT CASE sign WHEN '↭' THEN 'inline' WHEN '↫' THEN 'cite' ELSE 'ref' END AS mark, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(n)::BIGINT AS n FROM e GROUP BY sign)
+ SELECT *, CASE WHEN n > 0 THEN CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END END AS precision, CASE WHEN n > 0 THEN CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END END AS recall,
+ CASE WHEN n > 0 THEN CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END END AS f1 FROM g""")
+def mark_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select(F.translate("gt", "qxzj", "↭↫↷↷").alias("t"), F.translate(F.translate("same_length", "qxzj", "↭↫↷j"), "k", "↫").alias("p"))
+    pairs = C.aligned_pairs(rows, "t", "p").select(F.col("pdf_letters").alias("t"), F.col("ocr_letters").alias("p"))
+    return E.precision_recall(E.mark_counts(pairs, "t", "p", X.MARKS))
+
+
+# --- boxes and marks
+
+_TOUCH = "s.page = o.page AND l_xmin <= r_xmax AND l_xmax >= r_xmin AND l_ymax >= r_ymin AND l_ymin - 8 <= r_ymax AND abs(l_id - r_id) <= 40"
+
+
+@query(f"WITH {BOX_SQL} SELECT s.page, l_id::INTEGER AS l_id, r_id::INTEGER AS r_id FROM sgt s JOIN ocr o ON {_TOUCH}")
+def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.overlaps(*boxes(spark, sf_dir), pad=8).select("page", "l_id", "r_id")
+
+
+_CUT = "greatest(least(l_xmax, r_xmax) - greatest(l_xmin, r_xmin), 0) * greatest(least(l_ymax, r_ymax) - greatest(l_ymin, r_ymin), 0)"
+_IOU = f"i AS (SELECT s.page, l_id, r_id, r_xmin, r_text, {_CUT} AS c, (l_xmax - l_xmin) * (l_ymax - l_ymin) + (r_xmax - r_xmin) * (r_ymax - r_ymin) AS a FROM sgt s JOIN ocr o ON {_TOUCH}), j AS (SELECT *, c / (a - c + 1e-6::DOUBLE) AS iou FROM i), m AS (SELECT page, r_id, arg_max(l_id, (iou, l_id)) AS l_id, max(iou) AS iou, any_value(r_xmin) AS r_xmin, any_value(r_text) AS r_text FROM j GROUP BY ALL)"
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.best_matches(S.overlaps(*boxes(spark, sf_dir), pad=8).withColumn("iou", S.iou()))
+
+
+@query(f"WITH {BOX_SQL}, {_IOU.replace('any_value(r_xmin) AS r_xmin, any_value(r_text) AS r_text FROM j GROUP BY ALL', '0 AS z FROM j GROUP BY page, r_id')} SELECT page, r_id::INTEGER AS r_id, l_id::INTEGER AS l_id, round(iou, 9) AS iou FROM m")
+def box_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("page", "r_id", "l_id", F.round("iou", 9).alias("iou"))
+
+
+@query(f"WITH {BOX_SQL}, {_IOU.replace('GROUP BY ALL)', 'GROUP BY page, r_id)')} SELECT page, l_id::INTEGER AS l_id, string_agg(r_text, ' ' ORDER BY r_xmin, r_id) AS ocr_text, count(*) AS n_words FROM m GROUP BY page, l_id")
+def merged_ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.merged_words(_matches(spark, sf_dir), boxes(spark, sf_dir)[1].select("page", "r_id", "r_xmin", "r_text"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) SELECT doc_id, sum(length(word) + 1)::BIGINT AS mask_chars, (sum(length(word) + 1) FILTER (length(word) % 2 = 1))::BIGINT AS inline_chars FROM w GROUP BY doc_id""")
+def ignore_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    mask = S.ignore_mask(F.when(F.length("word") % 2 == 1, "inline").otherwise("word"), F.col("word"))
+    masked = words.select("doc_id", mask.alias("m"))
+    inline = F.length("m") - F.length(F.replace("m", F.lit("I"), F.lit("")))
+    return masked.groupBy("doc_id").agg(F.sum(F.length("m")).alias("mask_chars"), F.sum(F.when(inline > 0, inline)).alias("inline_chars"))
+
+
+@query(f"""WITH {BOX_SQL}, h AS (SELECT page, pos AS ord, x0, y0 AS ymin, x1, y0 + 14 AS ymax, word FROM b WHERE pos % 12 = 11), r AS (SELECT page, pos AS o, x0 AS wx0, y0 AS wy, x1 AS wx1 FROM b WHERE pos % 12 <> 11),
+ n AS (SELECT h.*, r.o, r.wx0, r.wy, r.wx1, wy <= ymin AND o < ord AS before, wy >= ymax AND o > ord AS after, abs(ord - o) AS gap FROM h LEFT JOIN r ON r.page = h.page AND o BETWEEN ord - 125 AND ord + 125),
+ g AS (SELECT page, ord, x0, ymin, x1, ymax, word, min(wx0) FILTER (before AND gap <= 25) AS bl, max(wx1) FILTER (before AND gap <= 25) AS br, min(wx0) FILTER (after AND gap <= 25) AS al, max(wx1) FILTER (after AND gap <= 25) AS ar,
+   min(wx0) FILTER (before) AS bl5, max(wx1) FILTER (before) AS br5, min(wx0) FILTER (after) AS al5, max(wx1) FILTER (after) AS ar5 FROM n GROUP BY ALL),
+ f AS (SELECT *, CASE WHEN coalesce(bl, al) IS NOT NULL THEN coalesce(bl, al) ELSE least(bl5, al5) END AS l, CASE WHEN coalesce(bl, al) IS NOT NULL THEN coalesce(ar, br) ELSE greatest(ar5, br5) END AS r FROM g)
+ SELECT page, ord::DOUBLE AS ord, 'top' AS half, x0::INTEGER AS xmin, ymin::INTEGER AS y, r::INTEGER AS xmax, word FROM f WHERE l IS NOT NULL
+ UNION ALL SELECT page, ord + 0.5::DOUBLE, 'bottom', l::INTEGER, ymax::INTEGER, x1::INTEGER, word FROM f WHERE l IS NOT NULL""")
+def hyphen_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twelfth word taken as broken between its line and the next."""
+    words = boxes(spark, sf_dir)[0].join(boxes(spark, sf_dir)[1].select("page", F.col("r_id").alias("l_id"), F.col("r_text").alias("word")), ["page", "l_id"])
+    plain = words.select("page", F.col("l_id").alias("ord"), F.col("l_xmin").alias("xmin"), F.col("l_ymin").alias("ymin"), F.col("l_xmax").alias("xmax"), "word")
+    broken = plain.filter("ord % 12 = 11").withColumn("ymax", F.col("ymin") + 14)
+    return S.hyphen_halves(broken, plain.filter("ord % 12 <> 11"))
+
+
+def _aux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The .aux lines that marks around every document would leave."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    rows = F.array(*(F.format_string(f, *a) for f, a in (
+        ("\\newlabel{mainBodyStart%d}{{pgfid%d}}", ("doc_id", F.col("doc_id") * 2)), ("\\newlabel{MAINBODYEnd%d}{{pgfid%d}}", ("doc_id", F.col("doc_id") * 2 + 1)),
+        ("\\pgfsyspdfmark {pgfid%d}{%d}{%d}", (F.col("doc_id") * 2, F.col("n") * 65536, F.col("doc_id") * 1000)), ("\\pgfsyspdfmark {pgfid%d}{%d}{%d}", (F.col("doc_id") * 2 + 1, F.col("n") * 65536 + 777, F.col("doc_id") * 1000)),
+        ("\\savepicturepage {pgfid%d}{%d}", (F.col("doc_id") * 2, F.col("doc_id") % 9 + 1)), ("\\savepicturepage {pgfid%d}{%d}", (F.col("doc_id") * 2 + 1, F.col("doc_id") % 9 + 1)),
+        ("\\@writefile{mainBodyStart%d}{{pgfid%d}}", ("doc_id", F.lit(0).cast("long"))),
+    )))
+    return docs.select(F.lit("a").alias("doc"), F.explode(rows).alias("line"))
+
+
+@query("""SELECT doc_id::INTEGER AS mark_id, length(text)::BIGINT * 65536 AS x0, doc_id * 1000 AS y0, length(text)::BIGINT * 65536 + 777 AS x1, doc_id * 1000 AS y1, (doc_id % 9 + 1)::INTEGER AS page0, (doc_id % 9 + 1)::INTEGER AS page1 FROM documents""")
+def aux_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks.aux_positions(_aux(spark, sf_dir), "mainBody").drop("doc")
+
+
+@query("""SELECT doc_id::INTEGER AS mark_id, round_even(length(text)::BIGINT * 65536 * 4.0::DOUBLE / (65536 * 72.27::DOUBLE / 72), 0)::BIGINT AS x_pix FROM documents WHERE doc_id % 9 = 0""")
+def page_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page's whole words, in pixels."""
+    found = S.whole_words(S.on_page(marks.aux_positions(_aux(spark, sf_dir), "mainBody"), 0))
+    return found.select("mark_id", X.scaled_points_to_pixels(F.col("x0")).cast("long").alias("x_pix"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(replace(text, '$', ''), '%.*', '', 'g'), '[^ \t\n\r]+')) AS token FROM documents) SELECT doc_id::VARCHAR AS doc, count(*) AS n, sum(length(token))::BIGINT AS chars FROM w GROUP BY doc_id""")
+def tex_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the documents as bodies of TeX files, marked, and read back by mark."""
+    clean = F.translate("text", "$", "")
+    body = F.concat(F.lit("\\begin{document}\n"), clean, F.lit("\n\\end{document}"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), body.alias("text"))
+    read = marks.marked_text(marks.with_marks(texts, "mainBody"), "mainBody")
+    return read.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars"))
+
+
+@query("""WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM benchmark)
+ SELECT item_id::VARCHAR AS doc, (10 * i)::INTEGER AS x, 20 AS y, 8 AS w, 20 AS h, (i % 100)::INTEGER AS conf, 0.0::DOUBLE AS textangle, 30.5::DOUBLE AS fontsize, 0.01::DOUBLE AS baseline0, -5.0::DOUBLE AS baseline1, t AS text FROM w""")
+def hocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts as hOCR pages, read back."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    word = lambda w, i: F.format_string("<span class='ocrx_word' title='bbox %d 20 %d 40; x_wconf %d'>%s</span>", 10 * i, 10 * i + 8, i % 100, w)
+    line = F.concat(F.lit("<p class='ocr_par'><span class='ocr_line' id='line_1' title=\"bbox 0 20 900 40; baseline 0.01 -5; x_size 30.5; x_descenders 5; x_ascenders 7\">"), F.array_join(F.transform(F.split(escaped, " "), word), " "), F.lit("</span></p>"))
+    pages = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc"), line.alias("hocr"))
+    return marks.hocr_words(pages).select("doc", "x", "y", "w", "h", "conf", "textangle", "fontsize", "baseline0", "baseline1", "text")
+
+
+# --- correctors
+
+
+def mend(texts: list[str]) -> list[str]:
+    """A corrector that knows one confusion."""
+    return [t.replace("1", "l") for t in texts]
+
+
+@query("SELECT item_id, replace(translate(text, 'lO', '10'), '1', 'l') AS text FROM benchmark WHERE length(text) > 0")
+def corrected_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.translate("text", "lO", "10").alias("text"))
+    return correctors.correct_disjoint(items, "item_id", "text", mend, 20)
+
+
+@query("SELECT item_id, replace(translate(text, 'lO', '10'), '1', 'l') AS text FROM benchmark WHERE length(text) > 0")
+def corrected_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.translate("text", "lO", "10").alias("text"))
+    return correctors.correct_ngrams(items, "item_id", "text", mend, 20, "triangle")
+
+
+@query("SELECT doc_id, replace(translate(text, 'lO', '10'), '1', 'l') AS pred_text, NULL::VARCHAR AS error FROM documents")
+def corrected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "lO", "10").alias("text")))
+    return correctors.correct(docs, "text", mend).select("doc_id", "pred_text", "error")
+
+
+@query()
+def evaluation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.translate("text", "lO", "10").alias("ocr"), F.col("text").alias("gt"))
+    return correctors.evaluation_grid(items, "item_id", "ocr", "gt", mend, 20, X.edit_distance)
+
+
+# --- series
+
+
+@query("""WITH n AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderstatus AS stage, count(*) AS n FROM orders GROUP BY ALL) SELECT *, sum(n) OVER (PARTITION BY stage ORDER BY month)::BIGINT AS total FROM n""")
+def growth_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return growth.funnel(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderstatus")
+
+
+@query("""SELECT user_id AS run, event_type AS metric, min(value) AS best, arg_min(event_id, (value, event_id)) AS step, count(*) AS n FROM events GROUP BY ALL""")
+def best_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"), F.col("event_id").alias("step"), "value")
+    return growth.best_steps(log)

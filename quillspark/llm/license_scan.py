@@ -116,3 +116,31 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    """The same rows in DuckDB's SQL: words are unnested, k-grams compared as texts, and spans made by a running sum."""
+    rows = []
+    for no, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
+        words, k = text.split(" "), 2 if text in PHRASES else NOTICE_K
+        n = len(words) - k + 1
+        rows += [f"({no}, {text in PHRASES}, '{label}', {n}, {q}, '{' '.join(words[q : q + k])}', {k})" for q in range(n)]
+    return rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+g AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(template, phrase, label, grams, place, gram, k)),
+p AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+m AS (SELECT rid, template, phrase, label, grams, place, i - 1 - place AS diagonal FROM p JOIN g ON g.k = 2 AND g.gram = array_to_string(w[i:i + 1], ' ')
+      UNION ALL SELECT rid, template, phrase, label, grams, place, i - 1 - place FROM p JOIN g ON g.k = {NOTICE_K} AND g.gram = array_to_string(w[i:i + {NOTICE_K - 1}], ' ')),
+d AS (SELECT DISTINCT rid, template, phrase, diagonal FROM m),
+n AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {DRIFT})::INTEGER, 1) AS new FROM d),
+s AS (SELECT *, CASE WHEN phrase THEN diagonal ELSE sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal) END AS span FROM n),
+h AS (SELECT m.rid, m.template, m.phrase, m.label, m.grams, s.span, min(m.diagonal) AS start, count(DISTINCT place) AS held FROM m JOIN s ON s.rid = m.rid AND s.template = m.template AND s.diagonal = m.diagonal GROUP BY ALL),
+f AS (SELECT *, phrase AND held = grams AS base, NOT phrase AND held / grams >= {COVER}::DOUBLE AS noticed FROM h),
+a AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR noticed) AS labels, max(CASE WHEN base THEN 1.0::DOUBLE WHEN phrase THEN 0.0::DOUBLE ELSE held / grams END) AS score FROM f GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM t LEFT JOIN a ON a.rid = t.rid
+"""
+
+
+SQL = _sql()

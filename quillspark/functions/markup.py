@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,28 +23,38 @@ def matching(text: str, opening: str = "(", closing: str = ")", check: bool = Tr
     return pairs, check and (error or bool(stack))
 
 
-def command_span(text: str, command: str, opening: str = "{", closing: str = "}", check: bool = True) -> tuple[int, int]:
+def command_span(text: str, command: str, opening: str = "{", closing: str = "}", check: bool = True, start: int = 0) -> tuple[int, int]:
     """Begin of the first command and end after its bracket closes; (-1, -1) without command, bracket or closing, (begin, -1) where brackets do not match and that is checked."""
-    begin = text.find(command)
+    begin = text.find(command, start)
     at = text.find(opening, begin) if begin >= 0 else -1
     if at < 0:
         return -1, -1
-    pairs, error = matching(text[at:], opening, closing, check)
-    if error:
+    if check and matching(text[at:], opening, closing)[1]:
         return begin, -1
-    return (begin, at + pairs[0] + 1) if 0 in pairs else (-1, -1)
+    end = closing_of(text, at, opening, closing)
+    return (begin, end + 1) if end >= 0 else (-1, -1)
+
+
+def closing_of(text: str, at: int, opening: str = "{", closing: str = "}") -> int:
+    """Where the bracket at a place closes, -1 if it does not; looks no further than there."""
+    depth = 0
+    for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(text, at):
+        depth += 1 if m[0] == opening else -1
+        if not depth:
+            return m.start()
+    return -1
 
 
 def mask_commands(text: str, command: str, mark: str) -> str:
     """Every command with its argument becomes the mark. Where a command has no closed argument, the text before it since the last one and the command go."""
     out, at = [], 0
     while (here := text.find(command, at)) >= 0:
-        _, end = command_span(text[at:], command, check=False)
+        _, end = command_span(text, command, check=False, start=here)
         if end < 0:
             at = here + len(command)
             continue
         out += [text[at:here], mark]
-        at += end
+        at = end
     return "".join([*out, text[at:]])
 
 
@@ -65,10 +77,10 @@ def tag_characters(text: str) -> str:
     for code, command in _COMMANDS:
         at = 0
         while (here := text.find(command, at)) >= 0:
-            _, end = command_span(text[here:], command, check=False)
-            at = here + max(end, len(command))
+            _, end = command_span(text, command, check=False, start=here)
+            at = max(end, here + len(command))
             if end > 0:
-                paint(here, here + end, code)
+                paint(here, end, code)
     for sign in ("\\%", "\\&"):
         at = text.find(sign)
         while at >= 0:

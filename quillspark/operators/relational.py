@@ -26,7 +26,7 @@ def regressions(df: DataFrame, before: str, after: str) -> DataFrame:
 
 def bucket(key: Column, buckets: int, seed: int = 0) -> Column:
     """A number below buckets that spreads consecutive keys; the same in any engine with integers."""
-    return F.pmod(key * F.lit(7919) + F.lit(seed * 104_729), F.lit(buckets))
+    return F.pmod(F.pmod(key, F.lit(buckets)) * F.lit(7919) + F.lit(seed * 104_729), F.lit(buckets))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -517,7 +517,7 @@ def hyphen_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The .aux lines that marks around every document would leave."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
     rows = F.array(*(F.format_string(f, *a) for f, a in (
         ("\\newlabel{mainBodyStart%d}{{pgfid%d}}", ("doc_id", F.col("doc_id") * 2)), ("\\newlabel{MAINBODYEnd%d}{{pgfid%d}}", ("doc_id", F.col("doc_id") * 2 + 1)),
         ("\\pgfsyspdfmark {pgfid%d}{%d}{%d}", (F.col("doc_id") * 2, F.col("n") * 65536, F.col("doc_id") * 1000)), ("\\pgfsyspdfmark {pgfid%d}{%d}{%d}", (F.col("doc_id") * 2 + 1, F.col("n") * 65536 + 777, F.col("doc_id") * 1000)),

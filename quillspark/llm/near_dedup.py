@@ -7,8 +7,8 @@ t - MATCHES + 1 only, since two documents with MATCHES common pairs have one of
 of the postings while no candidate is lost. Candidates are confirmed on full shingle sets.
 
 Documents with equal sets are one class from the start. In short posting lists all pairs are candidates. In long ones a hub is compared with
-all others; what then is in one component needs no further comparison, and what is not is taken up again with other hubs and at last
-in blocks of all pairs of different components. No step sends all pairs of a group of copies, and none leaves out a pair of documents that
+all others; what then is in one component needs no further comparison, and lists that still hold several components are compared in
+blocks, which check their likely pairs on full sets and send links only. No step sends all pairs of a group of copies, and none leaves out a pair of documents that
 could be linked without being in one component already.
 """
 
@@ -29,7 +29,6 @@ from .components import components
 COORDINATES, MATCHES = 32, 13
 PER_CENT = 80
 SHORT_LIST = 16
-HUB_ROUNDS = 3
 BLOCK = 512
 BROADCAST_KEYS = 500_000
 
@@ -162,8 +161,8 @@ class Search:
         return one.filter(similar_sizes(F.col("an"), F.col("bn"), self.per_cent)).select("a", "b").distinct()
 
     def hub_pairs(self, members: DataFrame) -> DataFrame:
-        """Each list's hub with every other member that is not in its component. members: token, node, n, label, hub, hub_n, hub_label."""
-        wanted = (F.col("node") != F.col("hub")) & ~F.col("label").eqNullSafe(F.col("hub_label")) & similar_sizes(F.col("n"), F.col("hub_n"), self.per_cent)
+        """Each list's hub with every other member of a similar size. members: node, n, hub, hub_n."""
+        wanted = (F.col("node") != F.col("hub")) & similar_sizes(F.col("n"), F.col("hub_n"), self.per_cent)
         return members.filter(wanted).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -172,50 +171,50 @@ class Search:
         side = lambda x: sig.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("sig").alias(f"{x}sig"), F.col("key").alias(f"{x}key"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(agreeing(F.col("asig"), F.col("bsig")) >= MATCHES)
         likely = stored(likely.select("a", "b", "an", "bn", "akey", "bkey"), "candidates")
-        keys = stored(likely.select(F.col("akey").alias("of")).union(likely.select("bkey")).distinct(), "candidate-keys")
-        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        width = self.width
-        every = self.texts.select("text").mapInArrow(lambda b: _sets(b, width), "key string, elements binary")
-        wanted = every.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("of"), "left_semi")
-        sets = stored(wanted.groupBy("key").agg(F.any_value("elements").alias("elements")), "candidate-sets")
+        sets = self.sets(likely.select(F.col("akey").alias("of")).union(likely.select("bkey")))
         full = lambda x: sets.select(F.col("key").alias(f"{x}key"), F.col("elements").alias(f"{x}set"))
         both = likely.join(full("b"), "bkey").join(full("a"), "akey").withColumn("both", common("aset", "bset"))
         return both.filter(F.col("both") * 100 >= (F.col("an") + F.col("bn") - F.col("both")) * self.per_cent).select("a", "b")
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """key, elements (packed sorted hashes) of the classes with these keys, made again from the texts: sets of documents without candidates are never kept."""
+        keys = stored(wanted.distinct(), "wanted-keys")
+        few, width = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS, self.width
+        every = self.texts.select("text").mapInArrow(lambda b: _sets(b, width), "key string, elements binary")
+        met = every.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("of"), "left_semi")
+        return stored(met.groupBy("key").agg(F.any_value("elements").alias("elements")), "candidate-sets")
+
     def labels(self) -> DataFrame:
         """node, label for every class that is linked with another."""
         postings = self.postings()
         long = postings.filter(F.col("posted") > SHORT_LIST)
         sizes = self.classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-        first = long.join(sizes, "hub").withColumns({"label": F.col("node"), "hub_label": F.col("hub")})
-        edges = stored(self.confirmed(self.short_pairs(postings).unionByName(self.hub_pairs(first)).distinct()), "links")
+        edges = stored(self.confirmed(self.short_pairs(postings).unionByName(self.hub_pairs(long.join(sizes, "hub"))).distinct()), "links")
         labels = components(edges)
-        members = long.select("token", "node", "n", "posted", F.array("hub").alias("hubs"))
-        for again in range(HUB_ROUNDS + 1):
-            members = self.open_lists(members, labels)
-            if members.isEmpty():
-                break
-            pairs = self.hub_pairs(members.join(sizes, "hub")) if again < HUB_ROUNDS else self.block_pairs(members)
-            edges = stored(edges.unionByName(self.confirmed(pairs)), "links")
-            labels = components(edges)
-            members = members.select("token", "node", "n", "posted", F.array_append("hubs", F.col("hub")).alias("hubs"))
-        return labels
-
-    def open_lists(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """The lists whose members are in more than one component, with the label of each member and the next hub: the least node outside its first hub's component that has been no hub."""
-        known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        known = stored(known, "members")
-        own = known.filter(F.col("node") == F.element_at("hubs", 1)).select("token", F.col("label").alias("main"))
-        apart = known.join(own, "token").filter((F.col("label") != F.col("main")) & ~F.array_contains("hubs", F.col("node")))
-        hubs = stored(apart.groupBy("token").agg(F.min(F.struct(F.col("node").alias("hub"), F.col("label").alias("hub_label"))).alias("h")).select("token", "h.*"), "hubs")
-        return stored(known.join(hubs, "token"), "open-lists")
-
-    def block_pairs(self, members: DataFrame) -> DataFrame:
-        """Of the lists that are still open, all pairs of different components whose signatures agree often enough, compared in blocks of about BLOCK members."""
-        blocks = F.ceil(F.col("posted") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        dealt = members.join(self.classes.select("node", "sig"), "node").select("token", "node", "n", "label", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "sig")
+        known = stored(long.select("token", "node", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+        mixed_lists = stored(known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token"), "open-lists")
+        if mixed_lists.isEmpty():
+            return labels
+        members = stored(known.join(mixed_lists, "token").select("node", "hub", "label").distinct(), "open-members")
+        return components(edges.unionByName(self.block_links(members)))
+
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """Links between members of lists that hold several components. members: node, hub (its list's), label.
+
+        Lists that share members are one cluster. A cluster is cut into blocks of about BLOCK members, and each pair of blocks compares its
+        members: pairs whose signatures agree often enough are checked on full sets, likeliest first, and those that are in one component
+        by then are left out. A pair of blocks thus gives fewer links than it has members, however dense the cluster is.
+        """
+        clusters = components(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "cluster")
+        clusters = stored(clusters, "clusters")
+        blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        about = self.classes.select("node", "key", "n", "sig")
+        of = members.groupBy("node").agg(F.min("label").alias("label"))
+        rows = clusters.join(of, "node").join(about, "node").join(stored(blocks, "blocks"), "cluster")
+        full = rows.join(self.sets(rows.select(F.col("key").alias("of"))), "key")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = full.select("cluster", "node", "n", "label", "sig", "elements", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "sig", "elements")
         per_cent = self.per_cent
 
         def compare(rows: pa.Table) -> pa.Table:
@@ -223,16 +222,37 @@ class Search:
             i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
             sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            a, b = [], []
-            for x in left:
+            pairs = []
+            for x in left.tolist():
                 y = right[right > x] if i == j else right
                 y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * per_cent)]
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
-                a += np.minimum(node[x], node[y]).tolist()
-                b += np.maximum(node[x], node[y]).tolist()
+                agree = (sig[y] == sig[x]).sum(axis=1)
+                pairs.append(np.stack([agree, np.full(len(y), x), y], axis=1)[agree >= MATCHES])
+            pairs = np.concatenate([np.zeros((0, 3), dtype=np.int64), *pairs])
+            sets = [np.frombuffer(e, "<u8") for e in rows["elements"].to_pylist()]
+            parent = {x: x for x in label.tolist()}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            a, b = [], []
+            for _, x, y in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+                p, q = find(int(label[x])), find(int(label[y]))
+                if p == q:
+                    continue
+                both = np.concatenate([sets[x], sets[y]])
+                both.sort(kind="stable")
+                k = int((both[1:] == both[:-1]).sum())
+                if k * 100 >= (len(both) - k) * per_cent:
+                    parent[max(p, q)] = min(p, q)
+                    a.append(int(min(node[x], node[y])))
+                    b.append(int(max(node[x], node[y])))
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        return dealt.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        return stored(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "block-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -> DataFrame:

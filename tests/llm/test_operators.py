@@ -240,9 +240,7 @@ def components(texts, width):
     return {i: find(i) for i in texts}, sets
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_duplicates(make, monkeypatch, rounds):
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
+def test_near_duplicates(make, monkeypatch):
     monkeypatch.setattr(near_dedup, "SHORT_LIST", 4)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     rng = random.Random(8)

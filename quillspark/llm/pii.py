@@ -42,6 +42,11 @@ MORE = {
     "secret": re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk[-_][A-Za-z0-9_-]{16,200})(?![A-Za-z0-9])"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? [A-Z][a-zà-ÿ]{1,30}(?: [A-Z][a-zà-ÿ]{1,30})?"),
 }
+#: What every match of a pattern holds: texts without it are not searched.
+NEEDS = {
+    "email": ("at)", "at]"), "secret": ("AKIA", "ghp_", "sk-", "sk_"), "name": ("Mr", "Ms", "Dr", "Herr", "Frau", "Mme", "Sr"),
+}
+DIGIT = re.compile("[0-9]")
 #: Gazetteers, as fixed values: words that announce personal data, given names, and top-level domains.
 CUES = {
     "email": ("mail", "contact", "write to", "correo"),
@@ -93,6 +98,8 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """Matches of the base patterns, leftmost and without overlap in a kind, and whether each passes its kind's check."""
     for a, b in emails(text):
         yield "email", a, b, True
+    if not DIGIT.search(text):
+        return
     for m in IP.finditer(text):
         yield "ip", m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
     for m in CARD.finditer(text):
@@ -136,7 +143,9 @@ def proposals(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     found = list(base_matches(text))
     base = [(k, a, b) for k, a, b, ok in found if ok]
     taken = sorted((a, b) for _, a, b in base)
-    offered = [(kind, m.start(), m.end(), kind != "card" or luhn(_digits(m[0]))) for kind, pattern in MORE.items() for m in pattern.finditer(text)]
+    numbers = DIGIT.search(text)
+    likely = [k for k in MORE if (any(x in text for x in NEEDS[k]) if k in NEEDS else numbers)]
+    offered = [(kind, m.start(), m.end(), kind != "card" or luhn(_digits(m[0]))) for kind in likely for m in MORE[kind].finditer(text)]
     # a base match that fails its check is proposed, if no part of it is: a phone number and a card number side by side fail as one
     inner = sorted((a, b) for _, a, b, _ in offered)
     for k, a, b, ok in found:

@@ -62,22 +62,32 @@ def disjoint_samples(pages: DataFrame, keys: tuple[str, str], sizes: dict[str, i
     return top.withColumn("rank", rank).withColumn(column, name)
 
 
-def chunk_ids(df: DataFrame, key: str, chunks: int, column: str = "chunk") -> DataFrame:
-    """Chunks of consecutive keys; the first n % chunks have one row more.
+def ranked(df: DataFrame, *order: Column | str, column: str = "rank", total: str | None = None) -> DataFrame:
+    """Numbers from 0 in the order of the columns, and if asked for the number of rows.
 
     Rows are ranked by range: partitions are sorted on their own and get their first rank from the partitions' row counts, so that no task
-    sees all rows.
+    sees all rows. The number of partitions is fixed, since both passes must see the same ones.
     """
-    spread = df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    spread = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     numbered = spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
     counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # a row for each partition, not for each row
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
-    ranked = numbered.join(F.broadcast(starts), F.col("__part") == F.col("__of"))
-    rank, small = F.col("__start") + F.col("__at"), F.floor(F.col("__total") / chunks)
-    large = F.col("__total") % chunks
+    out = numbered.join(F.broadcast(starts), F.col("__part") == F.col("__of")).withColumn(column, F.col("__start") + F.col("__at"))
+    if total:
+        out = out.withColumn(total, F.col("__total"))
+    return out.drop("__part", "__at", "__of", "__start", "__total")
+
+
+def chunk_ids(df: DataFrame, key: str, chunks: int, column: str = "chunk") -> DataFrame:
+    """Chunks of consecutive keys; the first n % chunks have one row more."""
+    rows = ranked(df, key, column="__rank", total="__rows")
+    rank, small, large = F.col("__rank"), F.floor(F.col("__rows") / chunks), F.col("__rows") % chunks
     chunk = F.when(rank < large * (small + 1), F.floor(rank / (small + 1))).otherwise(large + F.floor((rank - large * (small + 1)) / F.greatest(small, F.lit(1))))
-    return ranked.withColumn(column, chunk.cast("int")).drop("__part", "__at", "__of", "__start", "__total")
+    return rows.withColumn(column, chunk.cast("int")).drop("__rank", "__rows")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:

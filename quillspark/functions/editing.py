@@ -10,9 +10,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import edit_distance
+
 REPLACE, INSERT, DELETE = "replace", "insert", "delete"
 #: Beyond so many edits, sequences are cut in two at a place that a shortest script passes: history takes the square of the edits.
 MOST_WAVES = 1500
@@ -156,10 +158,29 @@ def aligned_column(ocr: Column, gt: Column, gt_types: Column | None = None, ocr_
     return F.pandas_udf(of, "ocr_aligned string, gt_aligned string, ocr_types string, gt_types string")(ocr, gt, none if gt_types is None else gt_types, none if ocr_types is None else ocr_types)
 
 
-def word_distance_column(a: Column, b: Column) -> Column:
-    """Edits between the words (by white space) of two texts; null where a side is null."""
+def _coded(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            rows.append((None, None))
+            continue
+        known: dict[str, str] = {}
+        code = lambda w: known.setdefault(w, chr(len(known) + (0x20 if len(known) < 0xD000 else 0x1000)))  # noqa: B023, E731
+        rows.append(("".join(map(code, x.split())), "".join(map(code, y.split()))))
+    return pd.DataFrame(rows, columns=["a", "b"], dtype=object)
+
+
+def with_word_distances(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
+    """Columns with the edits between the words (by white space) of two text columns each; null where a side is null.
+
+    Every different word of a pair becomes one code point, by a linear Arrow UDF, so that the banded distance over code points in the JVM is
+    the distance over words. A pair of texts may have a million different words.
+    """
+    columns = df.columns
+    coded = df.withColumns({f"__{name}": F.pandas_udf(_coded, "a string, b string")(F.col(a), F.col(b)) for name, (a, b) in pairs.items()})
+    return coded.select(*columns, *(edit_distance(F.col(f"__{name}.a"), F.col(f"__{name}.b")).alias(name) for name in pairs))
 
-    def of(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else distance(x.split(), y.split()) for x, y in zip(left, right, strict=True)], dtype="Int64")
 
-    return F.pandas_udf(of, "long")(a, b)
+def words(text: Column) -> Column:
+    """How many words a text has, by white space."""
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,45 +59,61 @@ def mask_commands(text: str, command: str, mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def command_span_checked(text: str, command: str, opening: str = "{", closing: str = "}") -> tuple[int, int, str | None]:
+    """The first command's span, tried with checked brackets first and then without; and what is wrong: 'none' (no command), 'open' (never closed), 'uneven' (closed, but other brackets are not), or None."""
+    begin, end = command_span(text, command, opening, closing)
+    if begin >= 0 and end >= 0:
+        return begin, end, None
+    again = command_span(text, command, opening, closing, check=False)
+    if again[1] >= 0:
+        return *again, "uneven"
+    return -1, -1, "none" if text.find(command) < 0 else "open"
+
+
 #: Kinds of spans that get a code, from the strongest: what a stronger kind covers, weaker ones leave.
 _COMMANDS = (("C", "\\cite"), ("R", "\\ref"))
 
 
 def tag_characters(text: str) -> str:
-    r"""A type code for each character: I in $...$, C and R in \cite{} and \ref{}, S for \% and \&, B in {...}, O in other \command{...}, else W."""
-    types = ["W"] * len(text)
-
-    def paint(a: int, b: int, code: str, over: str | None = None) -> None:
-        for i in range(a, b):
-            if over is None or types[i] in over:
-                types[i] = code
+    r"""A type code for each character: I in $...$, C and R in \cite{} and \ref{}, S for \% and \&, B in {...}, O in other \command{...}, else W.
 
+    Codes are painted as slices of one buffer: the strong ones one over the other, each span once. Of brackets only the outermost of each
+    kind are painted, since what is nested in them gets the same code, so that deep nesting costs no more than its length.
+    """
+    types = np.full(len(text), ord("W"), dtype=np.uint8)
     dollars = [i for i, c in enumerate(text) if c == "$"]
     for a, b in zip(dollars[::2], dollars[1::2], strict=False):
-        paint(a, b + 1, "I")
+        types[a : b + 1] = ord("I")
     for code, command in _COMMANDS:
         at = 0
         while (here := text.find(command, at)) >= 0:
             _, end = command_span(text, command, check=False, start=here)
             at = max(end, here + len(command))
             if end > 0:
-                paint(here, end, code)
-    for sign in ("\\%", "\\&"):
-        at = text.find(sign)
-        while at >= 0:
-            if types[at : at + 2] == ["W", "W"]:
-                paint(at, at + 2, "S")
-            at = text.find(sign, at + 2)
+                types[here:end] = ord(code)
+    for m in re.finditer(r"\\[%&]", text):
+        if (types[m.start() : m.end()] == ord("W")).all():
+            types[m.start() : m.end()] = ord("S")
     pairs, _ = matching(text, "{", "}", check=False)
-    for a, b in sorted(pairs.items()):
+
+    def paint(spans: list[tuple[int, int]], code: str) -> None:
+        done = 0
+        for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if b > done:
+                part = types[max(a, done) : b]
+                part[part == ord("W")] = ord(code)
+                done = b
+
+    commands = []
+    for a, b in pairs.items():
         begin = a
         while begin and text[begin - 1].isalpha():
             begin -= 1
         if begin and begin < a and text[begin - 1] == "\\":
-            paint(begin - 1, b + 1, "O", "W")
-    for a, b in pairs.items():
-        paint(a, b + 1, "B", "W")
-    return "".join(types)
+            commands.append((begin - 1, b + 1))
+    paint(commands, "O")
+    paint([(a, b + 1) for a, b in pairs.items()], "B")
+    return types.tobytes().decode("ascii")
 
 
 def _text_udf(function, *columns: Column) -> Column:
@@ -114,14 +131,14 @@ def tag_characters_column(text: Column) -> Column:
     return _text_udf(tag_characters, text)
 
 
-def command_span_column(text: Column, command: str, check: bool = True) -> Column:
-    """The first command's span as a struct of begin and stop; error tells unbalanced brackets. Null stays null."""
+def command_span_column(text: Column, command: str) -> Column:
+    """The first command's span as a struct of begin, stop and error, as command_span_checked() has them. Null stays null."""
 
     def of(texts: pd.Series) -> pd.DataFrame:
-        spans = [(None, None) if x is None else command_span(x, command, check=check) for x in texts]
-        return pd.DataFrame({"begin": pd.array([a for a, _ in spans], "Int32"), "stop": pd.array([b for _, b in spans], "Int32"), "error": pd.array([None if a is None else a >= 0 > b for a, b in spans], "boolean")})
+        spans = [(None, None, None) if x is None else command_span_checked(x, command) for x in texts]
+        return pd.DataFrame({"begin": pd.array([a for a, _, _ in spans], "Int32"), "stop": pd.array([b for _, b, _ in spans], "Int32"), "error": pd.Series([e for *_, e in spans], dtype=object)})
 
-    return F.pandas_udf(of, "begin int, stop int, error boolean")(text)
+    return F.pandas_udf(of, "begin int, stop int, error string")(text)
 
 
 #: Control sequences and what they look like in print.

@@ -34,10 +34,20 @@ def corrected(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(" te "), F.lit(" the ")), F.lit("1"), F.lit("l"))
 
 
+#: Bands of edits that are tried one after the other.
+BANDS = (8, 32, 128, 512, 2048, 8192)
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over code points. Narrow bands are tried first: near texts cost their length times the band, not its square."""
-    within = lambda t: F.nullif(F.levenshtein(a, b, t), F.lit(-1))
-    return F.coalesce(within(8), within(64), F.levenshtein(a, b))
+    """Levenshtein distance over code points; null where a side is null.
+
+    Equal texts cost a comparison. Others are tried within bands that grow by a factor of four, so that the cost is the length times the
+    distance, and a pair that is d apart pays for bands up to 4 d only; a band that the texts' lengths rule out costs nothing. A fold over
+    the bands takes the first that holds, and evaluates none twice.
+    """
+    within = lambda found, band: F.when(found >= 0, found).otherwise(F.call_function("levenshtein", a, b, band))
+    banded = F.aggregate(F.array(*map(F.lit, BANDS)), F.lit(-1), within, lambda found: F.when(found >= 0, found).otherwise(F.levenshtein(a, b)))
+    return F.when(a == b, F.lit(0)).when(a.isNotNull() & b.isNotNull(), banded)
 
 
 def error_rate(distance: Column, reference_length: Column) -> Column:
@@ -56,6 +66,27 @@ def strip_gaps(text: Column, *gaps: str) -> Column:
     return text
 
 
+def one_gap(text: Column) -> Column:
+    """Both gap signs as one, for models that know one only."""
+    return F.replace(text, F.lit(INSERT_GAP), F.lit(DELETE_GAP))
+
+
+def leading_blank_repaired(source: Column, target: Column, types: Column) -> Column:
+    """Aligned target and types as a struct, without a first blank that the target has and the source has not where lengths differ; null and error where lengths differ after that."""
+    extra = (F.length(source) != F.length(target)) & target.startswith(" ") & ~source.startswith(" ")
+    cut = lambda c: F.when(extra, F.substr(c, F.lit(2))).otherwise(c)
+    even = F.length(source) == F.length(cut(target))
+    return F.struct(F.when(even, cut(target)).alias("target"), F.when(even, cut(types)).alias("types"), (~even).alias("error"))
+
+
+def label_escaped(token: Column) -> Column:
+    """A token as a chart's label: control characters and backslashes escaped, and the word that charts read as their own in quotes."""
+    plain = F.replace(token, F.lit("\\"), F.lit("\\\\"))
+    for sign, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        plain = F.replace(plain, F.lit(sign), F.lit(f"\\{name}"))
+    return F.when(token == "if", '"if"').otherwise(plain)
+
+
 def clear_cell(text: Column, value: str) -> Column:
     """Empty where the whole cell equals the value; parts of cells stay."""
     return F.when(text == value, "").otherwise(text)
@@ -124,6 +155,16 @@ def clean_decoded(text: Column) -> Column:
     return F.regexp_replace(text, r"<START>|<PAD>|<UNK>|<END>.*", "")
 
 
+def word_text(kind: Column, plain: Column, raw: Column) -> Column:
+    """The text of a box: of words as it reads, of all other kinds the source."""
+    return F.when(kind == "word", plain).otherwise(raw)
+
+
+def thousands(value: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(value.cast("long"), 0)
+
+
 def fixed_number(value: Column, decimals: int = 2) -> Column:
     """A number as written in metric files; NaN stays, null gives NaN."""
     return F.when(value.isNull() | F.isnan(value), "NaN").otherwise(F.format_string(f"%.{decimals}f", value.cast("double")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import ranked
+
 
 def aligned_pairs(df: DataFrame, gt: str, ocr: str, *keep: str) -> DataFrame:
     """Each place of two equally long texts as a row: pos, pdf_letters, ocr_letters. Texts of different lengths give none."""
@@ -37,10 +39,10 @@ def subset(frame: DataFrame, per_cent: float | None = 0.01, count: int | None =
 
 
 def axis(frame: DataFrame) -> DataFrame:
-    """The tokens in drawing order: ground-truth tokens sorted, then those of OCR only, insertions and deletions last."""
+    """The tokens in drawing order: ground-truth tokens sorted, then those of OCR only, insertions and deletions last. No task sorts all tokens: of words there are many."""
     tokens = frame.select(F.col("pdf_letters").alias("token"), F.lit(0).alias("side")).union(frame.select("ocr_letters", F.lit(1))).groupBy("token").agg(F.min("side").alias("side"))
     gap = F.col("token").isin("^", "@").cast("int")
-    return tokens.withColumn("place", F.row_number().over(Window.orderBy(gap, "side", "token"))).select("token", "place")
+    return ranked(tokens, gap, "side", "token", column="place").select("token", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def folded(frame: DataFrame) -> DataFrame:

@@ -2,38 +2,71 @@
 
 from __future__ import annotations
 
-import time
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import error_rate
+from ..functions.text import error_rate, improvement
 from . import windows as W
 
 Corrector = Callable[[list[str]], list[str]]
 
 
-def correct(df: DataFrame, text: str, corrector: Corrector, out: str = "pred_text", error: str = "error") -> DataFrame:
-    """The texts corrected, a batch at a time. A batch that fails is tried again text by text; a text that fails has null and its error's name."""
+class Late(Exception):
+    """A corrector took too long."""
+
+
+@contextmanager
+def limit(seconds: float | None) -> Iterator[None]:
+    """Raises Late in the block after so many seconds, where the platform's timers allow it (a worker's main thread)."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(*_: object) -> None:
+        raise Late
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def correct(df: DataFrame, text: str, corrector: Corrector, out: str = "pred_text", error: str = "error", seconds: float | None = 120, at_once: int = 64) -> DataFrame:
+    """The texts corrected, at_once at a time. A group that fails or takes longer than one text may is tried again text by text; a text that fails, or takes
+    longer than so many seconds, has null and its error's name, and the others go on."""
 
     def one(x: str | None) -> tuple[str | None, str | None]:
         if x is None:
             return None, None
         try:
-            return corrector([x])[0], None
+            with limit(seconds):
+                return corrector([x])[0], None
         except Exception as failed:
             return None, type(failed).__name__
 
+    def group(texts: list[str | None]) -> list[tuple[str | None, str | None]]:
+        given = [x for x in texts if x is not None]
+        try:
+            with limit(seconds):
+                got = iter(corrector(given) if given else [])
+            return [(None, None) if x is None else (next(got), None) for x in texts]
+        except Exception:
+            return [one(x) for x in texts]
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            given = [x for x in texts if x is not None]
-            try:
-                got = iter(corrector(given))
-                rows = [(None, None) if x is None else (next(got), None) for x in texts]
-            except Exception:
-                rows = [one(x) for x in texts]
+            every = texts.tolist()
+            rows = [r for at in range(0, len(every), at_once) for r in group(every[at : at + at_once])]
             yield pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -41,27 +74,38 @@ def correct(df: DataFrame, text: str, corrector: Corrector, out: str = "pred_tex
     return df.withColumn("__both", both).withColumn(out, F.col("__both.text")).withColumn(error, F.col("__both.error")).drop("__both")
 
 
+def correct_by_all(df: DataFrame, text: str, models: dict[str, Corrector], seconds: float | None = 120) -> DataFrame:
+    """A column of predictions for each named model, and one of its errors (<name>_error). A model that fails on a text takes nothing from the others."""
+    for name, model in models.items():
+        df = correct(df, text, model, name, f"{name}_error", seconds)
+    return df
+
+
 def correct_disjoint(df: DataFrame, key: str, text: str, corrector: Corrector, size: int = 50) -> DataFrame:
     """key and text, corrected in windows side by side that are joined again. Empty texts have no row."""
-    parts = W.windows(df.select(key, text), text, W.starts_disjoint(F.length(text), size), size)
+    parts = W.windows(df.select(key, text), text, "disjoint", size)
     return W.stitched(correct(parts, text, corrector, text).select(key, "start", text), key, "start", text)
 
 
 def correct_ngrams(df: DataFrame, key: str, text: str, corrector: Corrector, size: int = 50, weighting: str = "uniform") -> DataFrame:
     """key and text, corrected in all full windows that then vote on each place."""
-    parts = W.windows(df.select(key, text).withColumn("n", F.length(text)), text, W.starts_full(F.length(text), size), size)
+    parts = W.windows(df.select(key, text).withColumn("n", F.length(text)), text, "full", size)
     return W.elected(W.votes(correct(parts, text, corrector, text), key, "n", text, weighting, size), key).withColumnRenamed("text", text)
 
 
-def evaluation_grid(df: DataFrame, key: str, ocr: str, gt: str, corrector: Corrector, size: int, distance: Callable[[Column, Column], Column]) -> DataFrame:
-    """window, window_size, weighting, seconds, cer_before, cer_after, improvement for disjoint windows of two sizes and sliding ones of three weightings."""
-    spark, rows = df.sparkSession, []
+def evaluation_grid(df: DataFrame, key: str, ocr: str, gt: str, decoders: dict[str, Corrector], size: int, distance: Callable[[Column, Column], Column]) -> DataFrame:
+    """decoding, window, window_size, weighting, cer_before, cer_after, improvement for each decoder with disjoint windows of two sizes and sliding ones of three weightings.
+
+    One plan: the cells' corrected texts are put one under the other and aggregated together.
+    """
     cells = [("disjoint", s, None) for s in (size, 2 * size)] + [("sliding", size, w) for w in ("uniform", "triangle", "bell")]
-    for window, n, weighting in cells:
-        began = time.time()
-        fixed = correct_disjoint(df, key, ocr, corrector, n) if weighting is None else correct_ngrams(df, key, ocr, corrector, n, weighting)
-        joined = df.join(fixed.withColumnRenamed(ocr, "__fixed"), key)
-        rate = lambda c: F.avg(error_rate(distance(F.col(c), F.col(gt)), F.length(gt)))
-        before, after = joined.agg(rate(ocr), rate("__fixed")).first()
-        rows.append((window, n, weighting, time.time() - began, before, after, 100 * (1 - after / before) if before else None))
-    return spark.createDataFrame(rows, "window string, window_size int, weighting string, seconds double, cer_before double, cer_after double, improvement double")
+    every = []
+    for decoding, corrector in decoders.items():
+        for window, n, weighting in cells:
+            done = correct_disjoint(df, key, ocr, corrector, n) if weighting is None else correct_ngrams(df, key, ocr, corrector, n, weighting)
+            cell = (F.lit(decoding).alias("decoding"), F.lit(window).alias("window"), F.lit(n).alias("window_size"), F.lit(weighting).cast("string").alias("weighting"))
+            every.append(done.select(F.col(key).alias("__key"), F.col(ocr).alias("__fixed"), *cell))
+    joined = reduce(DataFrame.unionByName, every).join(df.select(F.col(key).alias("__key"), F.col(ocr).alias("__ocr"), F.col(gt).alias("__gt")), "__key")
+    rate = lambda c: F.avg(error_rate(distance(F.col(c), F.col("__gt")), F.length("__gt")))
+    rates = joined.groupBy("decoding", "window", "window_size", "weighting").agg(rate("__ocr").alias("cer_before"), rate("__fixed").alias("cer_after"))
+    return rates.withColumn("improvement", improvement(F.col("cer_before"), F.col("cer_after")))

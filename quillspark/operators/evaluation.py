@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup
+from ..functions.editing import with_word_distances, words
+from ..functions.text import MARKS, edit_distance, error_rate, has_residual_command, improvement, mask_inline_prediction, mask_inline_target
+
 
 def description(column: str) -> list[Column]:
     """count, mean, sample deviation, minimum, quartiles (exact, linear) and maximum."""
@@ -53,3 +57,43 @@ def precision_recall(counts: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     seen = lambda c: F.when(F.col("n") > 0, c)
     return counts.withColumn("precision", seen(ratio(tp, tp + fp))).withColumn("recall", seen(ratio(tp, tp + fn))).withColumn("f1", seen(ratio(2 * tp, 2 * tp + fp + fn)))
+
+
+def report(df: DataFrame, **rates: tuple[str, str]) -> DataFrame:
+    """The whole report as rows of metric and value: for each named rate with its columns before and after, mean, median, deviation and interquartile range of both
+    and of the improvement, and the per cent of rows that did not get worse; all rounded to two places, in one pass over the rows."""
+    out = []
+    for name, (before, after) in rates.items():
+        gain = improvement(F.col(before), F.col(after))
+        for kind, column in (("before", F.col(before)), ("after", F.col(after)), ("improvement", gain)):
+            out.append(spread(column).alias(f"{name}_{kind}"))
+        worse = F.count(F.when(F.coalesce(F.col(before) < F.col(after), F.lit(False)), 1))
+        out.append((100.0 * (F.count(F.lit(1)) - worse) / F.count(F.lit(1))).alias(f"{name}_not_worse"))
+    wide = df.agg(*out)
+    stats = [F.round(F.col(f"{name}_{kind}.{x}"), 2).alias(f"{name}_{kind}_{x}") for name in rates for kind in ("before", "after", "improvement") for x in ("mean", "median", "std", "iqr")]
+    flat = wide.select(*stats, *(F.round(f"{name}_not_worse", 2).alias(f"{name}_not_worse") for name in rates))
+    return flat.unpivot([], flat.columns, "metric", "value")
+
+
+def fixed(df: DataFrame, ocr: str = "ocr", target: str = "target", predicted: str = "predicted", marks: dict[str, str] = MARKS) -> DataFrame:
+    """The rows with texts in which math, citations and references are marks, and error rates in characters and words (cer_, wer_) against the target:
+    of the OCR text (orig) and the prediction (corr) as they are, of the fixed prediction (fix_corr) and of the OCR text (fix) against the fixed target.
+
+    evaluated is false, and all that is new null, where a text is null, dollars in the target do not pair, or the fixed target still has
+    control sequences. No row is dropped.
+    """
+
+    def fix(text: Column) -> Column:
+        return markup.mask_commands_column(markup.mask_commands_column(text, "\\cite", marks["cite"]), "\\ref", marks["ref"])
+
+    whole = df.withColumn("target_fixed", fix(mask_inline_target(F.col(target), marks["inline"]))).withColumn("predicted_fixed", fix(mask_inline_prediction(F.col(predicted), marks["inline"])))
+    known = F.col(ocr).isNotNull() & F.col(predicted).isNotNull() & F.col("target_fixed").isNotNull()
+    whole = whole.withColumn("evaluated", F.coalesce(known & ~has_residual_command(F.col("target_fixed")), F.lit(False)))
+    shown = lambda c: F.when(F.col("evaluated"), F.col(c))
+    whole = whole.withColumn("target_fixed", shown("target_fixed")).withColumn("predicted_fixed", shown("predicted_fixed"))
+    pairs = {"orig": (ocr, target), "corr": (predicted, target), "fix_corr": ("predicted_fixed", "target_fixed"), "fix": (ocr, "target_fixed")}
+    rows = with_word_distances(whole, **{f"__wer_{name}": pair for name, pair in pairs.items()})
+    rate = lambda edits, size: F.when(F.col("evaluated"), error_rate(edits, size))
+    cers = {f"cer_{name}": rate(edit_distance(F.col(a), F.col(b)), F.length(b)) for name, (a, b) in pairs.items()}
+    wers = {f"wer_{name}": rate(F.col(f"__wer_{name}"), words(F.col(b))) for name, (_, b) in pairs.items()}
+    return rows.withColumns(cers | wers).drop(*(f"__wer_{name}" for name in pairs))

@@ -44,6 +44,15 @@ def marked_text(texts: DataFrame, kind: str) -> DataFrame:
     return texts.select("doc", F.explode(both).alias("m")).select("doc", F.col("m.n").cast("int").alias("mark_id"), F.col("m.raw").alias("raw"))
 
 
+#: What a document needs in front so that the marks compile.
+PREAMBLE = "\\usepackage{tikz}\n\\usetikzlibrary{tikzmark}\n"
+
+
+def with_preamble(text: Column) -> Column:
+    """The document with what the marks need before its body begins."""
+    return F.replace(text, F.lit("\\begin{document}"), F.lit(PREAMBLE + "\\begin{document}"))
+
+
 def segments(texts: DataFrame) -> DataFrame:
     """doc, pos, token: the words of a TeX document's body. Inline math is one word; comments go."""
     body = F.regexp_extract("text", r"(?s)\\begin\{document\}(.*)\\end\{document\}", 1)
@@ -63,6 +72,11 @@ def _field(title: Column, pattern: str, kind: str, default: str = "NULL") -> Col
     return F.coalesce(F.when(found != "", found).cast(kind), F.expr(f"CAST({default} AS {kind})"))
 
 
+def without_namespace(markup: Column) -> Column:
+    """XML without the namespace that its first tag declares, so that names are plain."""
+    return F.regexp_replace(markup, r"\sxmlns(?::\w+)?=(?:\"[^\"]*\"|'[^']*')", "")
+
+
 def hocr_words(pages: DataFrame) -> DataFrame:
     """doc, line_id, x, y, w, h, conf, textangle, fontsize, baseline0, baseline1, descenders, ascenders, text of each word of hOCR pages.
 

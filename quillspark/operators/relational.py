@@ -90,8 +90,9 @@ def chunk_ids(df: DataFrame, key: str, chunks: int, column: str = "chunk") -> Da
     return rows.withColumn(column, chunk.cast("int")).drop("__rank", "__rows")
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(bucket(F.col(key), 1_000_003, seed), key)
+def shuffled(df: DataFrame, key: str, seed: int = 0, column: str = "place") -> DataFrame:
+    """Rows with their places in a random order that hangs on the keys and the seed alone."""
+    return ranked(df, bucket(F.col(key), 1_000_003, seed), key, column=column)
 
 
 def first_hits(df: DataFrame, condition: Column, n: int, *order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import scaled_points_to_pixels
+
 CELL = 64
 
 
@@ -21,6 +23,12 @@ def hyphenated_words(marks: DataFrame) -> DataFrame:
     return marks.filter(F.col("y0") != F.col("y1"))
 
 
+def pixel_boxes(marks: DataFrame, height: Column, factor: float = 4.0) -> DataFrame:
+    """Marks with their corners in pixels: x from the left, y from the top of a page of that height (TeX counts from the bottom)."""
+    x, y = (lambda c: scaled_points_to_pixels(F.col(c), factor).cast("long")), (lambda c: height - scaled_points_to_pixels(F.col(c), factor).cast("long"))
+    return marks.withColumns({"xmin": x("x0"), "ymin": y("y0"), "xmax": x("x1"), "ymax": y("y1")})
+
+
 def _cells(low: Column, high: Column, cell: int) -> Column:
     return F.sequence(F.floor(low / cell), F.floor(F.greatest(low, high) / cell))
 

@@ -2,43 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import ranked
+
 PAD, START, END, FIRST = 0, 1, 2, 3
 UNKNOWN = "<UNK>"
 
 
-def starts_sliding(length: Column) -> Column:
-    """Every place of the text and the place after it."""
-    return F.sequence(F.lit(0), length)
+#: Texts are cut into pieces of about so many characters before windows are taken, since a window's place in a string is found by counting from its start.
+PIECE = 512
 
 
-def starts_disjoint(length: Column, size: int) -> Column:
-    return F.when(length > 0, F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(size))).otherwise(F.array().cast("array<int>"))
+def pieces(text: Column, size: int, after: int) -> Column:
+    """The text in pieces of size characters, each with its number, and up to after characters that follow it: one pass, whatever the text's length. An empty text is one empty piece."""
+    pattern = rf"(?s)(.{{1,{size}}})(?=(.{{0,{after}}}))"
+    one = lambda group, name: F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias(name)
+    empty = F.array(F.struct(F.lit("").alias("own"), F.lit("").alias("next")))
+    return F.when(F.length(text) == 0, empty).otherwise(F.arrays_zip(one(1, "own"), one(2, "next")))
 
 
-def starts_full(length: Column, size: int) -> Column:
-    """Places of full windows only; a text that is no longer than a window has one."""
-    return F.sequence(F.lit(0), F.greatest(length - size, F.lit(0)))
+def windows(df: DataFrame, text: str, kind: str, size: int, *others: str) -> DataFrame:
+    """A row for each window: start, and the window of the text and of each other column (equally long texts) there.
 
+    sliding: every place of the text and the place after it, the last windows being shorter. disjoint: side by side, the last one shorter,
+    none of an empty text. full: every place where a window fits; a text that is no longer than a window has one. Null texts have none.
 
-def windows(df: DataFrame, text: str, starts: Column, size: int, *others: str) -> DataFrame:
-    """A row for each start: the window of the text and of each other column (equally long texts) there."""
-    cut = {c: F.substring(F.col(c), F.col("start") + 1, F.lit(size)) for c in (text, *others)}
-    return df.withColumn("start", F.explode(starts)).withColumns(cut)
+    Work is proportional to a text's length: windows are cut from pieces of a bounded size, which have size - 1 characters of the next one.
+    """
+    step = size if kind == "disjoint" else max(PIECE, size)
+    columns = (text, *others)
+    cut = F.arrays_zip(*(pieces(F.col(c), step, 0 if kind == "disjoint" else size - 1).alias(f"c{k}") for k, c in enumerate(columns)))
+    rows = df.withColumn("__length", F.length(text)).select("*", F.posexplode(cut).alias("__piece", "__cut"))
+    part = lambda k, name: F.col("__cut").getField(f"c{k}").getField(name)
+    if kind == "disjoint":
+        rows = rows.filter(F.col("__length") > 0)
+        return rows.withColumns({"start": F.col("__piece") * step, **{c: part(k, "own") for k, c in enumerate(columns)}}).drop("__length", "__piece", "__cut")
+    begin, own = F.col("__piece") * step, F.length(part(0, "own"))
+    if kind == "sliding":
+        # the piece that ends the text has the place after it as well
+        high = F.when(begin + own == F.col("__length"), own).otherwise(own - 1)
+    elif kind == "full":
+        high = F.least(F.greatest(own - 1, F.lit(0)), F.greatest(F.col("__length") - size, F.lit(0)) - begin)
+    else:
+        raise ValueError(kind)
+    rows = rows.withColumn("__high", high).filter("__high >= 0").withColumns({f"__w{k}": F.concat(part(k, "own"), part(k, "next")) for k in range(len(columns))}).drop("__cut")
+    rows = rows.withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__high"))))
+    windowed = {c: F.substring(F.col(f"__w{k}"), F.col("__at") + 1, F.lit(size)) for k, c in enumerate(columns)}
+    return rows.withColumns({"start": begin + F.col("__at"), **windowed}).drop("__length", "__piece", "__high", "__at", *(f"__w{k}" for k in range(len(columns))))
 
 
 def weight(kind: str, j: Column, size: int) -> Column:
-    """What a window's place j counts: the same everywhere (uniform), falling from the middle in a line (triangle) or as a bell."""
+    """What a window's place j counts: the same everywhere (uniform), falling from the middle in a line (triangle) or as a bell; decimals, whose sums do not hang on their order."""
     middle = size // 2
     if kind == "uniform":
-        return F.lit(1.0)
-    if kind == "triangle":
-        return middle - 0.5 * F.abs(middle - j)
-    if kind == "bell":
-        return F.exp(-F.pow((middle - j) / F.lit(float(middle)), F.lit(2.0)))
-    raise ValueError(kind)
+        value = F.lit(1.0)
+    elif kind == "triangle":
+        value = middle - 0.5 * F.abs(middle - j)
+    elif kind == "bell":
+        value = F.exp(-F.pow((middle - j) / F.lit(float(max(middle, 1))), F.lit(2.0)))
+    else:
+        raise ValueError(kind)
+    return F.round(value, 6).cast("decimal(18,6)")
 
 
 def votes(parts: DataFrame, key: str, length: str, window: str, kind: str, size: int) -> DataFrame:
@@ -70,10 +96,9 @@ def characters(df: DataFrame, text: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str, *more: str) -> DataFrame:
     """char and idx: the characters in order, from 3 on, with those added and the sign for unknown ones."""
-    spark = df.sparkSession
-    added = spark.createDataFrame([(c,) for c in (*more, UNKNOWN)], "char string")
+    added = df.sparkSession.createDataFrame([(c,) for c in (*more, UNKNOWN)], "char string")
     every = characters(df, text).select("char").union(added).distinct()
-    return every.withColumn("idx", F.row_number().over(Window.orderBy("char")) + FIRST - 1)
+    return ranked(every, "char", column="idx").withColumn("idx", (F.col("idx") + FIRST).cast("int"))
 
 
 def index_map(vocab: DataFrame) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,23 +13,9 @@ from ..operators import evaluation as E
 from ..operators import relational as R
 from ..operators import spatial as S
 from ..operators import windows as W
+from . import files  # noqa: F401
 from .inputs import BOX_SQL, FOLD, LINES_SQL, RATED_SQL, boxes, lines, rated, spread, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with the SQL that gives its rows."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLES, QUERIES, query
 
 # --- error rates and their statistics
 
@@ -42,11 +26,17 @@ def cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.withColumn("cer", X.error_rate(F.col("edits"), F.col("chars")))
 
 
-@query()
+#: The channel and the corrector keep words apart, so that words at the same places are the ones that a shortest script pairs.
+_WORDS = "list_filter(string_split({}, ' '), lambda x: x <> '')"
+_WORD_EDITS = "len(list_filter(range(1, len(w_{b}) + 1), lambda i: w_{a}[i] <> w_{b}[i]))"
+
+
+@query(f"""WITH {LINES_SQL}, w AS (SELECT lang, {_WORDS.format('ocr')} AS w_ocr, {_WORDS.format('gt')} AS w_gt FROM lines),
+ s AS (SELECT lang, sum({_WORD_EDITS.format(a='ocr', b='gt')})::BIGINT AS edits, sum(len(w_gt))::BIGINT AS words FROM w GROUP BY lang) SELECT *, 100.0::DOUBLE * edits / greatest(words, 1) AS wer FROM s""")
 def wer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).withColumn("edits", editing.word_distance_column(F.col("ocr"), F.col("gt")))
-    words = F.size(F.filter(F.split("gt", r"\s+"), lambda w: w != ""))
-    return rows.groupBy("lang").agg(F.sum("edits").alias("edits"), F.sum(words).alias("words")).withColumn("wer", X.error_rate(F.col("edits"), F.col("words")))
+    rows = editing.with_word_distances(lines(spark, sf_dir), edits=("ocr", "gt"))
+    summed = rows.groupBy("lang").agg(F.sum("edits").alias("edits"), F.sum(editing.words(F.col("gt"))).cast("long").alias("words"))
+    return summed.withColumn("wer", X.error_rate(F.col("edits"), F.col("words")))
 
 
 @query(f"""WITH {RATED_SQL} SELECT lang, count(before) AS n, round(avg(before), 6) AS mean, round(stddev_samp(before), 6) AS std, min(before) AS min, quantile_cont(before, 0.25) AS q25,
@@ -70,14 +60,27 @@ def better_worse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(spark, sf_dir).groupBy("source").agg(*E.better_worse(F.col("before"), F.col("after")))
 
 
-@query(f"""WITH {RATED_SQL}, a AS (SELECT count(*)::DOUBLE AS rows_all, round(avg(before), 6) AS before_mean, round(avg(after), 6) AS after_mean, quantile_cont(before, 0.5)::DOUBLE AS before_median,
- quantile_cont(after, 0.5)::DOUBLE AS after_median, (count(*) FILTER (before < after))::DOUBLE AS worse FROM rated) UNPIVOT a ON rows_all, before_mean, after_mean, before_median, after_median, worse INTO NAME metric VALUE value""")
+_RATES = f"""{RATED_SQL}, w AS (SELECT *, {_WORDS.format('ocr')} AS w_ocr, {_WORDS.format('pred')} AS w_pred, {_WORDS.format('gt')} AS w_gt FROM rated),
+ r AS (SELECT before AS cer_before, after AS cer_after, 100.0::DOUBLE * {_WORD_EDITS.format(a='ocr', b='gt')} / greatest(len(w_gt), 1) AS wer_before, 100.0::DOUBLE * {_WORD_EDITS.format(a='pred', b='gt')} / greatest(len(w_gt), 1) AS wer_after FROM w),
+ i AS (SELECT *, CASE WHEN cer_before <> 0 THEN 100.0::DOUBLE * (1 - cer_after / cer_before) END AS cer_improvement, CASE WHEN wer_before <> 0 THEN 100.0::DOUBLE * (1 - wer_after / wer_before) END AS wer_improvement FROM r)"""
+
+
+def _report_sql() -> str:
+    kinds = [f"{rate}_{kind}" for rate in ("cer", "wer") for kind in ("before", "after", "improvement")]
+    stats = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "std": "stddev_samp({0})", "iqr": "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"}
+    values = {f"{k}_{name}": f"round({f.format(k)}, 2)::DOUBLE" for k in kinds for name, f in stats.items()}
+    values |= {f"{rate}_not_worse": f"round(100.0::DOUBLE * (count(*) - count(*) FILTER ({rate}_before < {rate}_after)) / count(*), 2)::DOUBLE" for rate in ("cer", "wer")}
+    wide = ", ".join(f"{f} AS {name}" for name, f in values.items())
+    return f"WITH {_RATES}, a AS (SELECT {wide} FROM i) UNPIVOT a ON {', '.join(values)} INTO NAME metric VALUE value"
+
+
+@query(_report_sql())
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = rated(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("rows_all"), F.round(F.avg("before"), 6).alias("before_mean"), F.round(F.avg("after"), 6).alias("after_mean"),
-        F.percentile("before", 0.5).alias("before_median"), F.percentile("after", 0.5).alias("after_median"), F.count(F.when(F.col("before") < F.col("after"), 1)).alias("worse"),
-    )
-    return wide.select(*(F.col(c).cast("double").alias(c) for c in wide.columns)).unpivot([], wide.columns, "metric", "value")
+    """All 26 numbers of the report: error rates in characters and words before and after correction, their improvement, and rows not worse."""
+    rows = editing.with_word_distances(rated(spark, sf_dir), wb=("ocr", "gt"), wa=("pred", "gt"))
+    size = editing.words(F.col("gt"))
+    rows = rows.select("before", "after", X.error_rate(F.col("wb"), size).alias("w_before"), X.error_rate(F.col("wa"), size).alias("w_after"))
+    return E.report(rows, cer=("before", "after"), wer=("w_before", "w_after"))
 
 
 @query(f"WITH {RATED_SQL} SELECT doc_id, line_no::INTEGER AS line_no, before, after FROM rated WHERE after >= before AND before > 0")
@@ -208,20 +211,20 @@ def fill_types(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, count(*) AS n, sum(length(substr(t, i + 1, 100)))::BIGINT AS chars, count(*) FILTER (substr(t, i + 1, 100) = '') AS empty FROM w GROUP BY doc_id""")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("w")))
-    rows = W.windows(docs, "w", W.starts_sliding(F.length("w")), 100)
+    rows = W.windows(docs, "w", "sliding", 100)
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("w")).alias("chars"), F.count(F.when(F.col("w") == "", 1)).alias("empty"))
 
 
 @query("""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 50)) AS start FROM documents) SELECT doc_id, start::INTEGER AS start, substr(text, start + 1, 50) AS w FROM w""")
 def disjoint_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w"))
-    return W.windows(docs, "w", W.starts_disjoint(F.length("w"), 50), 50).select("doc_id", "start", "w")
+    return W.windows(docs, "w", "disjoint", 50).select("doc_id", "start", "w")
 
 
 @query("""WITH w AS (SELECT item_id, text, unnest(range(greatest(length(text) - 20, 0) + 1)) AS start FROM benchmark) SELECT item_id, start::INTEGER AS start, substr(text, start + 1, 20) AS w FROM w""")
 def ngram_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("w"))
-    return W.windows(items, "w", W.starts_full(F.length("w"), 20), 20).select("item_id", "start", "w")
+    return W.windows(items, "w", "full", 20).select("item_id", "start", "w")
 
 
 _VOTE = """WITH b AS (SELECT item_id, text, length(text) AS n FROM benchmark), w AS (SELECT item_id, n, text, unnest(range(greatest(n - 20, 0) + 1)) AS i FROM b),
@@ -233,7 +236,7 @@ _VOTE = """WITH b AS (SELECT item_id, text, length(text) AS n FROM benchmark), w
 
 def _vote(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.length("text").alias("n"))
-    parts = W.windows(items, "text", W.starts_full(F.col("n"), 20), 20)
+    parts = W.windows(items, "text", "full", 20)
     read = F.when(F.col("start") % 3 == 0, F.translate("text", "lO", "10")).otherwise(F.col("text"))
     return W.elected(W.votes(parts.withColumn("text", read), "item_id", "n", "text", kind, 20), "item_id")
 
@@ -248,7 +251,7 @@ def window_vote_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vote(spark, sf_dir, "triangle")
 
 
-@query()
+@query(_VOTE.format(w="round(exp(-pow((10 - j) / 10.0::DOUBLE, 2)), 6)::DECIMAL(18, 6)"))
 def window_vote_bell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vote(spark, sf_dir, "bell")
 
@@ -293,7 +296,7 @@ _RARE = "WITH {v}, w AS (SELECT doc_id, unnest(range(0, length(text), 50)) AS st
 def rare_char_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w")))
     index = W.index_map(W.vocabulary(docs, "w", "@"))
-    wins = W.windows(docs, "w", W.starts_disjoint(F.length("w"), 50), 50).withColumn("rare", F.exists(W.encode(F.col("w"), index), lambda i: i >= 60))
+    wins = W.windows(docs, "w", "disjoint", 50).withColumn("rare", F.exists(W.encode(F.col("w"), index), lambda i: i >= 60))
     return wins.agg(F.count(F.when(F.col("rare"), 1)).alias("rare"), F.count(F.lit(1)).alias("n")).withColumn("pct", 100.0 * F.col("rare") / F.col("n"))
 
 
@@ -301,7 +304,7 @@ def rare_char_share(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT char, arg_min(doc_id, (doc_id, start)) AS doc_id, arg_min(start, (doc_id, start))::INTEGER AS start FROM c WHERE char <> '' GROUP BY char""")
 def first_window_with_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w")))
-    wins = W.windows(docs, "w", W.starts_disjoint(F.length("w"), 50), 50)
+    wins = W.windows(docs, "w", "disjoint", 50)
     chars = wins.select("doc_id", "start", F.explode(F.array_distinct(F.split("w", ""))).alias("char")).filter(F.col("char") != "")
     best = chars.groupBy("char").agg(F.min(F.struct("doc_id", "start")).alias("f"))
     return best.select("char", "f.doc_id", "f.start")
@@ -345,19 +348,34 @@ def residual_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tex(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(X.has_residual_command(F.col("tex")), 1)).alias("residual"))
 
 
-@query()
-def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets and predictions with marks for math, citations and references, error rates before and after, and whether commands are left."""
-    rows = _tex(spark, sf_dir).withColumn("pred", X.noisy(F.col("tex")))
+_SIGNS = "'↭↫↷', chr(1) || chr(2) || chr(3)"
+_FIX = r"regexp_replace(regexp_replace({}, '\\cite[^{{}}]*?\{{[^{{}}]*\}}', '↫', 'g'), '\\ref[^{{}}]*?\{{[^{{}}]*\}}', '↷', 'g')"
+_NOISE_TEX = "translate(replace(replace(replace(tex, ' the ', ' te '), 'rn', 'm'), 'cl', 'd'), 'lO', '10')"
+
 
-    def fix(c: str, inline):
-        cited = markup.mask_commands_column(inline(F.col(c)), "\\cite", X.MARKS["cite"])
-        return markup.mask_commands_column(cited, "\\ref", X.MARKS["ref"])
+def _fixed_sql() -> str:
+    inline = r"regexp_replace({}, '\$[^$]*\$', '↭', 'g')"
+    target = f"CASE WHEN (length(tex) - length(replace(tex, '$', ''))) % 2 = 0 THEN {inline.format('tex')} END"
+    predicted = r"regexp_replace(" + inline.format("pred") + r", '^.*\$', '')"
+    # a letter that the channel changes stands between the words here, so that shortest scripts are compared over ASCII
+    pairs = {"orig": ("ocr", "tex"), "corr": ("pred", "tex"), "fix_corr": ("predicted_fixed", "target_fixed"), "fix": ("ocr", "target_fixed")}
+    plain = lambda c: f"translate({c}, {_SIGNS})" if c.endswith("fixed") else c
+    words = ", ".join(f"{_WORDS.format(c)} AS w_{c}" for c in ("ocr", "tex", "pred", "predicted_fixed", "target_fixed"))
+    cer = ", ".join(f"CASE WHEN evaluated THEN 100.0::DOUBLE * levenshtein({plain(a)}, {plain(b)}) / greatest(length({b}), 1) END AS cer_{n}" for n, (a, b) in pairs.items())
+    wer = ", ".join(f"CASE WHEN evaluated THEN 100.0::DOUBLE * {_WORD_EDITS.format(a=a, b=b)} / greatest(len(w_{b}), 1) END AS wer_{n}" for n, (a, b) in pairs.items() if n != "orig")
+    return rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no::INTEGER AS line_no, ocr, {_TEX} AS tex FROM lines), p AS (SELECT *, {_NOISE_TEX} AS pred FROM t),
+ f AS (SELECT *, {_FIX.format(target)} AS target_fixed, {_FIX.format(predicted)} AS predicted_fixed FROM p),
+ e AS (SELECT *, coalesce(NOT regexp_matches(translate(target_fixed, '*`$', ''), '\\([^a-zA-Z]|[a-zA-Z]+[*='']?)'), false) AS evaluated FROM f),
+ w AS (SELECT *, {words} FROM e)
+ SELECT doc_id, line_no, evaluated, CASE WHEN evaluated THEN target_fixed END AS target_fixed, CASE WHEN evaluated THEN predicted_fixed END AS predicted_fixed, {cer}, {wer} FROM w"""
 
-    fixed = rows.withColumn("target_fixed", fix("tex", X.mask_inline_target)).withColumn("pred_fixed", fix("pred", X.mask_inline_prediction))
-    left = X.has_residual_command(F.col("target_fixed"))
-    rate = lambda a, b: F.when(~left, X.error_rate(X.edit_distance(F.col(a), F.col(b)), F.length(b)))
-    return fixed.select("doc_id", "line_no", left.alias("masked"), rate("pred", "tex").alias("cer_orig"), rate("pred_fixed", "target_fixed").alias("cer_fixed"))
+
+@query(_fixed_sql())
+def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and predictions with marks for math, citations and references, and error rates of texts as they are and fixed."""
+    rows = _tex(spark, sf_dir).withColumn("predicted", X.noisy(F.col("tex")))
+    out = E.fixed(rows, "ocr", "tex", "predicted")
+    return out.select("doc_id", "line_no", "evaluated", "target_fixed", "predicted_fixed", *(f"cer_{n}" for n in ("orig", "corr", "fix_corr", "fix")), *(f"wer_{n}" for n in ("corr", "fix_corr", "fix")))
 
 
 @query()
@@ -366,6 +384,16 @@ def tagged_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.explode(F.split("types", "")).alias("code")).filter("code <> ''").groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {LINES_SQL} SELECT doc_id, count(*) FILTER (line_no % 3 = 2) AS errors, sum(length(gt)) FILTER (line_no % 3 <> 2)::BIGINT AS chars, sum(length(replace(gt, '^', '@')) - length(replace(replace(gt, '^', ''), '@', '')))::BIGINT AS gaps FROM lines GROUP BY doc_id""")
+def blanks_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned targets with a blank too many in front (every third line) or another character too many, as models return them."""
+    text = F.concat(F.lit("w"), F.col("gt"))
+    extra = F.when(F.col("line_no") % 3 == 1, F.concat(F.lit(" "), text)).when(F.col("line_no") % 3 == 2, F.concat(F.lit("x"), text)).otherwise(text)
+    rows = lines(spark, sf_dir).select("doc_id", "gt", X.leading_blank_repaired(text, extra, extra).alias("r"))
+    gaps = F.length(X.one_gap(F.col("gt"))) - F.length(X.strip_gaps(X.one_gap(F.col("gt")), "@"))
+    return rows.groupBy("doc_id").agg(F.count(F.when(F.col("r.error"), 1)).alias("errors"), F.sum(F.length("r.target") - 1).alias("chars"), F.sum(gaps).alias("gaps"))
+
+
 @query(f"""WITH {LINES_SQL}, t AS (SELECT doc_id, unnest(string_split({_TYPES}, '')) AS code FROM lines) SELECT doc_id, CASE code WHEN 'W' THEN 'word' WHEN 'I' THEN 'inline' ELSE 'delete' END AS type, count(*) AS n
  FROM t WHERE code IN ('W', 'I', '@') GROUP BY ALL""")
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,12 +411,14 @@ def hyphen_type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- alignment and confusion
 
 
-@query()
+@query(f"""WITH {LINES_SQL} SELECT doc_id, line_no::INTEGER AS line_no, replace(ocr, '^', '') AS ocr, replace(gt, '@', '') AS gt, levenshtein(ocr, gt)::INTEGER AS edits, true AS even FROM lines""")
 def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with its texts padded to one length, and whether taking the gaps out gives the texts back."""
+    """Every line aligned, then read back: without gaps it gives both texts, it differs in as many places as there are edits, and all four strings are of one length."""
     rows = lines(spark, sf_dir).withColumn("a", editing.aligned_column(F.col("ocr"), F.col("gt")))
-    back = (F.length("a.ocr_aligned") == F.length("a.gt_aligned")) & (F.length("a.ocr_types") == F.length("a.gt_types"))
-    return rows.select("doc_id", "line_no", "a.ocr_aligned", "a.gt_aligned", "a.ocr_types", "a.gt_types", back.alias("even"))
+    size = F.length("a.ocr_aligned")
+    even = (size == F.length("a.gt_aligned")) & (size == F.length("a.ocr_types")) & (size == F.length("a.gt_types"))
+    unequal = F.size(F.filter(F.zip_with(F.split("a.ocr_aligned", ""), F.split("a.gt_aligned", ""), lambda x, y: x != y), lambda differs: differs))
+    return rows.select("doc_id", "line_no", X.strip_gaps(F.col("a.ocr_aligned"), "^").alias("ocr"), X.strip_gaps(F.col("a.gt_aligned"), "@").alias("gt"), unequal.alias("edits"), even.alias("even"))
 
 
 @query()
@@ -412,10 +442,14 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _confusion(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {LINES_SQL}, c AS (SELECT 'gt' AS side, unnest(string_split(gt, '')) AS letter FROM lines UNION ALL SELECT 'ocr', unnest(string_split(ocr, '')) FROM lines)
+ SELECT side, letter, count(*) AS n FROM c WHERE letter NOT IN ('', '^', '@') GROUP BY ALL""")
 def confusion_of_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both margins of the confusion of aligned lines: every letter of each side is in as many pairs as it occurs."""
     rows = lines(spark, sf_dir).select(editing.aligned_column(F.col("ocr"), F.col("gt")).alias("a")).select("a.*")
-    return C.confusion(C.aligned_pairs(rows, "gt_aligned", "ocr_aligned"))
+    frame = C.confusion(C.aligned_pairs(rows, "gt_aligned", "ocr_aligned"))
+    margin = lambda side, letter: frame.groupBy(F.lit(side).alias("side"), F.col(letter).alias("letter")).agg(F.sum("counts_unnormalized").alias("n"))
+    return margin("gt", "pdf_letters").unionByName(margin("ocr", "ocr_letters")).filter(~F.col("letter").isin("^", "@"))
 
 
 @query(f"""{_PAIRS} SELECT CASE WHEN pdf_letters = '@' AND ocr_letters <> '@' THEN 'DELETE' ELSE pdf_letters END AS pdf, CASE WHEN ocr_letters = '^' AND pdf_letters <> '^' THEN 'INSERT' ELSE ocr_letters END AS ocr, counts, counts_unnormalized
@@ -465,28 +499,32 @@ def mark_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- boxes and marks
 
-_TOUCH = "s.page = o.page AND l_xmin <= r_xmax AND l_xmax >= r_xmin AND l_ymax >= r_ymin AND l_ymin - 8 <= r_ymax AND abs(l_id - r_id) <= 40"
+#: Boxes by the grid cells they meet; a pair counts in the cell of its common corner.
+_TOUCH = """lc AS (SELECT *, unnest(range(floor(l_xmin / 64)::INTEGER, floor(l_xmax / 64)::INTEGER + 1)) AS cx FROM sgt), l AS (SELECT *, unnest(range(floor((l_ymin - 8) / 64)::INTEGER, floor(l_ymax / 64)::INTEGER + 1)) AS cy FROM lc),
+ rc AS (SELECT *, unnest(range(floor(r_xmin / 64)::INTEGER, floor(r_xmax / 64)::INTEGER + 1)) AS cx FROM ocr), r AS (SELECT *, unnest(range(floor(r_ymin / 64)::INTEGER, floor(r_ymax / 64)::INTEGER + 1)) AS cy FROM rc),
+ t AS (SELECT l.*, r.* EXCLUDE (page, cx, cy) FROM l JOIN r ON l.page = r.page AND l.cx = r.cx AND l.cy = r.cy WHERE l_xmin <= r_xmax AND l_xmax >= r_xmin AND l_ymax >= r_ymin AND l_ymin - 8 <= r_ymax
+  AND floor(greatest(l_xmin, r_xmin) / 64) = l.cx AND floor(greatest(l_ymin - 8, r_ymin) / 64) = l.cy)"""
 
 
-@query(f"WITH {BOX_SQL} SELECT s.page, l_id::INTEGER AS l_id, r_id::INTEGER AS r_id FROM sgt s JOIN ocr o ON {_TOUCH}")
+@query(f"WITH {BOX_SQL}, {_TOUCH} SELECT page, l_id::INTEGER AS l_id, r_id::INTEGER AS r_id FROM t")
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.overlaps(*boxes(spark, sf_dir), pad=8).select("page", "l_id", "r_id")
 
 
 _CUT = "greatest(least(l_xmax, r_xmax) - greatest(l_xmin, r_xmin), 0) * greatest(least(l_ymax, r_ymax) - greatest(l_ymin, r_ymin), 0)"
-_IOU = f"i AS (SELECT s.page, l_id, r_id, r_xmin, r_text, {_CUT} AS c, (l_xmax - l_xmin) * (l_ymax - l_ymin) + (r_xmax - r_xmin) * (r_ymax - r_ymin) AS a FROM sgt s JOIN ocr o ON {_TOUCH}), j AS (SELECT *, c / (a - c + 1e-6::DOUBLE) AS iou FROM i), m AS (SELECT page, r_id, arg_max(l_id, (iou, l_id)) AS l_id, max(iou) AS iou, any_value(r_xmin) AS r_xmin, any_value(r_text) AS r_text FROM j GROUP BY ALL)"
+_IOU = f"{_TOUCH}, i AS (SELECT page, l_id, r_id, r_xmin, r_text, {_CUT} AS c, (l_xmax - l_xmin) * (l_ymax - l_ymin) + (r_xmax - r_xmin) * (r_ymax - r_ymin) AS a FROM t), j AS (SELECT *, c / (a - c + 1e-6::DOUBLE) AS iou FROM i), m AS (SELECT page, r_id, arg_max(l_id, (iou, l_id)) AS l_id, max(iou) AS iou, any_value(r_xmin) AS r_xmin, any_value(r_text) AS r_text FROM j GROUP BY page, r_id)"
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best_matches(S.overlaps(*boxes(spark, sf_dir), pad=8).withColumn("iou", S.iou()))
 
 
-@query(f"WITH {BOX_SQL}, {_IOU.replace('any_value(r_xmin) AS r_xmin, any_value(r_text) AS r_text FROM j GROUP BY ALL', '0 AS z FROM j GROUP BY page, r_id')} SELECT page, r_id::INTEGER AS r_id, l_id::INTEGER AS l_id, round(iou, 9) AS iou FROM m")
+@query(f"WITH {BOX_SQL}, {_IOU} SELECT page, r_id::INTEGER AS r_id, l_id::INTEGER AS l_id, round(iou, 9) AS iou FROM m")
 def box_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select("page", "r_id", "l_id", F.round("iou", 9).alias("iou"))
 
 
-@query(f"WITH {BOX_SQL}, {_IOU.replace('GROUP BY ALL)', 'GROUP BY page, r_id)')} SELECT page, l_id::INTEGER AS l_id, string_agg(r_text, ' ' ORDER BY r_xmin, r_id) AS ocr_text, count(*) AS n_words FROM m GROUP BY page, l_id")
+@query(f"WITH {BOX_SQL}, {_IOU} SELECT page, l_id::INTEGER AS l_id, string_agg(r_text, ' ' ORDER BY r_xmin, r_id) AS ocr_text, count(*) AS n_words FROM m GROUP BY page, l_id")
 def merged_ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merged_words(_matches(spark, sf_dir), boxes(spark, sf_dir)[1].select("page", "r_id", "r_xmin", "r_text"))
 
@@ -532,11 +570,21 @@ def aux_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.aux_positions(_aux(spark, sf_dir), "mainBody").drop("doc")
 
 
-@query("""SELECT doc_id::INTEGER AS mark_id, round_even(length(text)::BIGINT * 65536 * 4.0::DOUBLE / (65536 * 72.27::DOUBLE / 72), 0)::BIGINT AS x_pix FROM documents WHERE doc_id % 9 = 0""")
+_PIXEL = "round_even(({}) * 4.0::DOUBLE / (65536 * 72.27::DOUBLE / 72), 0)::BIGINT"
+
+
+@query(f"""SELECT doc_id::INTEGER AS mark_id, {_PIXEL.format('length(text)::BIGINT * 65536')} AS xmin, 9000 - {_PIXEL.format('doc_id * 1000')} AS ymin, {_PIXEL.format('length(text)::BIGINT * 65536 + 777')} AS xmax, 9000 - {_PIXEL.format('doc_id * 1000')} AS ymax
+ FROM documents WHERE doc_id % 9 = 0""")
 def page_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page's whole words, in pixels."""
+    """The first page's whole words, in pixels from the page's top left corner."""
     found = S.whole_words(S.on_page(marks.aux_positions(_aux(spark, sf_dir), "mainBody"), 0))
-    return found.select("mark_id", X.scaled_points_to_pixels(F.col("x0")).cast("long").alias("x_pix"))
+    return S.pixel_boxes(found, F.lit(9000)).select("mark_id", "xmin", "ymin", "xmax", "ymax")
+
+
+@query("SELECT doc_id::INTEGER AS mark_id, (doc_id % 9 + 1)::INTEGER AS page, row_number() OVER (PARTITION BY doc_id % 9 ORDER BY doc_id)::INTEGER AS place FROM documents")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = marks.aux_positions(_aux(spark, sf_dir), "mainBody").withColumn("page", F.col("page0"))
+    return marks.reading_order(found).select("mark_id", "page", "place")
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(replace(text, '$', ''), '%.*', '', 'g'), '[^ \t\n\r]+')) AS token FROM documents) SELECT doc_id::VARCHAR AS doc, count(*) AS n, sum(length(token))::BIGINT AS chars FROM w GROUP BY doc_id""")
@@ -560,6 +608,23 @@ def hocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.hocr_words(pages).select("doc", "x", "y", "w", "h", "conf", "textangle", "fontsize", "baseline0", "baseline1", "text")
 
 
+_NAMES = "CASE WHEN t LIKE '%a' THEN 'inline' ELSE 'word' END"
+
+
+@query(f"""WITH w AS (SELECT item_id::VARCHAR AS doc, unnest(list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '')) AS t FROM benchmark),
+ k AS (SELECT *, {_NAMES} AS kind FROM w) SELECT doc, kind, count(*) AS n, sum(length(t) + CASE kind WHEN 'word' THEN 1 ELSE 17 END)::BIGINT AS chars FROM k GROUP BY ALL""")
+def word_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts between marks: of words as they read (a macro and its argument become signs and text), of others the source."""
+    token = lambda t: F.concat(F.lit("\\alpha\\textbf{"), t, F.lit("}{}"))
+    words = F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " "), lambda w: w != "")
+    body = F.concat(F.lit("\\begin{document}"), F.array_join(F.transform(words, token), " "), F.lit("\\end{document}"))
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc"), marks.with_preamble(body).alias("text"))
+    read = marks.marked_text(marks.with_marks(texts, "mainBody"), "mainBody")
+    kind = F.when(F.regexp_extract("raw", r"textbf\{(.*)\}\{", 1).endswith("a"), "inline").otherwise("word")
+    named = read.withColumn("kind", kind).withColumn("word", X.word_text(F.col("kind"), markup.plain_text(F.col("raw")), F.col("raw")))
+    return named.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("chars"))
+
+
 # --- correctors
 
 
@@ -568,6 +633,10 @@ def mend(texts: list[str]) -> list[str]:
     return [t.replace("1", "l") for t in texts]
 
 
+def mend_capitals(texts: list[str]) -> list[str]:
+    return [t.replace("0", "O") for t in texts]
+
+
 @query("SELECT item_id, replace(translate(text, 'lO', '10'), '1', 'l') AS text FROM benchmark WHERE length(text) > 0")
 def corrected_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.translate("text", "lO", "10").alias("text"))
@@ -586,10 +655,27 @@ def corrected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correctors.correct(docs, "text", mend).select("doc_id", "pred_text", "error")
 
 
-@query()
+_CELLS = "VALUES ('disjoint', 20, NULL), ('disjoint', 40, NULL), ('sliding', 20, 'uniform'), ('sliding', 20, 'triangle'), ('sliding', 20, 'bell')"
+
+
+@query(f"""WITH t AS (SELECT regexp_replace(text, '[^ -~]', '?', 'g') AS gt FROM benchmark WHERE length(text) > 0), o AS (SELECT gt, translate(gt, 'lO', '10') AS ocr FROM t),
+ d AS (SELECT unnest(['first', 'second']) AS decoding), g("window", window_size, weighting) AS ({_CELLS}),
+ f AS (SELECT decoding, gt, ocr, CASE decoding WHEN 'first' THEN replace(ocr, '1', 'l') ELSE replace(ocr, '0', 'O') END AS fixed FROM o, d),
+ r AS (SELECT decoding, round(avg(100.0::DOUBLE * levenshtein(ocr, gt) / length(gt)), 6) AS cer_before, round(avg(100.0::DOUBLE * levenshtein(fixed, gt) / length(gt)), 6) AS cer_after,
+  100.0::DOUBLE * (1 - avg(100.0::DOUBLE * levenshtein(fixed, gt) / length(gt)) / avg(100.0::DOUBLE * levenshtein(ocr, gt) / length(gt))) AS gain FROM f GROUP BY decoding)
+ SELECT decoding, "window", window_size::INTEGER AS window_size, weighting, cer_before, cer_after, round(gain, 6) AS improvement FROM r, g""")
 def evaluation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.translate("text", "lO", "10").alias("ocr"), F.col("text").alias("gt"))
-    return correctors.evaluation_grid(items, "item_id", "ocr", "gt", mend, 20, X.edit_distance)
+    gt = X.ascii_folded(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").filter("length(text) > 0").select("item_id", F.translate(gt, "lO", "10").alias("ocr"), gt.alias("gt"))
+    grid = correctors.evaluation_grid(items, "item_id", "ocr", "gt", {"first": mend, "second": mend_capitals}, 20, X.edit_distance)
+    return grid.withColumns({c: F.round(c, 6) for c in ("cer_before", "cer_after", "improvement")})
+
+
+@query("SELECT doc_id, replace(translate(text, 'lO', '10'), '1', 'l') AS base, NULL::VARCHAR AS base_error, replace(translate(text, 'lO', '10'), '0', 'O') AS other, NULL::VARCHAR AS other_error FROM documents")
+def corrected_by_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models side by side."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "lO", "10").alias("text")))
+    return correctors.correct_by_all(docs, "text", {"base": mend, "other": mend_capitals}).select("doc_id", "base", "base_error", "other", "other_error")
 
 
 # --- series

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import hadoop_path
+
 TEXTS = T.MapType(T.StringType(), T.StructType().add("PDF", "string").add("OCR", "string"))
 
 
@@ -17,9 +19,8 @@ def csv(spark: SparkSession, path: str | list[str], columns: list[str], sep: str
 
 def listed(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
     """Paths in a folder of any file system that Spark reads, sorted."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    path, system = hadoop_path(spark, f"{folder}/{pattern}")
+    found = system.globStatus(path) or []
     return sorted(f.getPath().toString() for f in found)
 
 
@@ -35,13 +36,18 @@ def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """doc (file name) and text."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
+    """doc (file name), path and text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """doc, line_no, line of text files."""
-    return whole_texts(spark, path).select("doc", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    """doc, line_no, line of text files. Large files are read in pieces by many tasks; a line's number is its place in its piece plus the number of lines in the pieces before."""
+    piece = (F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"))
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("line"), *piece, F.monotonically_increasing_id().alias("__id"))
+    counts = rows.groupBy("__path", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__path", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(starts, ["__path", "__block"]).select("doc", (F.col("__id") - F.col("__first") + F.col("__start")).cast("int").alias("line_no"), "line")
 
 
 def article_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +64,12 @@ def metric_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.size("p") == 3).select("run", "metric", F.col("p")[0].cast("long").alias("epoch_ms"), F.col("p")[1].cast("double").alias("value"), F.col("p")[2].cast("long").alias("step"))
 
 
+def page_counts(spark: SparkSession, path: str) -> DataFrame:
+    """doc and n_pages of PDF files."""
+    counted = F.pandas_udf(lambda files: files.map(page_count), "int")
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc"), counted("content").alias("n_pages"))
+
+
 def page_count(content: bytes) -> int:
     """Pages of a PDF by its page tree; 1 where that cannot be read."""
     import re

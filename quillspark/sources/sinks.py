@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fixed_number
+from ..functions.text import fixed_number, thousands
 from ..operators.relational import chunk_ids, pending
+from ..storage import hadoop_path
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
@@ -25,15 +26,14 @@ def append_log(df: DataFrame, path: str) -> None:
 def write_pending(df: DataFrame, path: str, *keys: str, restart: bool = False) -> None:
     """Appends the rows that the table at path lacks; with restart all rows replace it."""
     spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    if restart or not there:
+    where, system = hadoop_path(spark, path)
+    if restart or not system.exists(where):
         df.write.mode("overwrite").parquet(path)
     else:
         pending(df, spark.read.parquet(path), *keys).write.mode("append").parquet(path)
 
 
 def metric_rows(wide: DataFrame, decimals: int = 2) -> DataFrame:
-    """A wide row of numbers as rows of metric, value, and the value as it is printed."""
+    """A wide row of numbers as rows of metric, value, and the value as it is printed, with decimals and as a whole number with commas."""
     long = wide.select(*(F.col(c).cast("double").alias(c) for c in wide.columns)).unpivot([], wide.columns, "metric", "value")
-    return long.withColumn("printed", fixed_number(F.col("value"), decimals))
+    return long.withColumn("printed", fixed_number(F.col("value"), decimals)).withColumn("whole", thousands(F.round("value")))

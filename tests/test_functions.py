@@ -76,9 +76,9 @@ def test_fill_types(spark):
 
 
 def test_distance_bands_agree(spark):
-    pairs = [("a" * 300, "b" * 300), ("kitten", "sitting"), ("", "abc"), ("x" * 100, "x" * 60)]
+    pairs = [("a" * 300, "b" * 300), ("kitten", "sitting"), ("", "abc"), ("x" * 100, "x" * 60), ("a" * 9000, "b" * 9000), ("same", "same"), (None, "a"), ("a", None), ("", "")]
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
-    assert [r["d"] for r in rows] == [300, 3, 3, 40]
+    assert [r["d"] for r in rows] == [300, 3, 3, 40, 9000, 0, None, None, 0]
 
 
 def test_rates_and_cells(spark):
@@ -96,5 +96,75 @@ def test_aligned_column_with_nulls(spark):
 
 
 def test_word_distance(spark):
-    frame = pd.DataFrame({"a": ["the cat sat", "x", ""], "b": ["the bat sat down", "x", "y z"]})
-    assert [r[0] for r in spark.createDataFrame(frame).select(editing.word_distance_column(F.col("a"), F.col("b"))).collect()] == [2, 0, 2]
+    many = " ".join(f"w{k}" for k in range(60_000))
+    frame = pd.DataFrame({"a": ["the cat sat", "x", "", many, None], "b": ["the bat sat down", "x", "y z", f"{many} more", "x"]})
+    got = editing.with_word_distances(spark.createDataFrame(frame), d=("a", "b"))
+    assert got.columns == ["a", "b", "d"] and [r["d"] for r in got.collect()] == [2, 0, 2, 1, None]
+    assert [r[0] for r in spark.createDataFrame([("a b",), ("",), (" x ",)], "t string").select(editing.words(F.col("t"))).collect()] == [2, 0, 1]
+
+
+def plain_tags(text):
+    """Codes by the definition: every character's strongest span."""
+    import re
+
+    types = ["W"] * len(text)
+
+    def paint(a, b, code, over=None):
+        for i in range(a, b):
+            if over is None or types[i] == over:
+                types[i] = code
+
+    dollars = [i for i, c in enumerate(text) if c == "$"]
+    for a, b in zip(dollars[::2], dollars[1::2]):
+        paint(a, b + 1, "I")
+    for code, command in (("C", "\\cite"), ("R", "\\ref")):
+        at = 0
+        while (here := text.find(command, at)) >= 0:
+            _, end = markup.command_span(text, command, check=False, start=here)
+            at = max(end, here + len(command))
+            if end > 0:
+                paint(here, end, code)
+    for m in re.finditer(r"\\[%&]", text):
+        if types[m.start() : m.end()] == ["W", "W"]:
+            paint(m.start(), m.end(), "S")
+    pairs, _ = markup.matching(text, "{", "}", check=False)
+    for a, b in pairs.items():
+        begin = a
+        while begin and text[begin - 1].isalpha():
+            begin -= 1
+        if begin and begin < a and text[begin - 1] == "\\":
+            paint(begin - 1, b + 1, "O", "W")
+    for a, b in pairs.items():
+        paint(a, b + 1, "B", "W")
+    return "".join(types)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["{", "}", "$", "\\cite", "\\ref", "\\em", "\\%", "a", " ", "\\"]), max_size=14).map("".join))
+def test_tags_are_the_strongest_spans(text):
+    assert markup.tag_characters(text) == plain_tags(text)
+
+
+def test_deep_nesting_costs_its_length():
+    import time
+
+    began = time.time()
+    assert set(markup.tag_characters("{" * 200_000 + "}" * 200_000)) == {"B"}
+    assert time.time() - began < 5
+
+
+def test_checked_spans(spark):
+    cases = {r"x \cite{a} y": (2, 10, None), r"\cite{a} }": (0, 8, "uneven"), r"\cite{a": (-1, -1, "open"), "none": (-1, -1, "none")}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", markup.command_span_column(F.col("t"), "\\cite").alias("s")).select("t", "s.*").collect()
+    assert {r["t"]: tuple(r)[1:] for r in got} == cases
+
+
+def test_plain_text_and_labels(spark):
+    assert column(spark, r"\textbf{a \alpha} -- \foo b~c", markup.plain_text) == "a α – b c"
+    assert column(spark, "if", X.label_escaped) == '"if"' and column(spark, "a\n\\", X.label_escaped) == "a\\n\\\\"
+    assert column(spark, "a^b@", X.one_gap) == "a@b@" and column(spark, "x", lambda c: X.thousands(F.lit(1234567))) == "1,234,567"
+
+
+def test_edit_script_column(spark):
+    got = spark.createDataFrame([("cot", "cart"), (None, "a")], "a string, b string").select(editing.edit_script_column(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [tuple(x) for x in got[0]["s"]] == [("replace", 1, 1), ("insert", 2, 2)] and got[1]["s"] is None

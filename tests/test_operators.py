@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
 from quillspark.operators import confusion as C
 from quillspark.operators import correctors, marks
 from quillspark.operators import evaluation as E
@@ -13,12 +14,34 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
 
 
+def plain_windows(text, kind, size):
+    starts = {"sliding": range(len(text) + 1), "disjoint": range(0, len(text), size), "full": range(max(len(text) - size, 0) + 1)}[kind]
+    return [(i, text[i : i + size]) for i in starts]
+
+
 def test_windows(spark):
     df = spark.createDataFrame([(1, "ab", "AB"), (2, "", "")], "k int, a string, b string")
-    assert rows(W.windows(df, "a", W.starts_sliding(F.length("a")), 1, "b").select("k", "start", "a", "b")) == [(1, 0, "a", "A"), (1, 1, "b", "B"), (1, 2, "", ""), (2, 0, "", "")]
-    assert rows(W.windows(df, "a", W.starts_disjoint(F.length("a"), 5), 5).select("k", "start", "a")) == [(1, 0, "ab")]
-    texts = spark.createDataFrame([("a",), ("abc",), ("abcd",)], "a string")
-    assert [r[1] for r in rows(W.windows(texts, "a", W.starts_full(F.length("a"), 3), 3).select("start", "a"), "start", "a")] == ["a", "abc", "abc", "bcd"]
+    assert rows(W.windows(df, "a", "sliding", 1, "b").select("k", "start", "a", "b")) == [(1, 0, "a", "A"), (1, 1, "b", "B"), (1, 2, "", ""), (2, 0, "", "")]
+    assert rows(W.windows(df, "a", "disjoint", 5).select("k", "start", "a")) == [(1, 0, "ab")]
+    texts = ["", "a", "abc", "abcd", "é🙂\n" * 700, "x" * 512, "y" * 513, "z" * 1024, "w" * 1500]
+    table = spark.createDataFrame([*enumerate(texts), (99, None)], "k int, a string")
+    for kind in ("sliding", "disjoint", "full"):
+        for size in (1, 3, 100, 512, 700):
+            got = rows(W.windows(table, "a", kind, size).select("k", "start", "a"), "k", "start")
+            assert got == [(k, *w) for k, t in enumerate(texts) for w in plain_windows(t, kind, size)], (kind, size)
+
+
+def test_windows_cost_a_text_its_length(spark):
+    import time
+
+    def seconds(n):
+        one = spark.createDataFrame([("ab cd" * (n // 5),)], "a string")
+        began = time.time()
+        assert W.windows(one, "a", "sliding", 100).agg(F.sum(F.length("a"))).first()[0] == 100 * (n - 100) + 100 * 101 // 2
+        return time.time() - began
+
+    seconds(50_000)
+    assert seconds(1_000_000) < 20 * max(seconds(100_000), 0.3)
 
 
 @pytest.mark.parametrize("kind", ["uniform", "triangle", "bell"])
@@ -37,6 +60,49 @@ def test_failing_corrector(spark):
     assert rows(correctors.correct(df, "t", fragile).select("k", "pred_text", "error"), "k") == [(1, "A", None), (2, None, "ValueError"), (3, None, None)]
 
 
+def test_late_and_several_models(spark):
+    import time
+
+    def slow(texts):
+        if "hang" in texts:
+            time.sleep(30)
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(k, "hang" if k == 3 else f"t{k}") for k in range(6)], "k int, t string").coalesce(1)
+    began = time.time()
+    got = rows(correctors.correct_by_all(df, "t", {"a": slow, "b": lambda x: x}, seconds=0.5).select("k", "a", "a_error", "b", "b_error"), "k")
+    assert time.time() - began < 20 and got == [(k, None if k == 3 else f"T{k}", "Late" if k == 3 else None, "hang" if k == 3 else f"t{k}", None) for k in range(6)]
+
+
+def test_repaired_blanks(spark):
+    df = spark.createDataFrame([("ab", " ab", "_WW"), ("ab", "abc", "WWW"), ("ab", "ab", "WW"), (" ab", " abc", "WWWW")], "s string, t string, y string")
+    assert [tuple(r["r"]) for r in df.select(X.leading_blank_repaired(F.col("s"), F.col("t"), F.col("y")).alias("r")).collect()] == [("ab", "WW", False), (None, None, True), ("ab", "WW", False), (None, None, True)]
+
+
+def test_fixed_texts(spark):
+    given = [
+        ("t1e x", "the $a$ x", "te $a$ x"), (None, "a", "a"), ("a", "odd $", "a"), ("a", r"left \alpha", "a"), ("b c", r"b \citep[see][]{x{y}} c", r"b \cite"), ("q", "", "q r"),
+    ]
+    got = E.fixed(spark.createDataFrame(given, "ocr string, target string, predicted string")).collect()
+    assert [r["evaluated"] for r in got] == [True, False, False, False, True, True]
+    assert (got[0]["target_fixed"], got[0]["predicted_fixed"], got[4]["target_fixed"], got[4]["predicted_fixed"]) == ("the ↭ x", "te ↭ x", "b ↫ c", "")
+    assert [round(got[0][c], 6) for c in ("cer_orig", "cer_corr", "cer_fix_corr", "cer_fix")] == [round(100 * n / d, 6) for n, d in ((5, 9), (1, 9), (1, 7), (3, 7))]
+    assert [round(got[0][c], 6) for c in ("wer_orig", "wer_corr", "wer_fix_corr", "wer_fix")] == [round(100 * n / 3, 6) for n in (2, 1, 1, 2)]
+    assert (got[5]["cer_orig"], got[5]["wer_corr"], got[1]["cer_orig"], got[3]["target_fixed"]) == (100.0, 200.0, None, None)
+
+
+def test_ranks(spark):
+    df = spark.createDataFrame([(k * 7919 % 501,) for k in range(501)], "k int").repartition(9)
+    assert rows(R.ranked(df, "k", column="r", total="n"), "k") == [(k, k, 501) for k in range(501)]
+    assert rows(R.ranked(df.limit(0), "k")) == []
+
+
+def test_pixels(spark):
+    marks_ = spark.createDataFrame([(0, 0, 72 * 65536, 72 * 65536)], "x0 long, y0 long, x1 long, y1 long")
+    assert [tuple(r) for r in S.pixel_boxes(marks_, F.lit(1000)).select("xmin", "ymin", "xmax", "ymax").collect()] == [(0, 1000, 287, 713)]
+    assert S.hyphenated_words(marks_.withColumnsRenamed({"x0": "a"})).count() == 1
+
+
 def test_codes(spark):
     df = spark.createDataFrame([("cab",)], "t string")
     vocab = W.vocabulary(df, "t", "@")

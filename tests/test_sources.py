@@ -23,7 +23,16 @@ def test_newest_and_checkpoints(spark, tmp_path):
 
 def test_texts_pages_and_logs(spark, tmp_path):
     (tmp_path / "a.tex").write_text("one\ntwo")
-    assert [tuple(r) for r in readers.numbered_lines(spark, str(tmp_path / "a.tex")).collect()] == [("a.tex", 0, "one"), ("a.tex", 1, "two")]
+    assert sorted(tuple(r) for r in readers.numbered_lines(spark, str(tmp_path / "a.tex")).collect()) == [("a.tex", 0, "one"), ("a.tex", 1, "two")]
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(4000)]
+    (tmp_path / "big.log").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        read = readers.numbered_lines(spark, str(tmp_path / "*.[lt]*"))
+        assert read.rdd.getNumPartitions() > 1
+        assert [(r["line_no"], r["line"]) for r in read.filter("doc = 'big.log'").orderBy("line_no").collect()] == list(enumerate(lines))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "p.json").write_text(json.dumps({"filename": "f", "pages": {"1": {"PDF": "g", "OCR": "o"}, "2": {}}}))
     assert [tuple(r) for r in readers.article_pages(spark, str(tmp_path / "p.json")).collect()] == [("f", "1", "g", "o")]
     (tmp_path / "r1" / "metrics").mkdir(parents=True)
@@ -51,3 +60,6 @@ def test_stream(spark, tmp_path):
     run = live.windowed_rates(stream, "ts").writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted((r["edits"], r["chars"]) for r in spark.table("rates").collect()) == [(0, 2), (1, 3)]
+    run = live.running_confusion(stream).writeStream.format("memory").queryName("pairs").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert {(r["pdf_letters"], r["ocr_letters"]): r["count"] for r in spark.table("pairs").collect()} == {("c", "c"): 1, ("o", "0"): 1, ("t", "t"): 1, ("a", "a"): 1, ("b", "b"): 1}

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytespans import span_hashes, steps_of, word_spans
 from .common import fresh, text_or_empty
@@ -36,6 +37,8 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
+
+
 def _distinct(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """By document, how many different keys there are, and how often the most frequent one occurs."""
     order = np.lexsort((key, doc))
@@ -163,22 +166,27 @@ def in_training(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Discriminant | float:
-    """Fits on documents with a label 0 or 1 that are not held out; of several labels of a document the least counts. Only statistics of at most that many documents reach the driver."""
-    known = labels.filter(F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    """Fits on documents with a label 0 or 1 that are not held out: one text for each of at most that many doc_ids, those with the least hash.
+
+    Of several labels of a doc_id the least counts, of several texts the one with the least digest. Only statistics reach the driver.
+    """
+    known = labels.filter(F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").alias("id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("text", "quality")
+    text = text_or_empty("text")
+    texts = docs.select(F.col("doc_id").alias("id"), text.alias("text"), F.sha2(text, 256).alias("digest")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("doc_id", "digest", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, at in steps_of(batch.column("text")):
                 x = statistics(raw, at)
-                yield pa.RecordBatch.from_pydict({"y": batch.column("quality").slice(i, j - i).cast(pa.int32()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+                yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(i, j - i) for c in ("doc_id", "digest", "quality")}, "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
 
-    # copies of a doc_id may give more rows than doc_ids were chosen
-    got = texts.mapInArrow(run, "y int, x array<double>").limit(2 * rows).toArrow()
+    schema = T.StructType().add("doc_id", chosen.schema["doc_id"].dataType).add("digest", "string").add("quality", "integer").add("x", T.ArrayType(T.DoubleType()))
+    one = texts.mapInArrow(run, schema).groupBy("doc_id").agg(F.min(F.struct("digest", "quality", "x")).alias("one"))
+    got = one.select("one.quality", "one.x").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, 1)), np.zeros(0))
-    x, y = np.array(got["x"].to_pylist()), got["y"].to_numpy().astype(float)
+    x, y = np.array(got["x"].to_pylist()), got["quality"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # sums do not hang on the order in which rows arrive
     return fit(x[order], y[order])
 

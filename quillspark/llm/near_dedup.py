@@ -1,15 +1,21 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 Every document is posted under each (coordinate, value) pair of its signature. Two sets of similarity 0.8 agree in about 26 of 32
-coordinates, and in fewer than MATCHES = 13 once in ten million pairs; a pair counts as candidate from MATCHES collisions on. Postings are skipped by
-a prefix: with its pairs sorted from rare to frequent, a document that has t pairs which others share is posted under the first
-t - MATCHES + 1 only, since two documents with MATCHES common pairs have one of them in both prefixes. Frequent passages thus drop out
-of the postings while no candidate is lost. Candidates are confirmed on full shingle sets.
-
-Documents with equal sets are one class from the start. In short posting lists all pairs are candidates. In long ones a hub is compared with
-all others; what then is in one component needs no further comparison, and lists that still hold several components are compared in
-blocks, which check their likely pairs on full sets and send links only. No step sends all pairs of a group of copies, and none leaves out a pair of documents that
-could be linked without being in one component already.
+coordinates, and in fewer than MATCHES = 13 once in ten million pairs; a pair counts as candidate from MATCHES collisions on. Postings are
+skipped by a prefix: with its pairs sorted from rare to frequent, a document that has t pairs which others share is posted under the first
+t - MATCHES + 1 only, since two documents with MATCHES common pairs have one of them in both prefixes. Frequent passages thus drop out of
+the postings while no candidate is lost. Merging the lists says which pairs collide at all; their collisions in the skipped lists are
+looked up in the two signatures, and pairs over the threshold are confirmed on full shingle sets.
+
+Documents with equal sets are one class from the start. No step sends all pairs of a group, and none leaves out a pair that could be linked
+without being in one component already:
+
+1. In each list a hub, the member that shares most postings with others, meets all other members.
+2. Lists of at most SHORT_LIST members that still hold several components send the pairs between different ones.
+3. Longer such lists are cut into blocks: all members outside the largest component meet all members of a similar set size, by signatures
+   alone; blocks with few likely pairs send them, the others check theirs on full sets in the task and send links only.
+
+Full sets are never stored: the texts of documents in candidate pairs, few of all, are shingled again and sent to the tasks that compare them.
 """
 
 from __future__ import annotations
@@ -17,20 +23,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytespans import ODD, mixed, span_hashes, steps_of, word_spans
-from .common import stored, text_or_empty
+from .common import Scratch, fresh, join_hot, small_enough, text_or_empty
 from .components import components
 
 COORDINATES, MATCHES = 32, 13
 PER_CENT = 80
 SHORT_LIST = 16
-BLOCK = 512
-BROADCAST_KEYS = 500_000
+#: A hub meets about so many members in a task, and blocks hold about so many; fewer where sets are large.
+MEET, BLOCK, BLOCK_ELEMENTS = 64, 512, 2_000_000
+#: Blocks with more likely pairs than this for each of their rows compare them where they are.
+DENSE = 4
+#: Rows of ids (8 bytes), and of ids with what is to be done with them (some 200), that are broadcast; longer lists meet their texts in a shuffle.
+BROADCAST_IDS, BROADCAST_WANTED = 1_000_000, 100_000
 
 _GAPS = np.zeros(256, dtype=bool)
 _GAPS[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,15 +77,15 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarra
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)])
 
 
-def set_keys(flat: np.ndarray, at: np.ndarray) -> list[str | None]:
-    """128 bits of each set in hexadecimal; null for the empty set."""
+def set_keys(flat: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """128 bits of each set; null for the empty set."""
     full = np.flatnonzero(np.diff(at))
-    if not len(full):
-        return [None] * (len(at) - 1)
-    sums = [np.add.reduceat(mixed(flat ^ np.uint64(salt)), at[full]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-    out: list[str | None] = [None] * (len(at) - 1)
-    for d, x, y in zip(full.tolist(), sums[0].tolist(), sums[1].tolist(), strict=True):
-        out[d] = f"{x:016x}{y:016x}"
+    out: list[bytes | None] = [None] * (len(at) - 1)
+    if len(full):
+        sums = np.stack([np.add.reduceat(mixed(flat ^ np.uint64(salt)), at[full]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
+        raw = sums.astype("<u8").tobytes()
+        for k, d in enumerate(full.tolist()):
+            out[d] = raw[16 * k : 16 * k + 16]
     return out
 
 
@@ -95,30 +105,24 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         for i, j, raw, at in steps_of(batch.column("text")):
             flat, cut = shingle_sets(raw, at, width)
             yield pa.RecordBatch.from_pydict({
-                "row": batch.column("row").slice(i, j - i), "doc_id": batch.column("doc_id").slice(i, j - i), "n": pa.array(np.diff(cut), pa.int64()),
-                "key": pa.array(set_keys(flat, cut), pa.string()), "sig": signatures(flat, cut),
+                **{c: batch.column(c).slice(i, j - i) for c in ("row", "doc_id", "of_text")}, "n": pa.array(np.diff(cut), pa.int64()),
+                "key": pa.array(set_keys(flat, cut), pa.binary()), "sig": signatures(flat, cut),
             })
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """node, elements and ts of texts whose set has the wanted key (another text with an equal hash has not), once a task."""
+    seen: set[int] = set()
     for batch in batches:
-        for _, _, raw, at in steps_of(batch.column("text")):
+        for i, j, raw, at in steps_of(batch.column("text")):
             flat, cut = shingle_sets(raw, at, width)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(set_keys(flat, cut), pa.string()), "elements": pa.array([flat[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
-
-
-def common(a: Column, b: Column) -> Column:
-    """Number of common elements of two packed sorted sets."""
-
-    def count(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
-            both.sort(kind="stable")
-            out.append(int((both[1:] == both[:-1]).sum()))
-        return pd.Series(out, dtype="int64")
-
-    return F.pandas_udf(count, "long")(a, b)
+            met = []
+            for k, (own, wanted, node) in enumerate(zip(set_keys(flat, cut), batch.column("key")[i:j].to_pylist(), batch.column("node")[i:j].to_pylist(), strict=True)):
+                if own == wanted and node not in seen:
+                    seen.add(node)
+                    met.append(k)
+            rows = batch.slice(i, j - i).take(pa.array(met, pa.int64()))
+            yield pa.RecordBatch.from_pydict({"node": rows.column("node"), "elements": pa.array([flat[cut[k] : cut[k + 1]].astype("<u8").tobytes() for k in met], pa.binary()), "ts": rows.column("ts")})
 
 
 def similar_sizes(n: Column, m: Column, per_cent: int) -> Column:
@@ -130,129 +134,249 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
+def unpacked(sets: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(e, "<u8") for e in sets.to_pylist()]
+
+
+def shared_with(hub: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each sorted set has in common with the hub's sorted set."""
+    if not sets:
+        return np.zeros(0, np.int64)
+    flat = np.concatenate(sets)
+    hit = hub[np.minimum(np.searchsorted(hub, flat), len(hub) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
+
+
+def similar(both: np.ndarray, n: np.ndarray, m: np.ndarray, per_cent: int) -> np.ndarray:
+    return both * 100 >= (n + m - both) * per_cent
+
+
+LINK = "a long, b long"
+
+
+def links(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 class Search:
-    """The links of one set of documents. Classes are rows of node (a row number of one of its documents), key, n and sig."""
+    """The links of one set of documents. Classes are rows of node (a row number of one of its documents), key, n, sig and short (15 bits of each value of sig)."""
 
-    def __init__(self, docs: DataFrame, width: int, per_cent: int):
-        self.width, self.per_cent = width, per_cent
-        self.texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    def __init__(self, docs: DataFrame, width: int, per_cent: int, scratch: Scratch):
+        self.width, self.per_cent, self.scratch = width, per_cent, scratch
+        text = text_or_empty("text")
+        self.texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("of_text"))
         rows = self.texts.withColumn("row", F.monotonically_increasing_id())
-        self.rows = stored(rows.mapInArrow(lambda b: _signed(b, width), "row long, doc_id long, n long, key string, sig array<long>"), "signatures")
-        best = self.rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
-        self.classes = stored(best, "classes")
+        signed = scratch.stored(rows.mapInArrow(lambda b: _signed(b, width), "row long, doc_id long, of_text long, n long, key binary, sig array<long>"), "signatures")
+        full = signed.filter("n > 0").groupBy("key")
+        # what a class has more than one of is the same for all, but for texts that differ in case or white space
+        best = full.agg(F.min_by(F.struct("n", "sig", "of_text", F.col("doc_id").alias("of_doc")), "row").alias("one"), F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+        short = F.transform("one.sig", lambda v: v.bitwiseAND(0x7FFF).cast("short")).alias("short")
+        self.classes = scratch.stored(best.select("node", "key", "doc_id", "copies", "one.*", short), "classes")
+        self.rows = scratch.stored(signed.select("row", "doc_id", "n", "key"), "rows")
+        scratch.drop(signed)
 
     def postings(self) -> DataFrame:
-        """token, node, n, posted (length of the token's list) for the tokens in each class's prefix."""
+        """token, node, n, posted (length of the token's list) and the list's hub with its n, for the tokens in each class's prefix."""
+        stored, drop = self.scratch.stored, self.scratch.drop
         token = F.posexplode("sig").alias("at", "value")
         tokens = self.classes.select("node", "n", token).select("node", "n", F.xxhash64("at", "value").alias("token"))
         shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1"), "shared-tokens")
-        met = tokens.join(shared, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("posted", "token"))).alias("tokens"))
-        prefix = met.filter(F.size("tokens") >= MATCHES).select("node", "n", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - MATCHES + 1)).alias("t"))
-        lists = stored(prefix.select("node", "n", "t.token"), "prefix")
-        again = stored(lists.groupBy("token").agg(F.count(F.lit(1)).alias("posted"), F.min("node").alias("hub")).filter("posted > 1"), "lists")
-        return stored(lists.join(again, "token"), "postings")
-
-    def short_pairs(self, postings: DataFrame) -> DataFrame:
-        """All pairs of the short lists."""
-        lists = postings.filter(F.col("posted") <= SHORT_LIST).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("l"))
-        pair = lambda x, y: F.struct(x["node"].alias("a"), x["n"].alias("an"), y["node"].alias("b"), y["n"].alias("bn"))
-        pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, SHORT_LIST), lambda y: pair(x, y))))
-        one = lists.select(F.explode(pairs).alias("p")).select("p.*")
-        return one.filter(similar_sizes(F.col("an"), F.col("bn"), self.per_cent)).select("a", "b").distinct()
-
-    def hub_pairs(self, members: DataFrame) -> DataFrame:
-        """Each list's hub with every other member of a similar size. members: node, n, hub, hub_n."""
-        wanted = (F.col("node") != F.col("hub")) & similar_sizes(F.col("n"), F.col("hub_n"), self.per_cent)
-        return members.filter(wanted).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        met = join_hot(tokens, shared, "token", "posted", F.col("node")).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("posted", "token"))).alias("tokens"))
+        met = met.filter(F.size("tokens") >= MATCHES).withColumn("weight", F.aggregate("tokens", F.lit(0).cast("long"), lambda w, t: w + t["posted"]))
+        prefix = met.select("node", "n", "weight", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - MATCHES + 1)).alias("t"))
+        prefix = stored(prefix.select("node", "n", "weight", "t.token"), "prefix")
+        hub = F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n")), F.struct("weight", -F.col("node"))).alias("h")
+        lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("posted"), hub).filter("posted > 1").select("token", "posted", "h.*")
+        lists = stored(lists, "lists")
+        out = stored(join_hot(prefix.drop("weight"), lists, "token", "posted", F.col("node")), "postings")
+        drop(shared, prefix, lists)
+        return out
+
+    def with_sets(self, roles: DataFrame) -> DataFrame:
+        """t, node, elements for each of the roles (node, t: a struct that says where the node's set is to go). Sets (packed sorted hashes) are made
+        again from one text of the class; the texts of other documents are neither shingled nor sent."""
+        targets = roles.groupBy("node").agg(F.collect_list("t").alias("ts"))
+        about = self.classes.select("node", "key", F.col("of_text").alias("of"), F.col("of_doc").alias("doc"))
+        wanted = self.scratch.stored(targets.join(about, "node"), "wanted")
+        texts, width = self.texts, self.width
+        few = small_enough(wanted, BROADCAST_WANTED)
+        if not few and small_enough(wanted, BROADCAST_IDS):
+            ids = wanted.select(F.col("of").alias("known"))
+            texts = texts.join(F.broadcast(ids), F.col("of_text") == F.col("known"), "left_semi")
+        same = (F.col("of_text") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("doc"))
+        met = texts.join(F.broadcast(wanted) if few else wanted, same).select("node", "key", "text", "ts")
+        made = met.mapInArrow(lambda b: _sets(b, width), T.StructType().add("node", "long").add("elements", "binary").add("ts", wanted.schema["ts"].dataType))
+        return made.select(F.explode("ts").alias("t"), "node", "elements")
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b and more) whose signatures agree often enough. Only 15 bits of each value are sent: a pair too many in that is refuted on full sets."""
+        short = self.classes.select(F.col("node").alias("b"), F.col("short").alias("b_short"))
+        hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows")).join(self.classes.select(F.col("node").alias("a"), F.col("short").alias("a_short")), "a")
+        both = join_hot(pairs.join(short, "b"), self.scratch.stored(hubs, "hubs"), "a", "rows", F.col("b"))
+        return both.filter(agreeing(F.col("a_short"), F.col("b_short")) >= MATCHES).drop("a_short", "b_short", "rows")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        sig = self.classes.select("node", "n", "sig", "key")
-        side = lambda x: sig.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("sig").alias(f"{x}sig"), F.col("key").alias(f"{x}key"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(agreeing(F.col("asig"), F.col("bsig")) >= MATCHES)
-        likely = stored(likely.select("a", "b", "an", "bn", "akey", "bkey"), "candidates")
-        sets = self.sets(likely.select(F.col("akey").alias("of")).union(likely.select("bkey")))
-        full = lambda x: sets.select(F.col("key").alias(f"{x}key"), F.col("elements").alias(f"{x}set"))
-        both = likely.join(full("b"), "bkey").join(full("a"), "akey").withColumn("both", common("aset", "bset"))
-        return both.filter(F.col("both") * 100 >= (F.col("an") + F.col("bn") - F.col("both")) * self.per_cent).select("a", "b")
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """key, elements (packed sorted hashes) of the classes with these keys, made again from the texts: sets of documents without candidates are never kept."""
-        keys = stored(wanted.distinct(), "wanted-keys")
-        few, width = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS, self.width
-        every = self.texts.select("text").mapInArrow(lambda b: _sets(b, width), "key string, elements binary")
-        met = every.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("of"), "left_semi")
-        return stored(met.groupBy("key").agg(F.any_value("elements").alias("elements")), "candidate-sets")
+        """The pairs whose full sets are similar enough.
+
+        pairs: a, b, an and most, a bound of the number of pairs with that a. A task holds the set of one a and those of about MEET b,
+        fewer where they are large.
+        """
+        per_cent = self.per_cent
+        parts = F.ceil(F.col("most") / MEET * (1 + F.col("an") / 20_000)).cast("long")
+        dealt = pairs.select("a", F.pmod(F.xxhash64("b"), parts).cast("long").alias("part"), "b")
+        role = F.struct(F.col("a").alias("hub"), "part").alias("t")
+        roles = dealt.select(F.col("b").alias("node"), role).union(dealt.select("a", role).distinct())
+
+        def meet(rows: pa.Table) -> pa.Table:
+            node, hub = rows["node"].to_numpy(), rows["hub"][0].as_py()
+            own = np.flatnonzero(node == hub)
+            b, at = np.unique(node[node != hub], return_index=True)
+            if not len(own) or not len(b):
+                return links(np.zeros(0), np.zeros(0))
+            each = unpacked(rows["elements"].take(pa.array(np.flatnonzero(node != hub)[at])))
+            hub_set = np.frombuffer(rows["elements"][int(own[0])].as_py(), "<u8")
+            good = similar(shared_with(hub_set, each), np.array([len(x) for x in each]), len(hub_set), per_cent)
+            return links(np.full(good.sum(), hub), b[good])
+
+        return self.with_sets(roles).select("t.*", "node", "elements").groupBy("hub", "part").applyInArrow(meet, LINK)
 
     def labels(self) -> DataFrame:
         """node, label for every class that is linked with another."""
+        stored, drop = self.scratch.stored, self.scratch.drop
         postings = self.postings()
-        long = postings.filter(F.col("posted") > SHORT_LIST)
-        sizes = self.classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-        edges = stored(self.confirmed(self.short_pairs(postings).unionByName(self.hub_pairs(long.join(sizes, "hub"))).distinct()), "links")
-        labels = components(edges)
-        known = stored(long.select("token", "node", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
-        mixed_lists = stored(known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token"), "open-lists")
-        if mixed_lists.isEmpty():
-            return labels
-        members = stored(known.join(mixed_lists, "token").select("node", "hub", "label").distinct(), "open-members")
-        return components(edges.unionByName(self.block_links(members)))
+        wanted = (F.col("node") != F.col("hub")) & similar_sizes(F.col("n"), F.col("hub_n"), self.per_cent)
+        pairs = stored(postings.filter(wanted).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.any_value("hub_n").alias("an"), F.max("posted").alias("most")), "hub-pairs")
+        met = stored(self.likely(pairs), "hub-candidates")
+        found = stored(self.confirmed(met), "hub-links")
+        labels = components(found, self.scratch)
+        drop(pairs, met, found)
+        known = stored(self.open_lists(postings, labels), "open-lists")
+        drop(postings)
+        pairs = stored(self.short_pairs(known.filter(F.col("posted") <= SHORT_LIST)), "short-pairs")
+        if not pairs.isEmpty():
+            labels = self.merged(labels, stored(self.confirmed(pairs), "short-links"))
+        long = known.filter(F.col("posted") > SHORT_LIST).drop("label")
+        still = stored(self.open_lists(long, labels), "open-long-lists")
+        if not still.isEmpty():
+            labels = self.merged(labels, self.block_links(still))
+        drop(pairs, known, still)
+        return labels
+
+    def merged(self, labels: DataFrame, found: DataFrame) -> DataFrame:
+        """The labels after more links."""
+        out = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found), self.scratch)
+        self.scratch.drop(labels, found)
+        return out
+
+    def open_lists(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
+        """The postings, with their labels, of lists that hold several components."""
+        known = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        spread = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
+        return join_hot(known, self.scratch.stored(spread.select("token", "rows"), "open-tokens"), "token", "rows", F.col("node")).drop("rows")
+
+    def short_pairs(self, members: DataFrame) -> DataFrame:
+        """The pairs of short lists with different labels that the hubs' round has not looked at, with as many collisions as a candidate has."""
+        short = self.classes.select("node", "short")
+        rows = members.filter(F.col("node") != F.col("hub")).select("token", "node", "n", "label").join(short, "node")
+        lists = rows.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n", "label", "short"))).alias("l"))
+        fit = lambda x, y: (x["label"] != y["label"]) & similar_sizes(x["n"], y["n"], self.per_cent) & (agreeing(x["short"], y["short"]) >= MATCHES)
+        pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("an"))
+        pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, SHORT_LIST), lambda y: fit(x, y)), lambda y: pair(x, y))))
+        # a class is in at most COORDINATES lists
+        return lists.select(F.explode(pairs).alias("p")).select("p.*").distinct().withColumn("most", F.lit(COORDINATES * SHORT_LIST))
 
     def block_links(self, members: DataFrame) -> DataFrame:
-        """Links between members of lists that hold several components. members: node, hub (its list's), label.
+        """Links between members of long lists that hold several components. members: token, node, n, hub (its list's), label.
 
-        Lists that share members are one cluster. A cluster is cut into blocks of about BLOCK members, and each pair of blocks compares its
-        members: pairs whose signatures agree often enough are checked on full sets, likeliest first, and those that are in one component
-        by then are left out. A pair of blocks thus gives fewer links than it has members, however dense the cluster is.
+        Lists that share members are one cluster. Its members outside the cluster's largest component meet its members of a similar set
+        size, block by block (cells), by signatures. Where a cell has few likely pairs it sends them; else it is dense, and checks them on
+        full sets, likeliest first, and leaves out those that are in one component by then, so that it gives fewer links than it has
+        members. Members of the largest component are sent once for each block of the others.
         """
-        clusters = components(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "cluster")
-        clusters = stored(clusters, "clusters")
-        blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        about = self.classes.select("node", "key", "n", "sig")
-        of = members.groupBy("node").agg(F.min("label").alias("label"))
-        rows = clusters.join(of, "node").join(about, "node").join(stored(blocks, "blocks"), "cluster")
-        full = rows.join(self.sets(rows.select(F.col("key").alias("of"))), "key")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = full.select("cluster", "node", "n", "label", "sig", "elements", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "sig", "elements")
-        per_cent = self.per_cent
-
-        def compare(rows: pa.Table) -> pa.Table:
-            node, n, label, own = (rows[c].to_numpy() for c in ("node", "n", "label", "own"))
-            i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-            sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            pairs = []
-            for x in left.tolist():
-                y = right[right > x] if i == j else right
-                y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * per_cent)]
-                agree = (sig[y] == sig[x]).sum(axis=1)
-                pairs.append(np.stack([agree, np.full(len(y), x), y], axis=1)[agree >= MATCHES])
-            pairs = np.concatenate([np.zeros((0, 3), dtype=np.int64), *pairs])
-            sets = [np.frombuffer(e, "<u8") for e in rows["elements"].to_pylist()]
-            parent = {x: x for x in label.tolist()}
-
-            def find(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            a, b = [], []
-            for _, x, y in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
-                p, q = find(int(label[x])), find(int(label[y]))
-                if p == q:
-                    continue
-                both = np.concatenate([sets[x], sets[y]])
-                both.sort(kind="stable")
-                k = int((both[1:] == both[:-1]).sum())
-                if k * 100 >= (len(both) - k) * per_cent:
-                    parent[max(p, q)] = min(p, q)
-                    a.append(int(min(node[x], node[y])))
-                    b.append(int(max(node[x], node[y])))
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        return stored(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "block-links")
+        stored, drop, per_cent = self.scratch.stored, self.scratch.drop, self.per_cent
+        clusters = components(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), self.scratch)
+        each = members.groupBy("node").agg(F.min("label").alias("label"), F.min("n").alias("n"))
+        rows = stored(clusters.select("node", F.col("label").alias("cluster")).join(each, "node"), "cluster-members")
+        labels = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
+        most = labels.groupBy("cluster").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.sum("k").alias("rows"))
+        # sets that are similar enough are in one size class or in neighbouring ones
+        size = F.floor(F.log(F.col("n")) / F.log(F.lit(101.0 / per_cent))).cast("int")
+        known = stored(join_hot(rows, stored(most, "clusters"), "cluster", "rows", F.col("node")).withColumn("size", size), "sized-members")
+        left = known.filter("label <> most")
+        right = known.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+        cut = F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_ELEMENTS))).cast("int")
+        grid = left.groupBy("cluster", "size").agg(cut.alias("nl")).join(right.groupBy("cluster", "size").agg(cut.alias("nm"), F.count(F.lit(1)).alias("rows")), ["cluster", "size"])
+        grid = stored(grid.select(F.struct("cluster", "size").alias("of"), "nl", "nm", "rows"), "grid")
+        at = lambda salt, k: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        of = F.struct("cluster", "size").alias("of")
+        left = join_hot(left.select(of, "node", "label", "n"), grid, "of", "rows", F.col("node")).select("of.*", at(1, "nl").alias("i"), every("nm").alias("j"), F.lit(True).alias("one"), "node", "label", "n")
+        right = join_hot(right.select(of, "node", "label", "n"), grid, "of", "rows", F.col("node")).select("of.*", every("nl").alias("i"), at(2, "nm").alias("j"), F.lit(False).alias("one"), "node", "label", "n")
+        dealt = stored(left.unionByName(right), "cells")
+        cell = ("cluster", "size", "i", "j")
+
+        def pairs_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
+            """Collisions and rows of the likely pairs of a cell."""
+            one, label, n = rows["one"].to_numpy(zero_copy_only=False), rows["label"].to_numpy(), rows["n"].to_numpy()
+            short = rows["short"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            x_rows, y_rows = np.flatnonzero(one), np.flatnonzero(~one)
+            found = [np.zeros((0, 3), dtype=np.int64)]
+            for x in x_rows.tolist():
+                y = y_rows[label[y_rows] != label[x]]
+                y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * per_cent]
+                agree = (short[y] == short[x]).sum(axis=1)
+                found.append(np.stack([agree, np.full(len(y), x), y], axis=1)[agree >= MATCHES])
+            return np.concatenate(found), label, n
+
+        def by_signature(rows: pa.Table) -> pa.Table:
+            found, _, n = pairs_of(rows)
+            node = rows["node"].to_numpy()
+            dense = len(found) > DENSE * len(node)
+            a, b, an = (np.zeros(int(dense), np.int64),) * 3 if dense else (node[found[:, 1]], node[found[:, 2]], n[found[:, 1]])
+            keys = {c: pa.array([rows[c][0].as_py()] * len(a), rows.schema.field(c).type) for c in cell}
+            return pa.table({**keys, "dense": pa.array(np.full(len(a), dense)), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "an": pa.array(an, pa.int64())})
+
+        with_short = dealt.join(self.classes.select("node", "short"), "node")
+        met = stored(with_short.groupBy(*cell).applyInArrow(by_signature, "cluster long, size int, i int, j int, dense boolean, a long, b long, an long"), "block-pairs")
+        found = self.confirmed(met.filter("not dense").select("a", "b", "an").distinct().withColumn("most", F.lit(BLOCK)))
+        dense = met.filter("dense").select(*cell)
+        if not dense.isEmpty():
+            inside = dealt.join(dense, list(cell), "left_semi")
+            roles = inside.join(self.classes.select("node", "short"), "node").select("node", F.struct(*cell, "one", "label", "n", "short").alias("t"))
+
+            def by_sets(rows: pa.Table) -> pa.Table:
+                found, label, n = pairs_of(rows)
+                node, sets = rows["node"].to_numpy(), unpacked(rows["elements"])
+                parent = {x: x for x in label.tolist()}
+
+                def find(x: int) -> int:
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                linked = []
+                for _, x, y in found[np.argsort(-found[:, 0], kind="stable")].tolist():
+                    p, q = find(int(label[x])), find(int(label[y]))
+                    if p != q and similar(shared_with(sets[x], [sets[y]]), n[x], n[y], per_cent)[0]:
+                        parent[max(p, q)] = min(p, q)
+                        linked.append((node[x], node[y]))
+                return links(np.array([a for a, _ in linked]), np.array([b for _, b in linked]))
+
+            found = found.unionByName(self.with_sets(roles).select("t.*", "node", "elements").groupBy(*cell).applyInArrow(by_sets, LINK))
+        out = stored(found, "block-links")
+        drop(clusters, rows, known, grid, dealt, met)
+        return out
+
+
+def _components(docs: DataFrame, width: int, per_cent: int, scratch: Scratch) -> tuple[Search, DataFrame]:
+    """The search, and its classes with their component: key, copies, doc_id (the least) and component_id."""
+    search = Search(docs, width, per_cent, scratch)
+    labels = search.labels()
+    linked = scratch.stored(search.classes.select("node", "key", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "linked")
+    least = scratch.stored(linked.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "least")
+    named = scratch.stored(join_hot(linked.drop("node"), least, "label", "rows", F.col("key")).select("key", "copies", "doc_id", "component_id"), "class-components")
+    return search, named
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
@@ -262,22 +386,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
     is shorter. Sets with 100 * common >= per_cent * union are linked. component_id is the smallest doc_id that can be reached, kept
     whether it is the row's own. A null text counts as empty; empty texts are linked with nothing and keep their own doc_id. Repeated rows
     are in one component. A row with a null doc_id takes part; its component_id is null only if all in its component are, and then it is
-    kept. Other columns are dropped; an empty table gives no row.
+    kept. Other columns are dropped; an empty table gives no row. Of the tables that the search writes to the shared folder only two
+    narrow ones stay, which the result reads.
     """
-    search = Search(docs, width, per_cent)
-    labelled = search.classes.select("key", "node", "doc_id").join(search.labels(), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = stored(labelled, "labelled")
-    least = stored(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    of_class = stored(labelled.join(least, "label").select(F.col("key").alias("of"), "component_id"), "class-components")
-    full = search.rows.filter("n > 0").join(of_class, F.col("key") == F.col("of")).select("doc_id", "n", "component_id")
+    scratch = Scratch(docs.sparkSession)
+    search, named = _components(docs, width, per_cent, scratch)
+    full = join_hot(search.rows.filter("n > 0"), named.select("key", "copies", "component_id"), "key", "copies", F.col("row")).select("doc_id", "n", "component_id")
     every = full.unionByName(search.rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    scratch.close(search.rows, named)
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def dedup(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
-    """The documents that stay, with their columns: one of each component, the one with the smallest doc_id. doc_id tells documents apart."""
-    kept = stored(near_duplicates(docs, width, per_cent).filter("kept").select(F.col("doc_id").alias("id")).distinct(), "kept-ids")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    """The documents that stay, with their columns: one of each component, the one with the smallest doc_id. doc_id tells documents apart.
+
+    Only the doc_ids that go are joined with the documents: no text shuffles while there are BROADCAST_IDS of them at most. Rows with a null
+    doc_id go where their component has another doc_id.
+    """
+    scratch = Scratch(docs.sparkSession)
+    search, named = _components(docs, width, per_cent, scratch)
+    gone_class = named.filter("copies > 1 or not (doc_id <=> component_id)")
+    gone = join_hot(search.rows.filter("n > 0"), gone_class.select("key", "copies", "component_id"), "key", "copies", F.col("row"))
+    (of,) = fresh(docs.columns, "gone")
+    gone = scratch.stored(gone.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(of)).distinct(), "gone-ids")
+    few = small_enough(gone, BROADCAST_IDS)
+    scratch.close(gone)
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(gone[of]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -144,14 +145,17 @@ def test_mixing_of_many_sources(make, monkeypatch):
     assert sorted(map(str, mixing.with_copies(docs)[0].collect())) == few
 
 
-def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 300)
+@pytest.mark.parametrize("cells", [1, 5])
+def test_neighbours(spark, monkeypatch, cells):
+    monkeypatch.setattr(ann, "SHARD", 150)
+    monkeypatch.setattr(ann, "CELL", 1000 // cells)
     monkeypatch.setattr(ann, "BLOCK", 7)
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1000, 16)).round(3)
     v[500:800] = v[3]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (None, v[1].tolist()), (5, v[5].tolist()), (2004, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (None, v[1].tolist()), (5, v[5].tolist()), (2004, [1.0]), (2050, [1.0] * 3), (2051, rng.normal(size=5000).tolist()), (2100, rng.normal(size=5000).tolist()), (2150, []), (2200, [float("inf")] * 16)]
+    # columns whose names clash with those that the operator uses inside
+    df = spark.createDataFrame([(*r, 1, 2, "x", 3.0, 4, 5) for r in rows], "vec_id long, embedding array<double>, shard int, dim int, vector string, score double, rank int, ids int")
     got = defaultdict(list)
     for r in ann.search(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -161,8 +165,48 @@ def test_neighbours(spark, monkeypatch):
         best = sorted((-round(s[i], 12), i) for i in range(1000) if i != q)[:5]
         assert len(got[q]) == 5 and all(x == pytest.approx(s[i]) for i, x in got[q])
         hits += len({i for _, i in best} & {i for i, _ in got[q]})
-    assert hits >= 0.9 * 100 and [i for i, _ in got[550]] == [3, 500, 501, 502, 503] and set(got) == set(range(0, 1000, 50))
+    assert hits >= 0.9 * 100 and [i for i, _ in got[550]] == [3, 500, 501, 502, 503]
+    # a length that one other row has gives that row, a length of its own none
+    assert [i for i, _ in got[2100]] == [2051] and set(got) == {*range(0, 1000, 50), 2100}
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    assert ann.search(df, df.limit(0)).count() == 0
+
+
+def test_graph_of_scattered_groups():
+    """Groups that are far apart are still reached, whatever their size, and packing changes nothing."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 24)) * 10
+    points = np.concatenate([c + rng.normal(size=(3 + 7 * k, 24)) for k, c in enumerate(centres)])
+    unit = ann.units(points).astype(np.float32)
+    graph = ann.Graph.unpacked(unit, *ann.Graph.build(unit).packed())
+    want, got = ann.nearest_of(unit, unit, 5), graph.search(unit)
+    assert np.mean([len({*w.tolist()} & {*g[:5].tolist()}) for w, g in zip(want, got, strict=True)]) > 0.98 * 5
+    assert all(len(set(row[row >= 0].tolist())) == (row >= 0).sum() for row in got)
+
+
+def test_routing_visits_few_cells_where_vectors_have_groups():
+    rng = np.random.default_rng(5)
+    sample = ann.units(np.repeat(rng.normal(size=(40, 16)), 100, axis=0) + 0.1 * rng.normal(size=(4000, 16)))
+    q = ann.Quantiser(sample, 40 * ann.CELL, 5)
+    assert len(q.centres) == 40 and q.visits <= 10 and q.split.max() <= 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 300)
+    monkeypatch.setattr(ann, "CELL", 250)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = table.collect()
+    ids, unit = np.array([r["vec_id"] for r in rows]), ann.units(np.array([r["embedding"] for r in rows], dtype=np.float64))
+    got = defaultdict(set)
+    for r in ann.search(table, table.filter("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for k in np.flatnonzero(ids % 50 == 0).tolist():
+        score = unit @ unit[k]
+        score[k] = -2
+        hits.append(len(got[ids[k]] & set(ids[np.argsort(-score)[:5]].tolist())) / 5)
+    assert len(hits) == 40 and np.mean(hits) >= 0.9
 
 
 def folded(t):
@@ -184,8 +228,10 @@ def test_license_scan(make):
             assert r["labels"] == "mit" and r["n_base"] == 0 and r["score"] > 0.6
 
 
-def test_exact_groups(make, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "CELLS_A_ROW", 1024)  # 64 segments
+@pytest.mark.parametrize("few", [True, False])
+def test_exact_groups(make, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "SEGMENT_ROWS", 40)
+    monkeypatch.setattr(exact_dedup, "small_enough", lambda found, most: few)
     rng = random.Random(6)
     texts = [rng.choice(["Aa", "aA", "É", "é", "", None, "hot", "HOT"]) if rng.random() < 0.5 else f"own {rng.randint(0, 900)}" for _ in range(1500)]
     groups = defaultdict(list)
@@ -197,9 +243,22 @@ def test_exact_groups(make, monkeypatch):
     assert sorted(r["doc_id"] for r in exact_dedup.dedup(make(list(enumerate(texts))).repartition(7)).collect()) == sorted(max(g) for g in groups.values())
 
 
-def test_only_repeated_texts_shuffle(make):
-    rows = exact_dedup.flagged(make([(i, f"text {i}") for i in range(2000)] + [(-1, "TEXT 5")]), "s", "m").filter("m").collect()
-    assert {5, -1} <= {r["doc_id"] for r in rows} and len(rows) < 60
+def test_exact_dedup_of_equal_ids(make):
+    rows = [(1, "Aa"), (1, "aA"), (1, "aA"), (None, "aa"), (None, "b"), (None, "B")]
+    for k in range(3):
+        docs = make(rows[k:] + rows[:k]).repartition(3)
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in exact_dedup.dedup(docs).collect()))) == ["(1, 'aA')", "(None, 'b')"]
+        assert sorted((r["group_size"], r["kept"]) for r in exact_dedup.groups(docs).collect()) == [(2, False), (2, True), (4, False), (4, False), (4, False), (4, True)]
+
+
+def test_only_repeated_texts_shuffle(spark):
+    """At any size: a filter of many segments takes few hashes that are not repeated, and all that are."""
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-(1 << 63), 1 << 63, 300_000)
+    every = np.concatenate([hashes, hashes[:1000]])
+    found = exact_dedup.twice(every)
+    assert set(hashes[:1000].tolist()) <= set(found.tolist()) and len(set(found.tolist())) < 1000 + 0.02 * len(hashes)
+    assert not len(exact_dedup.twice(np.zeros(0, np.int64))) and exact_dedup.twice(np.zeros(2, np.int64)).tolist() == [0, 0]
 
 
 def test_quality_on_held_out_rows(spark, make):
@@ -218,6 +277,59 @@ def test_quality_on_held_out_rows(spark, make):
     assert all(again[r["doc_id"]] == pytest.approx(r["score"], abs=1e-9) for r in got)
 
 
+def plain_statistics(text):
+    """The classifier's statistics of one text, from their definitions."""
+    raw = text.encode()
+    kinds = Counter("upper" if 65 <= b <= 90 else "digit" if 48 <= b <= 57 else "lower" if 97 <= b <= 122 else "high" if b > 127 else "space" if b in b" \t\x0b\x0c\r" else "line" if b == 10 else "stop" if b in quality.SENTENCE_SIGNS else "shout" if b == 33 else "sign" for b in raw)
+    words = re.findall(rb"[^ \t\x0b\x0c\r\n]+", raw)
+    lines = [x for x in re.findall(rb"[^\n]*\n|[^\n]+", raw)]
+    solid, one = max(len(raw) - kinds["space"] - kinds["line"], 1), max(len(words), 1)
+    pairs = list(zip(words, words[1:]))
+    rare = lambda x: np.log(x + 0.01)
+    return [
+        np.log1p(len(raw)), *(rare(kinds[k] / solid) for k in ("sign", "shout", "upper", "digit", "stop")), kinds["high"] / solid, solid / one / 10, rare(sum(a == b for a, b in pairs) / one),
+        np.log((len(set(words)) + 1) / (one + 1)), rare(max(Counter(words).values(), default=0) / one), rare(1 - len(set(pairs)) / max(len(pairs), 1)), rare(1 - len(set(lines)) / max(len(lines), 1)), np.log((len(lines) + 1) / (one + 1)),
+    ]
+
+
+def test_quality_scores_are_the_densities(spark, make):
+    """Statistics, shrunk covariances, densities and the logistic curve recomputed apart from the operator, on odd rows too."""
+    from zlib import crc32
+
+    rng = random.Random(9)
+    texts = {i: prose(rng, rng.randint(1, 90)) if i % 3 else "\n".join([prose(rng, 4) + "!! ## 12"] * rng.randint(1, 9)) for i in range(400)}
+    texts |= {400: None, 401: "", 402: "É\n\n\nÉ É", 403: "x" * 50_000, 404: "\x0b \t", 405: "a\nb\nb\n"}
+    labels = {i: int(i % 3 > 0) if i % 10 else int(rng.random() < 0.5) for i in range(400)}
+    stats = {i: np.array(plain_statistics(t or "")) for i, t in texts.items()}
+    learnt = [i for i in labels if crc32(str(i).encode()) % 4 != 2]
+    x, y = np.array([stats[i] for i in learnt]), np.array([labels[i] for i in learnt])
+    z, all_z = (x - x.mean(0)) / (x.std(0) + 1e-6), (np.array(list(stats.values())) - x.mean(0)) / (x.std(0) + 1e-6)
+    own = [np.cov(z[y == k], rowvar=False) for k in (0, 1)]
+    pooled = sum(own[k] * (y == k).mean() for k in (0, 1))
+
+    def logs(rows, k):
+        c = 0.9 * own[k] + 0.1 * pooled
+        c = 0.95 * c + 0.05 * np.diag(np.diag(c)) + 1e-3 * np.eye(len(c))
+        d = rows - z[y == k].mean(0)
+        return -0.5 * np.einsum("ij,ij->i", d, np.linalg.solve(c, d.T).T) - 0.5 * np.linalg.slogdet(c)[1]
+
+    gap = lambda rows: np.clip(logs(rows, 1) - logs(rows, 0), -200, 200) / 10
+    a, b = 1.0, np.log(y.mean() / (1 - y.mean()))
+    g = np.stack([gap(z), np.ones(len(y))], axis=1)
+    beta = np.array([a, b])
+    for _ in range(200):  # the penalised likelihood has one maximum
+        p = 1 / (1 + np.exp(-g @ beta))
+        step = np.linalg.solve((g * (p * (1 - p))[:, None]).T @ g + 0.01 * np.eye(2), g.T @ (y - p) - 0.01 * beta)
+        beta = beta + np.clip(step, -2, 2)
+    want = dict(zip(stats, 1 / (1 + np.exp(-(gap(all_z) * max(beta[0], 0.01) + beta[1]))), strict=True))
+    twice = [*texts.items(), *list(texts.items())[:50]]
+    got = quality.classify(make(twice), labels_of(spark, [(i, q, 0) for i, q in labels.items()] + [(3, None, 1), (5, 7, 0), (None, 1, 0)])).collect()
+    assert len(got) == len(twice)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9) and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def components(texts, width):
     sets, parent = {}, {i: i for i in texts}
     for i, t in texts.items():
@@ -265,6 +377,58 @@ def test_near_duplicates(make, monkeypatch):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_near_duplicates_of_a_table(spark):
+    """All pairs of the table's sets against the operator: no link is lost, none is added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want, sets = components({r["doc_id"]: r["text"] for r in docs.collect()}, 2)
+    got = near_dedup.near_duplicates(docs, 2).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {i: (c, len(sets[i])) for i, c in want.items()}
+
+
+def test_large_lists_of_ids_are_joined(make, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 60).split()
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 60, 3)] + [prose(rng, 30) for _ in range(20)]
+    docs = dict(enumerate(texts))
+    want, _ = components(docs, 2)
+    monkeypatch.setattr(near_dedup, "small_enough", lambda ids, most: False)
+    assert sorted(r["doc_id"] for r in near_dedup.dedup(make(list(docs.items())), 2).collect()) == sorted(set(want.values()))
+
+
+def test_stored_tables_go(make):
+    from quillspark.storage import shared_dir
+
+    docs = make([(i, f"a b c d e f {i % 3}") for i in range(30)])
+    where = shared_dir(docs.sparkSession).removeprefix("file:")
+    before = set(os.listdir(where))
+    near_dedup.near_duplicates(docs, 2)
+    assert len(set(os.listdir(where)) - before) == 2
+
+
+@pytest.mark.parametrize("chunk", [1, 1000])
+def test_components(spark, chunk):
+    from quillspark.llm.common import Scratch
+    from quillspark.llm.components import components as connected
+
+    rng = random.Random(13)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(7, 7), (400, 401), (401, 400)]
+    want = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(100):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    scratch = Scratch(spark)
+    got = connected(spark.createDataFrame(edges, "a long, b long").repartition(5).filter("a <> b"), scratch, chunk)
+    labels = {r["node"]: r["label"] for r in got.collect()}
+    groups, plain = defaultdict(set), defaultdict(set)
+    for x in labels:
+        groups[labels[x]].add(x)
+        plain[want[x]].add(x)
+    assert set(labels) == set(want) and sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
+    assert connected(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
 def test_signatures_seldom_miss():
     from math import comb
 
@@ -298,6 +462,17 @@ def test_chat(spark):
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_of_long_texts_and_clashing_columns(spark):
+    long = "<[\\é" * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, None, None, None), (2, None, None, None)]
+    turns = spark.createDataFrame([(*r, "x", 5, 6, "y") for r in rows], "conv_id long, turn long, role string, text string, formatted string, loss_start int, n_turns int, escaped string")
+    formatted = chat.format_turns(turns)
+    assert formatted.columns == ["conv_id", "turn", "formatted", "loss_start", "loss_end"]
+    got = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (3, 2 * len(long), sha(long * 2))
+    assert (got[2]["n_turns"], got[2]["turns_sha256"], got[2]["loss_sha256"]) == (2, sha("\n\n" * 2), sha(""))
+
+
 def test_assembly_of_slices():
     roles, texts = pa.array(["user", "tool", "assistant", "user"]), pa.array(["a<b", "é\\", "", "x"])
     whole = chat.assemble(roles, texts)[0].to_pylist()
@@ -337,6 +512,35 @@ def test_personal_data(make):
             assert r["spans"] == "phone:0:17,card:18:34"
 
 
+def test_recall_by_kind(make):
+    """Planted data of every kind is found through the spans, and plain prose has none."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        raw = "4" + digits(14)
+        return next(raw + c for c in "0123456789" if pii.luhn(raw + c))
+
+    def iban():
+        body = "DE00" + digits(18)
+        check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
+        return f"DE{check:02d}{body[4:]}"
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make_one = {
+        "email": lambda: f"write to ann{digits(3)}@mail{digits(2)}.example.com", "ip": lambda: f"server 10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 254)}", "card": lambda: f"card {card()}", "phone": lambda: f"call +1 (212) 555-{digits(4)}",
+        "iban": lambda: f"iban {iban()}", "ssn": lambda: f"ssn {rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "secret": lambda: "key AKIA" + "".join(rng.choices(letters, k=16)), "name": lambda: rng.choice(["Dear Mr. Peter Miller", "signed Mrs Anna Lopez"]),
+    }
+    kinds, docs = [None, *make_one] * 40, []
+    for i, kind in enumerate(kinds):
+        docs.append((i, f"{prose(rng, 12)} {make_one[kind]() if kind else prose(rng, 3)} {prose(rng, 12)}"))
+    hits = Counter()
+    for r in pii.find(make(docs)).collect():
+        found = {s.split(":")[0] for s in r["spans"].split(",") if s}
+        hits[kinds[r["doc_id"]]] += kinds[r["doc_id"]] in found if kinds[r["doc_id"]] else not found
+    assert all(hits[k] >= 0.95 * 40 for k in [None, *make_one]), hits
+
+
 def test_long_runs_cost_no_squares():
     assert pii.proposals("a" * 300_000)[0] == [] and pii.proposals("1" * 300_000)[0] == [] and pii.proposals("a@" * 100_000)[0] == []
 
@@ -365,6 +569,30 @@ def test_sql(spark, name):
     assert sorted(str(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(str(tuple(r[want.columns.index(c)] for c in columns)) for r in want.fetchall())
 
 
+def test_oracles_are_sql():
+    import __spark_entry__
+    from quillspark.llm.queries import ORACLES, QUERIES
+
+    assert all(isinstance(x, str) for x in [*ORACLES.values(), *__spark_entry__.oracle_sql().values()])
+    assert set(ORACLES) == {"op3_mixing", "op5_license_scan", "op6_exact_dedup", "op9_chat_format"} < set(QUERIES)
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks = [(8, 1, 0), (7, 1, 0), (None, 0, 0)]
+        labels_of(spark, marks if name == "odd" else []).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = corpus_pipeline.stored(stage(spark, rows, f"{tmp_path}/{name}"), "stage")
+            assert rows.columns == docs.columns
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        texts = {sha(r["text"] or "") for r in docs.collect()}
+        assert {r["decoded_sha256"] for r in out} <= texts and bool(out) == (name == "odd")
+
+
 def test_pipeline(spark):
     """Each stage against a plain version of it, on its own input."""
     import corpus_pipeline

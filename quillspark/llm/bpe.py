@@ -23,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .bytespans import trim
 from .common import text_or_empty
 from .pretokens import splitter
 
-WORDS_A_QUERY = 25_000
-MEMO_WORDS = 500_000
+WORDS_A_QUERY = 10_000
+MEMO_WORDS = 150_000
 #: Each contraction copies a word's tokens, so that the query costs the square of a word's length; longer words than this (bytes) are
 #: contracted in the same order by a heap.
 LONG_WORD = 1_000
-CHARS_A_STEP = 2_000_000
+CHARS_A_STEP = 1_000_000
 EMPTY = np.zeros(0, dtype="<u4")
 
 ENCODE = """
@@ -62,17 +63,14 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = splitter(pattern)
         ranks = self.ranks
-        rows = [(ranks[k[:i]], ranks[k[i:]], v) for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-        self.merges = {(a, b): m for a, b, m in rows}
-        self.bytes = {v: k for k, v in ranks.items()}
+        rows = np.array([(ranks[k[:i]], ranks[k[i:]], v) for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks], dtype=np.int64)
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.known[list(ranks.values())] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        left, right, merged = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-        self._table("merges", pa.table({"pair": (left << 32) | right, "merged": pa.array(merged, pa.int32())}))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self._table("merges", pa.table({"pair": (rows[:, 0] << 32) | rows[:, 1], "merged": pa.array(rows[:, 2], pa.int32())}))
         # a byte string as text of code points 0 to 255: ordered string_agg takes text
-        self._table("vocab", pa.table({"tok": pa.array(list(self.bytes), pa.int32()), "piece": [k.decode("latin-1") for k in ranks]}))
+        self._table("vocab", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "piece": [k.decode("latin-1") for k in ranks]}))
         self.forget()
 
     def forget(self) -> None:
@@ -93,24 +91,31 @@ class Codec:
         return out
 
     def _by_heap(self, word: bytes) -> list[int]:
-        """The leftmost pair of least rank first, for very long words: a linked list and a heap with lazy deletion."""
-        toks = self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist()
-        n, merges = len(toks), self.merges
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(m, i, toks[i], toks[i + 1]) for i in range(n - 1) if (m := merges.get((toks[i], toks[i + 1]))) is not None]
+        """The leftmost pair of least rank first, for very long words: a linked list of pieces and a heap with lazy deletion."""
+        ranks, n = self.ranks, len(word)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(i: int) -> tuple[int, int, int] | None:
+            """The rank of the piece at i with the next one, where they begin, and where they end."""
+            if i < 0 or (j := ends[i]) >= n or (rank := ranks.get(word[i : ends[j]])) is None:
+                return None
+            return rank, i, ends[j]
+
+        heap = [p for i in range(n - 1) if (p := pair(i))]
         heapq.heapify(heap)
         while heap:
-            m, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or toks[i] != a or toks[j] != b:
+            found = heapq.heappop(heap)
+            i = found[1]
+            if ends[i] <= i or pair(i) != found:
                 continue
-            toks[i], alive[j], after[i] = m, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
+            j = ends[i]
+            ends[i], ends[j] = ends[j], -1
+            if ends[i] < n:
+                before[ends[i]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] < n and (r := merges.get((toks[x], toks[after[x]]))) is not None:
-                    heapq.heappush(heap, (r, x, toks[x], toks[after[x]]))
-        return [t for t, live in zip(toks, alive, strict=True) if live]
+                if p := pair(x):
+                    heapq.heappush(heap, p)
+        return [ranks[word[i : ends[i]]] for i in range(n) if ends[i] > i]
 
     def learn(self, words: list[str]) -> None:
         """Appends the ids of new words to the memo."""
@@ -218,6 +223,7 @@ def steps(texts: list[str], chars: int = CHARS_A_STEP) -> Iterator[tuple[int, in
         size += len(t)
     if at < len(texts):
         yield at, len(texts)
+    trim()
 
 
 def _batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, lists: bool, digests: bool) -> Iterator[pa.RecordBatch]:

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(ODD, -1, 1 << 64)
 
 
+@lru_cache(1)
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda keep: 0
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks and share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
 def steps_of(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Ranges of rows of about size bytes each, with their bytes and offsets. A longer text is a range of its own."""
     column = column.cast(pa.large_string())
@@ -23,6 +39,7 @@ def steps_of(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, in
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    trim()
 
 
 def word_spans(gap: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

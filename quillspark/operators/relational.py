@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import fresh, stored
+
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
@@ -65,29 +67,32 @@ def disjoint_samples(pages: DataFrame, keys: tuple[str, str], sizes: dict[str, i
 def ranked(df: DataFrame, *order: Column | str, column: str = "rank", total: str | None = None) -> DataFrame:
     """Numbers from 0 in the order of the columns, and if asked for the number of rows.
 
-    Rows are ranked by range: partitions are sorted on their own and get their first rank from the partitions' row counts, so that no task
-    sees all rows. The number of partitions is fixed, since both passes must see the same ones.
+    Rows are dealt by range and sorted, and stored once with the number of their partition and their place in it; the partitions' row counts
+    come from that table. Ranges are drawn from a sample, so that a plan that dealt the rows twice would count other partitions than it
+    numbers. No task sees all rows; rows with equal keys get their numbers in any order, but each number is given once.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, at, of, start, rows = fresh([*df.columns, column, *([total] if total else [])], "part", "at", "of", "start", "rows")
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    spread = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    numbered = spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id())
+    dealt = stored(dealt.withColumn(at, F.monotonically_increasing_id() - F.shiftleft(F.col(part).cast("long"), 33)), "ranked")
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(rows))
     # a row for each partition, not for each row
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
-    out = numbered.join(F.broadcast(starts), F.col("__part") == F.col("__of")).withColumn(column, F.col("__start") + F.col("__at"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(part).alias(of), F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(start), F.sum(rows).over(Window.partitionBy()).alias(rows))
+    out = dealt.join(F.broadcast(starts), F.col(part) == F.col(of)).withColumn(column, F.col(start) + F.col(at))
     if total:
-        out = out.withColumn(total, F.col("__total"))
-    return out.drop("__part", "__at", "__of", "__start", "__total")
+        out = out.withColumn(total, F.col(rows))
+    return out.drop(part, at, of, start, rows)
 
 
 def chunk_ids(df: DataFrame, key: str, chunks: int, column: str = "chunk") -> DataFrame:
     """Chunks of consecutive keys; the first n % chunks have one row more."""
-    rows = ranked(df, key, column="__rank", total="__rows")
-    rank, small, large = F.col("__rank"), F.floor(F.col("__rows") / chunks), F.col("__rows") % chunks
+    at, n = fresh([*df.columns, column], "rank", "rows")
+    rows = ranked(df, key, column=at, total=n)
+    rank, small, large = F.col(at), F.floor(F.col(n) / chunks), F.col(n) % chunks
     chunk = F.when(rank < large * (small + 1), F.floor(rank / (small + 1))).otherwise(large + F.floor((rank - large * (small + 1)) / F.greatest(small, F.lit(1))))
-    return rows.withColumn(column, chunk.cast("int")).drop("__rank", "__rows")
+    return rows.withColumn(column, chunk.cast("int")).drop(at, n)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0, column: str = "place") -> DataFrame:

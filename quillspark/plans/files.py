@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import growth, marks
 from ..operators import relational as R
 from ..sources import readers, sinks
-from ..storage import shared_dir, write_text
+from ..storage import scratch_path, write_text
 from .inputs import rated, table
 from .registry import query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}-{name}"
+    return f"{scratch_path(spark, name)}/{name}"
 
 
 @query("SELECT item_id::VARCHAR AS item_id, text, 'comma' AS kind FROM benchmark UNION ALL SELECT item_id::VARCHAR, text, 'semicolon' FROM benchmark")
@@ -92,12 +90,12 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.page_counts(spark, f"{where}/*.pdf")
 
 
-@query("""WITH c AS (SELECT doc_id, (ntile(92) OVER (ORDER BY doc_id) - 1)::INTEGER AS chunk FROM documents) SELECT chunk, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM c GROUP BY chunk""")
+@query("""WITH c AS (SELECT *, (ntile(92) OVER (ORDER BY doc_id) - 1)::INTEGER AS chunk FROM documents) SELECT chunk, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, sum(length(text))::BIGINT AS chars FROM c GROUP BY chunk""")
 def chunk_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder for each chunk of consecutive documents, read back."""
     where = _folder(spark, "chunks")
-    sinks.write_chunks(table(spark, sf_dir, "documents").select("doc_id"), where, "doc_id", 92)
-    return spark.read.parquet(where).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    sinks.write_chunks(table(spark, sf_dir, "documents"), where, "doc_id", 92)
+    return spark.read.parquet(where).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'second' END AS run FROM documents")
@@ -126,7 +124,7 @@ def printed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.metric_rows(wide)
 
 
-@query("SELECT (row_number() OVER (ORDER BY ((doc_id % 1000003) * 7919 + 3 * 104729) % 1000003, doc_id) - 1) AS place, doc_id FROM documents")
+@query("SELECT (row_number() OVER (ORDER BY ((doc_id % 1000003) * 7919 + 3 * 104729) % 1000003, doc_id) - 1) AS place, * FROM documents")
 def shuffled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in a random order that every run repeats, with their places."""
-    return R.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", seed=3, column="place").select("place", "doc_id")
+    return R.shuffled(table(spark, sf_dir, "documents"), "doc_id", seed=3, column="place")

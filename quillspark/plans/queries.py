@@ -138,9 +138,9 @@ def dev_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.complement(docs, R.sample(docs, "doc_id", 5, seed=1), "doc_id")
 
 
-@query("SELECT doc_id, (ntile(92) OVER (ORDER BY doc_id) - 1)::INTEGER AS chunk FROM documents")
+@query("SELECT *, (ntile(92) OVER (ORDER BY doc_id) - 1)::INTEGER AS chunk FROM documents")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.chunk_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 92)
+    return R.chunk_ids(table(spark, sf_dir, "documents"), "doc_id", 92)
 
 
 _PAGE = "(((conv_id * 1000 + turn)) * 7919) % 1000003"

@@ -172,3 +172,18 @@ def test_confusion_and_marks(spark):
     walked = spark.createDataFrame([("↭", "↭"), ("↭", "↫"), ("↫", "x"), ("x", "↷")], "t string, p string")
     got = {r["mark"]: tuple(r)[1:] for r in E.precision_recall(E.mark_counts(walked, "t", "p", {"inline": "↭", "cite": "↫", "ref": "↷"})).collect()}
     assert got == {"inline": (1, 0, 0, 2, 1.0, 1.0, 1.0), "cite": (0, 1, 1, 1, 0.0, 0.0, 0.0), "ref": (0, 1, 0, 0, None, None, None)}
+
+
+def test_ranks_of_a_wide_table(spark):
+    n, before = 120_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        wide = spark.range(n).select((F.col("id") * 7919 % n).alias("key"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("text"), F.lit(1).alias("part"))
+        got = R.ranked(wide, "key", total="n")
+        assert got.filter("rank <> key or n <> 120000").count() == 0 and got.count() == n and set(got.columns) == {"key", "text", "part", "rank", "n"}
+        sizes = {r["chunk"]: (r["n"], r["first"]) for r in R.chunk_ids(wide, "key", 92).groupBy("chunk").agg(F.count("text").alias("n"), F.min("key").alias("first")).collect()}
+        assert len(sizes) == 92 and all(sizes[c][0] == n // 92 + (c < n % 92) for c in sizes) and sizes[0][1] == 0
+        places = R.shuffled(wide, "key", 3).select("place", "key").collect()
+        assert sorted(r["place"] for r in places) == list(range(n)) and len({r["key"] for r in places}) == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete, shared_dir
+from ..storage import delete, fresh, scratch_path, stored
+
+__all__ = ["BROADCAST_ROWS", "Scratch", "fold_ascii", "fresh", "join_hot", "small_enough", "stored", "text_or_empty"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 100_000
 
 
-def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
-    """Names like the wanted ones that no column has, whatever its case."""
-    used = {c.lower() for c in taken}
-    out = []
-    for name in wanted:
-        while name.lower() in used:
-            name = f"_{name}"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -35,23 +22,15 @@ def fold_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: later stages read it, so that a lost executor costs no more than its own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
-    """Stored tables of one operator that go once their readers are done. Only what close() is told to keep stays, for the result reads it."""
+    """Stored tables of one operator that go once their readers are done. Only what close() is told to keep stays until the driver ends, for the result reads it."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{self.spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}-{name}"
-        df.write.parquet(path)
+        path = scratch_path(self.spark, name)
+        df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

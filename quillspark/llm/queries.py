@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exact_dedup, license_scan, mixing, near_dedup, pii, quality, token_counts
+from . import ann, bpe, chat, clustering, exact_dedup, license_scan, mixing, near_dedup, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.query,
     "op9_chat_format": chat.query,
     "op10_personal_data": pii.query,
+    "op13_clusters": clustering.query,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op5_license_scan": license_scan.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_chat_format": chat.SQL,
+    "op13_clusters": clustering.SQL,
 }

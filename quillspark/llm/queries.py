@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, clustering, decontamination, exact_dedup, license_scan, mixing, near_dedup, pii, quality, token_counts
+from . import ann, bpe, chat, clustering, decontamination, exact_dedup, license_scan, mixing, near_dedup, pii, prefix_trie, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": chat.query,
     "op10_personal_data": pii.query,
     "op11_decontamination": decontamination.query,
+    "op12_prefix_trie": prefix_trie.query,
     "op13_clusters": clustering.query,
 }
 ORACLES: dict[str, str] = {
@@ -28,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_chat_format": chat.SQL,
     "op11_decontamination": decontamination.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
     "op13_clusters": clustering.SQL,
 }

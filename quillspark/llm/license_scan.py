@@ -2,8 +2,9 @@
 
 Every place of every document gives one row with the word there, the next one and a hash of the four that begin there. These rows are
 joined with the places of the templates' k-grams: short phrases by their word pairs, whole notices by their runs of four words. A match at
-document word p and template word q votes for the diagonal p - q; votes are summed by diagonal, neighbouring diagonals (words put in or
-left out) are merged, and a span is verified if it holds enough of its template.
+document word p and template word q votes for the diagonal p - q; votes are summed by diagonal, and each diagonal is merged with those that
+are DRIFT above it at most (words put in; words left out are seen from the lower diagonal). The span is verified in the document's order: its
+longest sequence of matches that goes on in the document and in the template must hold enough of the template.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ NOTICES = {
     "this source code form is subject to the terms of the mozilla public license": "mpl",
 }
 NOTICE_K = 4
-#: Diagonals at most this far apart, in order, are one span.
-DRIFT = 3
-#: Least part of a notice's k-grams that a span holds.
+#: A span's diagonals are this far apart at most: so many words may be put in or left out in all.
+DRIFT = 6
+#: Least part of a notice's k-grams that a span holds in order.
 COVER = 0.6
 
 
@@ -62,6 +63,20 @@ def word_rows(words: Column) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), entry)).otherwise(F.array().cast("array<struct<first:string,second:string,run:bigint>>"))
 
 
+def in_order(span: str, grams: str) -> Column:
+    """How many matches of a span follow each other in the document and in the template: for each template place the longest sequence that ends
+    there, matches taken in the document's order. Of matches at one document place the later template place comes first, so that they do not follow each other."""
+    match = lambda d, q: F.struct((d + q).alias("p"), (-q).alias("back"))
+    matches = F.array_sort(F.flatten(F.transform(span, lambda x: F.transform(x["places"], lambda q: match(x["diagonal"], q)))))
+
+    def step(best: Column, m: Column) -> Column:
+        q = -m["back"]
+        longer = 1 + F.coalesce(F.array_max(F.slice(best, F.lit(1), q)), F.lit(0))
+        return F.transform(best, lambda b, k: F.when(k == q, F.greatest(b, longer)).otherwise(b))
+
+    return F.array_max(F.aggregate(matches, F.array_repeat(F.lit(0), F.col(grams)), step))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -87,13 +102,9 @@ def scan(docs: DataFrame) -> DataFrame:
     votes = by_doc.groupBy("row", "template", "diagonal").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("phrase").alias("phrase"), F.first("label").alias("label"), F.first("grams").alias("grams"), F.collect_set("place").alias("places")
     )
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    spans = (
-        votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT).cast("int"), F.lit(1)))
-        .withColumn("span", F.when(F.col("phrase"), F.col("diagonal")).otherwise(F.sum("new").over(along)))
-        .groupBy("row", "template", "span")
-        .agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words", "phrase", "label", "grams")), F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"))
-    )
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    spans = votes.withColumn("span", F.when(~F.col("phrase"), F.collect_list(F.struct("diagonal", "places")).over(near)))
+    spans = spans.withColumn("held", F.when(F.col("phrase"), F.size("places")).otherwise(in_order("span", "grams"))).withColumnRenamed("diagonal", "start")
     part = F.col("held") / F.col("grams")
     base = F.col("phrase") & (F.col("held") == F.col("grams"))
     noticed = ~F.col("phrase") & (part >= COVER)
@@ -119,7 +130,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same rows in DuckDB's SQL: words are unnested, k-grams compared as texts, and spans made by a running sum."""
+    """The same rows in DuckDB's SQL: words are unnested, k-grams compared as texts, and diagonals joined with those above them."""
     rows = []
     for no, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
         words, k = text.split(" "), 2 if text in PHRASES else NOTICE_K
@@ -131,10 +142,13 @@ g AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(template, phrase, label, gra
 p AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM t),
 m AS (SELECT rid, template, phrase, label, grams, place, i - 1 - place AS diagonal FROM p JOIN g ON g.k = 2 AND g.gram = array_to_string(w[i:i + 1], ' ')
       UNION ALL SELECT rid, template, phrase, label, grams, place, i - 1 - place FROM p JOIN g ON g.k = {NOTICE_K} AND g.gram = array_to_string(w[i:i + {NOTICE_K - 1}], ' ')),
-d AS (SELECT DISTINCT rid, template, phrase, diagonal FROM m),
-n AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {DRIFT})::INTEGER, 1) AS new FROM d),
-s AS (SELECT *, CASE WHEN phrase THEN diagonal ELSE sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal) END AS span FROM n),
-h AS (SELECT m.rid, m.template, m.phrase, m.label, m.grams, s.span, min(m.diagonal) AS start, count(DISTINCT place) AS held FROM m JOIN s ON s.rid = m.rid AND s.template = m.template AND s.diagonal = m.diagonal GROUP BY ALL),
+d AS (SELECT DISTINCT rid, template, phrase, label, grams, diagonal FROM m),
+x AS (SELECT d.rid, d.template, d.diagonal, list([m.place::BIGINT] ORDER BY m.diagonal + m.place, m.place DESC) AS l FROM d JOIN (SELECT DISTINCT rid, template, diagonal, place FROM m WHERE NOT phrase) m
+      ON m.rid = d.rid AND m.template = d.template AND m.diagonal BETWEEN d.diagonal AND d.diagonal + {DRIFT} GROUP BY ALL),
+h AS (SELECT d.*, d.diagonal AS start, CASE WHEN phrase THEN (SELECT count(DISTINCT place) FROM m WHERE m.rid = d.rid AND m.template = d.template AND m.diagonal = d.diagonal) ELSE list_max(list_reduce(
+      list_concat([list_transform(range(grams), lambda k: 0::BIGINT)], l),
+      lambda best, e: list_transform(range(grams), lambda k: CASE WHEN k = e[1] THEN greatest(best[k + 1], 1 + coalesce(list_max(best[1:k]), 0)) ELSE best[k + 1] END))) END AS held
+      FROM d LEFT JOIN x ON x.rid = d.rid AND x.template = d.template AND x.diagonal = d.diagonal),
 f AS (SELECT *, phrase AND held = grams AS base, NOT phrase AND held / grams >= {COVER}::DOUBLE AS noticed FROM h),
 a AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR noticed) AS labels, max(CASE WHEN base THEN 1.0::DOUBLE WHEN phrase THEN 0.0::DOUBLE ELSE held / grams END) AS score FROM f GROUP BY rid)

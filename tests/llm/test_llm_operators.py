@@ -145,6 +145,19 @@ def test_mixing_of_many_sources(make, monkeypatch):
     assert sorted(map(str, mixing.with_copies(docs)[0].collect())) == few
 
 
+def test_targets_of_very_many_sources(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        names = [f"s{i:06d}" for i in range(150_000)]
+        sizes = spark.createDataFrame([(n, 10 + (i % 2 if i % 5 == 0 else 0)) for i, n in enumerate(reversed(names))], "source string, size long").repartition(16, "size", "source")
+        want = filled(dict(zip(reversed(names), (10 + (i % 2 if i % 5 == 0 else 0) for i in range(len(names))), strict=True)))
+        got = {r["source"]: r["target"] for r in mixing.source_targets(sizes, "source", "size").collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 * want[s] + 1e-9 for s in want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("cells", [1, 5])
 def test_neighbours(spark, monkeypatch, cells):
     monkeypatch.setattr(ann, "SHARD", 150)
@@ -574,7 +587,7 @@ def test_oracles_are_sql():
     from quillspark.llm.queries import ORACLES, QUERIES
 
     assert all(isinstance(x, str) for x in [*ORACLES.values(), *__spark_entry__.oracle_sql().values()])
-    assert set(ORACLES) == {"op3_mixing", "op5_license_scan", "op6_exact_dedup", "op9_chat_format"} < set(QUERIES)
+    assert set(ORACLES) == {f"op{n}" for n in ("3_mixing", "5_license_scan", "6_exact_dedup", "9_chat_format", "11_decontamination", "12_prefix_trie", "13_clusters")} < set(QUERIES)
 
 
 def test_pipeline_on_odd_rows_and_empty_tables(spark, odd, tmp_path):

@@ -1,7 +1,8 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
-Every document is posted under each (coordinate, value) pair of its signature. Two sets of similarity 0.8 agree in about 26 of 32
-coordinates, and in fewer than MATCHES = 13 once in ten million pairs; a pair counts as candidate from MATCHES collisions on. Postings are
+Every document is posted under each (coordinate, value) pair of its signature. Two sets of similarity 0.8 agree in about 51 of 64
+coordinates, and in fewer than MATCHES = 33 once in ten million pairs; a pair counts as candidate from MATCHES collisions on, as half of the
+pairs of similarity 0.5 and one in thirty of 0.4 do. Postings are
 skipped by a prefix: with its pairs sorted from rare to frequent, a document that has t pairs which others share is posted under the first
 t - MATCHES + 1 only, since two documents with MATCHES common pairs have one of them in both prefixes. Frequent passages thus drop out of
 the postings while no candidate is lost. Merging the lists says which pairs collide at all; their collisions in the skipped lists are
@@ -32,15 +33,15 @@ from .bytespans import ODD, mixed, span_hashes, steps_of, word_spans
 from .common import Scratch, fresh, join_hot, small_enough, text_or_empty
 from .components import components
 
-COORDINATES, MATCHES = 32, 13
+COORDINATES, MATCHES = 64, 33
 PER_CENT = 80
 SHORT_LIST = 16
 #: A hub meets about so many members in a task, and blocks hold about so many; fewer where sets are large.
 MEET, BLOCK, BLOCK_ELEMENTS = 64, 512, 2_000_000
 #: Blocks with more likely pairs than this for each of their rows compare them where they are.
 DENSE = 4
-#: Rows of ids (8 bytes), and of ids with what is to be done with them (some 200), that are broadcast; longer lists meet their texts in a shuffle.
-BROADCAST_IDS, BROADCAST_WANTED = 1_000_000, 100_000
+#: Rows of ids (16 bytes), and rows and places of sets that are wanted (PLACE_BYTES each), that are broadcast; longer lists meet their texts in a shuffle.
+BROADCAST_IDS, BROADCAST_WANTED, PLACE_BYTES = 500_000, 32_000_000, 128
 
 _GAPS = np.zeros(256, dtype=bool)
 _GAPS[[0x20, *range(0x09, 0x0E)]] = True
@@ -100,6 +101,12 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.view(np.int64).ravel()), mask=pa.array(np.diff(at) == 0))
 
 
+def shortened(sets: list[np.ndarray]) -> np.ndarray:
+    """15 bits of each value of the signatures of full sets."""
+    flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    return np.stack([(np.minimum.reduceat((flat ^ _XOR[k]) * _TIMES[k], at) & np.uint64(0x7FFF)).astype(np.int16) for k in range(COORDINATES)], axis=1)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, raw, at in steps_of(batch.column("text")):
@@ -172,7 +179,7 @@ class Search:
         best = full.agg(F.min_by(F.struct("n", "sig", "of_text", F.col("doc_id").alias("of_doc")), "row").alias("one"), F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
         short = F.transform("one.sig", lambda v: v.bitwiseAND(0x7FFF).cast("short")).alias("short")
         self.classes = scratch.stored(best.select("node", "key", "doc_id", "copies", "one.*", short), "classes")
-        self.rows = scratch.stored(signed.select("row", "doc_id", "n", "key"), "rows")
+        self.rows = scratch.stored(signed.select("row", "doc_id", "of_text", "n", "key"), "rows")
         scratch.drop(signed)
 
     def postings(self) -> DataFrame:
@@ -199,9 +206,11 @@ class Search:
         about = self.classes.select("node", "key", F.col("of_text").alias("of"), F.col("of_doc").alias("doc"))
         wanted = self.scratch.stored(targets.join(about, "node"), "wanted")
         texts, width = self.texts, self.width
-        few = small_enough(wanted, BROADCAST_WANTED)
-        if not few and small_enough(wanted, BROADCAST_IDS):
-            ids = wanted.select(F.col("of").alias("known"))
+        # a set may go to many places, so that what a row holds is counted, not rows alone
+        places = wanted.agg(F.sum(F.size("ts") + 1)).first()[0] or 0
+        few = places * PLACE_BYTES <= BROADCAST_WANTED
+        ids = wanted.select(F.col("of").alias("known"))
+        if not few and small_enough(ids, BROADCAST_IDS):
             texts = texts.join(F.broadcast(ids), F.col("of_text") == F.col("known"), "left_semi")
         same = (F.col("of_text") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("doc"))
         met = texts.join(F.broadcast(wanted) if few else wanted, same).select("node", "key", "text", "ts")
@@ -315,10 +324,9 @@ class Search:
         dealt = stored(left.unionByName(right), "cells")
         cell = ("cluster", "size", "i", "j")
 
-        def pairs_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        def pairs_of(rows: pa.Table, short: np.ndarray) -> tuple[np.ndarray, ...]:
             """Collisions and rows of the likely pairs of a cell."""
             one, label, n = rows["one"].to_numpy(zero_copy_only=False), rows["label"].to_numpy(), rows["n"].to_numpy()
-            short = rows["short"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             x_rows, y_rows = np.flatnonzero(one), np.flatnonzero(~one)
             found = [np.zeros((0, 3), dtype=np.int64)]
             for x in x_rows.tolist():
@@ -329,7 +337,7 @@ class Search:
             return np.concatenate(found), label, n
 
         def by_signature(rows: pa.Table) -> pa.Table:
-            found, _, n = pairs_of(rows)
+            found, _, n = pairs_of(rows, rows["short"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES))
             node = rows["node"].to_numpy()
             dense = len(found) > DENSE * len(node)
             a, b, an = (np.zeros(int(dense), np.int64),) * 3 if dense else (node[found[:, 1]], node[found[:, 2]], n[found[:, 1]])
@@ -342,11 +350,11 @@ class Search:
         dense = met.filter("dense").select(*cell)
         if not dense.isEmpty():
             inside = dealt.join(dense, list(cell), "left_semi")
-            roles = inside.join(self.classes.select("node", "short"), "node").select("node", F.struct(*cell, "one", "label", "n", "short").alias("t"))
+            roles = inside.select("node", F.struct(*cell, "one", "label", "n").alias("t"))
 
             def by_sets(rows: pa.Table) -> pa.Table:
-                found, label, n = pairs_of(rows)
                 node, sets = rows["node"].to_numpy(), unpacked(rows["elements"])
+                found, label, n = pairs_of(rows, shortened(sets))
                 parent = {x: x for x in label.tolist()}
 
                 def find(x: int) -> int:
@@ -370,12 +378,12 @@ class Search:
 
 
 def _components(docs: DataFrame, width: int, per_cent: int, scratch: Scratch) -> tuple[Search, DataFrame]:
-    """The search, and its classes with their component: key, copies, doc_id (the least) and component_id."""
+    """The search, and its classes with their component: key, copies, label (a number of the component) and component_id (its least doc_id)."""
     search = Search(docs, width, per_cent, scratch)
     labels = search.labels()
     linked = scratch.stored(search.classes.select("node", "key", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "linked")
     least = scratch.stored(linked.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "least")
-    named = scratch.stored(join_hot(linked.drop("node"), least, "label", "rows", F.col("key")).select("key", "copies", "doc_id", "component_id"), "class-components")
+    named = scratch.stored(join_hot(linked.drop("node", "doc_id"), least, "label", "rows", F.col("key")).select("key", "copies", "label", "component_id"), "class-components")
     return search, named
 
 
@@ -398,20 +406,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
 
 
 def dedup(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
-    """The documents that stay, with their columns: one of each component, the one with the smallest doc_id. doc_id tells documents apart.
+    """The documents that stay, with their columns: one of each component, and all without words.
 
-    Only the doc_ids that go are joined with the documents: no text shuffles while there are BROADCAST_IDS of them at most. Rows with a null
-    doc_id go where their component has another doc_id.
+    Rows are told apart by doc_id and text. The row with the smallest doc_id stays, a null one last; of several such rows the one whose text has
+    the least hash, and of rows with that doc_id and text the one whose columns have the least hash. Only the doc_ids and text hashes of rows
+    that go or are repeated are joined with the documents: no text shuffles while there are BROADCAST_IDS of them at most, but those of
+    repeated rows.
     """
     scratch = Scratch(docs.sparkSession)
     search, named = _components(docs, width, per_cent, scratch)
-    gone_class = named.filter("copies > 1 or not (doc_id <=> component_id)")
-    gone = join_hot(search.rows.filter("n > 0"), gone_class.select("key", "copies", "component_id"), "key", "copies", F.col("row"))
-    (of,) = fresh(docs.columns, "gone")
-    gone = scratch.stored(gone.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(of)).distinct(), "gone-ids")
-    few = small_enough(gone, BROADCAST_IDS)
-    scratch.close(gone)
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(gone[of]), "left_anti")
+    several = scratch.stored(named.groupBy("label").agg(F.sum("copies").alias("documents"), F.count(F.lit(1)).alias("classes")).filter("documents > 1"), "several")
+    classes = join_hot(named.select("label", "key", "copies"), several.select("label", "classes"), "label", "classes", F.col("key")).select("key", "copies", "label")
+    rows = join_hot(search.rows.filter("n > 0"), scratch.stored(classes, "several-classes"), "key", "copies", F.col("row"))
+    each = scratch.stored(rows.groupBy("label", "doc_id", "of_text").agg(F.count(F.lit(1)).alias("times")), "told-apart")
+    best = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")).alias("best"), F.count(F.lit(1)).alias("rows"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("of_text") == F.col("best.of_text"))
+    of, text, again, copy = fresh(docs.columns, "of", "of_text", "again", "copy")
+    marked = join_hot(each, scratch.stored(best, "best"), "label", "rows", F.col("of_text")).select(F.col("doc_id").alias(of), F.col("of_text").alias(text), F.when(stays, F.col("times") > 1).alias(again), (~stays).alias(copy))
+    marked = scratch.stored(marked.filter(F.col(copy) | F.col(again)).select(of, text, F.coalesce(again, F.lit(False)).alias(again)), "marked")
+    few = small_enough(marked, BROADCAST_IDS)
+    scratch.close(marked)
+    same = docs["doc_id"].cast("long").eqNullSafe(marked[of]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == marked[text])
+    met = docs.join(F.broadcast(marked) if few else marked, same, "left")
+    alone = met.filter(F.col(text).isNull()).select(*docs.columns)
+    hashable = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = met.filter(F.col(again)).groupBy(of, text).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable)).alias(copy))
+    return alone.unionByName(one.select(*(F.col(copy).getField(c).alias(c) for c in docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

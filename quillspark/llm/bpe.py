@@ -5,7 +5,8 @@ DuckDB query. Its recursive part lays every word out as token-position rows, joi
 word's leftmost pair of least rank, contracts it, and repeats until no pair of any word is in the table. Decoding is an ordered
 aggregation of the vocabulary's bytes.
 
-Memory is bounded: a query sees at most WORDS_A_QUERY words, and the worker's memo of words is emptied when it is full.
+Memory is bounded: a query sees at most WORDS_A_QUERY words whose squared lengths sum to SQUARES_A_QUERY at most, as a word's states are kept
+until its query ends, and never spills; the worker's memo of words drops the rarer half when it is full.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -27,11 +28,11 @@ from .bytespans import trim
 from .common import text_or_empty
 from .pretokens import splitter
 
-WORDS_A_QUERY = 10_000
-MEMO_WORDS = 150_000
-#: Each contraction copies a word's tokens, so that the query costs the square of a word's length; longer words than this (bytes) are
-#: contracted in the same order by a heap.
-LONG_WORD = 1_000
+WORDS_A_QUERY, SQUARES_A_QUERY = 10_000, 4_000_000
+MEMO_WORDS = 250_000
+#: Each contraction copies a word's tokens, so that the query costs the square of a word's length. Longer words than this (bytes) are cut where
+#: no token of the vocabulary can lie across; parts that are longer still are contracted in the same order by a heap.
+LONG_WORD = 36
 CHARS_A_STEP = 1_000_000
 EMPTY = np.zeros(0, dtype="<u4")
 
@@ -67,18 +68,36 @@ class Codec:
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.known[list(ranks.values())] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        # pairs of bytes that stand next to each other in some token: between any two others no token lies across
+        self.inside = np.zeros(1 << 16, dtype=bool)
+        flat = np.frombuffer(b"".join(ranks), dtype=np.uint8).astype(np.int32)
+        within = np.ones(len(flat), dtype=bool)
+        within[np.cumsum([len(k) for k in ranks]) - 1] = False
+        self.inside[((flat[:-1] << 8) | flat[1:])[within[:-1]]] = True
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("merges", pa.table({"pair": (rows[:, 0] << 32) | rows[:, 1], "merged": pa.array(rows[:, 2], pa.int32())}))
         # a byte string as text of code points 0 to 255: ordered string_agg takes text
         self._table("vocab", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "piece": [k.decode("latin-1") for k in ranks]}))
         self.forget()
 
     def forget(self) -> None:
-        """Empties the memo: words by number, and for each number a stretch of ids and, once asked for, of decoded bytes."""
-        self.index, self.fresh = Numbers(), []
+        """Empties the memo: words by number with how often they were met, and for each number a stretch of ids and, once asked for, of decoded bytes."""
+        self.index, self.met = Numbers(), np.zeros(0, dtype=np.int64)
         self.ids, self.id_cut = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
         self.raw, self.raw_cut = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
 
+    def forget_rare(self) -> None:
+        """Keeps the half of the memo that was met most, and counts half of how often."""
+        if len(self.raw_cut) > 1:
+            self.decode_known()
+        stays = np.sort(np.argsort(-self.met, kind="stable")[: MEMO_WORDS // 2])
+        words, one = list(self.index), np.arange(len(stays) + 1)
+        self.index = Numbers((words[k], n) for n, k in enumerate(stays.tolist()))
+        self.ids, self.id_cut = stretches(self.ids, self.id_cut, stays, one)
+        if len(self.raw_cut) > 1:
+            self.raw, self.raw_cut = stretches(self.raw, self.raw_cut, stays, one)
+        self.met = self.met[stays] // 2
+
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
         self.db.sql(f"CREATE TABLE {name} AS SELECT * FROM incoming")
@@ -117,29 +136,52 @@ class Codec:
                     heapq.heappush(heap, p)
         return [ranks[word[i : ends[i]]] for i in range(n) if ends[i] > i]
 
+    def parts(self, word: bytes) -> list[bytes]:
+        """A word cut where no token can lie across, so that its parts are contracted apart."""
+        raw = np.frombuffer(word, dtype=np.uint8).astype(np.int32)
+        cut = np.flatnonzero(~self.inside[(raw[:-1] << 8) | raw[1:]]) + 1
+        return [word[a:z] for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(word)], strict=True)]
+
+    def contracted(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of words by queries, as many in one as its bounds allow."""
+        got: list[np.ndarray] = []
+        squares = np.cumsum([len(w) ** 2 for w in words], dtype=np.int64)
+        while len(got) < len(words):
+            at = len(got)
+            upto = int(np.searchsorted(squares, (squares[at - 1] if at else 0) + SQUARES_A_QUERY, side="right"))
+            part = words[at : max(at + 1, min(upto, at + WORDS_A_QUERY))]
+            ends = np.cumsum([0, *map(len, part)], dtype=np.int32)
+            toks = self.of_byte[np.frombuffer(b"".join(part), dtype=np.uint8)]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(toks))
+            out = self._query(ENCODE, "words", pa.table({"wid": np.arange(len(part), dtype=np.int32), "toks": lists}))["toks"].combine_chunks()
+            flat, cut = out.values.to_numpy().astype("<u4"), out.offsets.to_numpy()
+            got += [flat[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return got
+
     def learn(self, words: list[str]) -> None:
         """Appends the ids of new words to the memo."""
         got: list[np.ndarray] = [EMPTY] * len(words)
         rest: list[tuple[int, bytes]] = []
+        long: dict[int, list[bytes]] = {}
         for k, w in enumerate(words):
             raw = w.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 got[k] = np.array([whole], dtype="<u4")
             elif len(raw) > LONG_WORD:
-                got[k] = np.array(self._by_heap(raw), dtype="<u4")
+                long[k] = self.parts(raw)
             else:
                 rest.append((k, raw))
-        for at in range(0, len(rest), WORDS_A_QUERY):
-            part = rest[at : at + WORDS_A_QUERY]
-            ends = np.cumsum([0, *(len(raw) for _, raw in part)], dtype=np.int32)
-            toks = self.of_byte[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(toks))
-            out = self._query(ENCODE, "words", pa.table({"wid": np.arange(len(part), dtype=np.int32), "toks": lists}))["toks"].combine_chunks()
-            flat, cut = out.values.to_numpy().astype("<u4"), out.offsets.to_numpy()
-            for (k, _), a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                got[k] = flat[a:b]
+        for (k, _), ids in zip(rest, self.contracted([raw for _, raw in rest]), strict=True):
+            got[k] = ids
+        # parts repeat, such as a script's single signs
+        parts = list(dict.fromkeys(p for cut in long.values() for p in cut))
+        known = {p: np.array([self.ranks[p]], dtype="<u4") if p in self.ranks else np.array(self._by_heap(p), dtype="<u4") for p in parts if p in self.ranks or len(p) > LONG_WORD}
+        other = [p for p in parts if p not in known]
+        known |= zip(other, self.contracted(other), strict=True)
+        for k, cut in long.items():
+            got[k] = np.concatenate([known[p] for p in cut])
         self.ids = np.concatenate([self.ids, *got])
-        self.id_cut = np.concatenate([self.id_cut, self.id_cut[-1] + np.cumsum([len(g) for g in got])])
+        self.id_cut = np.concatenate([self.id_cut, self.id_cut[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)])
 
     def decode_known(self) -> None:
         """Decodes the ids of those numbered words that have no bytes yet."""
@@ -160,13 +202,14 @@ class Codec:
     def runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts as numbered words, and where each text's words begin and end."""
         if len(self.index) > MEMO_WORDS:
-            self.forget()
+            self.forget_rare()
         split = [self.split(t) for t in texts]
         ends = np.cumsum([0, *map(len, split)])
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=ends[-1])
         if self.index.new:
             new, self.index.new = self.index.new, []
             self.learn(new)
+        self.met = np.concatenate([self.met, np.zeros(len(self.index) - len(self.met), dtype=np.int64)]) + np.bincount(words, minlength=len(self.index))
         return words, ends
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +234,8 @@ class Codec:
 class Numbers(dict):
     """Numbers words in the order in which they are first asked for, and lists the new ones."""
 
-    def __init__(self):
+    def __init__(self, known: Iterable[tuple[str, int]] = ()):
+        super().__init__(known)
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:

@@ -11,30 +11,11 @@ Nulls in any column, empty texts and extra columns pass as the operators' docstr
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from quillspark.llm.common import stored
-
-
-#: Rows of an Arrow batch. Python workers and the JVM's buffers share an executor's memory, and stages follow each other in the same workers.
-BATCH_ROWS = 2_000
-_KEY, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-
-
-def lean(stage):
-    """The stage with small Arrow batches, unless the session has a size of its own. The setting stays, since stages run after they return."""
-
-    @wraps(stage)
-    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark.conf.get(_KEY, _DEFAULT) == _DEFAULT:
-            spark.conf.set(_KEY, str(BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
-
-    return run_lean
+from quillspark.llm.common import Scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,14 +38,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality", lean(keep_good)), ("exact_dedup", lean(drop_copies)), ("near_dedup", lean(drop_near_copies)), ("mixing", lean(mix_sources)), ("byte_bpe", lean(encode))]
+STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]
 #: Neither the classifier nor signatures can be said in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to the documents; each stage's rows are written and read again, and go once the next stage's are written."""
+    scratch, docs, before = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = scratch.stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
-from quillspark.llm import ann, bpe, chat, exact_dedup, license_scan, mixing, near_dedup, pii, quality, token_counts
+from quillspark.llm import ann, bpe, chat, common, exact_dedup, license_scan, mixing, near_dedup, pii, quality, token_counts
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 SYLLABLES = "ka lo mi ter an er on the in of re st ou".split()
@@ -599,7 +599,7 @@ def test_pipeline_on_odd_rows_and_empty_tables(spark, odd, tmp_path):
         labels_of(spark, marks if name == "odd" else []).write.parquet(f"{tmp_path}/{name}/labels.parquet")
         rows = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            rows = corpus_pipeline.stored(stage(spark, rows, f"{tmp_path}/{name}"), "stage")
+            rows = common.stored(stage(spark, rows, f"{tmp_path}/{name}"), "stage")
             assert rows.columns == docs.columns
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         texts = {sha(r["text"] or "") for r in docs.collect()}
@@ -615,7 +615,7 @@ def test_pipeline(spark):
     stages, kept = dict(corpus_pipeline.STAGES), {}
     rows = docs
     for name in ("quality", "exact_dedup", "near_dedup", "mixing"):
-        rows = corpus_pipeline.stored(stages[name](spark, rows, sf), name)
+        rows = common.stored(stages[name](spark, rows, sf), name)
         assert rows.columns == docs.columns
         kept[name] = rows.collect()
     scores = {r["doc_id"]: r["predicted"] for r in quality.query(spark, sf).collect()}

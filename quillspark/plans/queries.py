@@ -43,15 +43,15 @@ def wer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
  quantile_cont(before, 0.5) AS q50, quantile_cont(before, 0.75) AS q75, max(before) AS max FROM rated GROUP BY lang""")
 def cer_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).withColumn("before", X.error_rate(X.edit_distance(F.col("ocr"), F.col("gt")), F.length("gt")))
-    return rows.groupBy("lang").agg(*E.description("before")).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return E.describe(rows, ["lang"], "before").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
 @query(f"""WITH {RATED_SQL}, i AS (SELECT lang, CASE WHEN before <> 0 THEN 100.0::DOUBLE * (1 - after / before) END AS x FROM rated)
  SELECT lang, count(x) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(stddev_samp(x), 5) AS std, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr FROM i GROUP BY lang""")
 def improvement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rated(spark, sf_dir).withColumn("x", X.improvement(F.col("before"), F.col("after")))
-    s = rows.groupBy("lang").agg(F.count("x").alias("n"), E.spread(F.col("x")).alias("s"))
-    return s.select("lang", "n", F.round("s.mean", 6).alias("mean"), F.round("s.median", 6).alias("median"), F.round("s.std", 5).alias("std"), F.round("s.iqr", 6).alias("iqr"))
+    s = E.spread(rows, ["lang"], "x")
+    return s.select("lang", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("std", 5).alias("std"), F.round("iqr", 6).alias("iqr"))
 
 
 @query(f"""WITH {RATED_SQL} SELECT source, count(*) FILTER (before < after) AS worse, count(*) - count(*) FILTER (before < after) AS not_worse,
@@ -98,7 +98,7 @@ def rate_above(spark: SparkSession, sf_dir: str) -> DataFrame:
  quantile_cont(n, 0.25)::DOUBLE AS q25, quantile_cont(n, 0.5)::DOUBLE AS q50, quantile_cont(n, 0.75)::DOUBLE AS q75, max(n)::INTEGER AS max FROM l GROUP BY source""")
 def length_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("source", F.length("gt").alias("len"))
-    return rows.groupBy("source").agg(*E.description("len")).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return E.describe(rows, ["source"], "len").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
 # --- filters, samples, splits, sets

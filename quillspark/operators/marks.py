@@ -103,5 +103,5 @@ def hocr_words(pages: DataFrame) -> DataFrame:
 
 
 def reading_order(matches: DataFrame) -> DataFrame:
-    """Rows with their place on the page, by mark: rank and mark stay together."""
-    return matches.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("mark_id")))
+    """Rows with their place on their document's page, by mark: rank and mark stay together."""
+    return matches.withColumn("place", F.row_number().over(Window.partitionBy("doc", "page").orderBy("mark_id")))

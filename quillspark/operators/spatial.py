@@ -1,4 +1,4 @@
-"""Word boxes: overlap joins on a grid, conflicts, merging, hyphenated halves."""
+"""Word boxes: overlap joins on a grid, conflicts, merging, hyphenated halves. page is a page of one document: with several documents it must name both."""
 
 from __future__ import annotations
 
@@ -61,16 +61,15 @@ def iou(compat: bool = False) -> Column:
     return shared / (side("l", "x") * side("l", "y") + side("r", "x") * side("r", "y") - shared + F.lit(1e-6))
 
 
-def best_matches(pairs: DataFrame, score: str = "iou") -> DataFrame:
-    """Each right box with the left box of best score; ties go to the later left box. One maximum instead of a sort."""
-    return pairs.groupBy("page", "r_id").agg(F.max_by("l_id", F.struct(score, "l_id")).alias("l_id"), F.max(score).alias(score))
+def best_matches(pairs: DataFrame, score: str = "iou", *carried: str) -> DataFrame:
+    """Each right box with the left box of best score; ties go to the later left box. One maximum instead of a sort. carried: columns of the right box that stay."""
+    return pairs.groupBy("page", "r_id").agg(F.max_by("l_id", F.struct(score, "l_id")).alias("l_id"), F.max(score).alias(score), *(F.first(c).alias(c) for c in carried))
 
 
-def merged_words(matches: DataFrame, words: DataFrame) -> DataFrame:
-    """Each left box with the texts of its right boxes, from left to right. words: page, r_id, r_xmin, r_text. Equal texts all stay."""
-    known = matches.join(words, ["page", "r_id"])
+def merged_words(matches: DataFrame) -> DataFrame:
+    """Each left box with the texts of its right boxes, from left to right. matches: page, l_id, r_id, r_xmin, r_text. Equal texts all stay."""
     ordered = F.array_sort(F.collect_list(F.struct("r_xmin", "r_id", "r_text")))
-    return known.groupBy("page", "l_id").agg(F.array_join(F.transform(ordered, lambda w: w["r_text"]), " ").alias("ocr_text"), F.count(F.lit(1)).alias("n_words"))
+    return matches.groupBy("page", "l_id").agg(F.array_join(F.transform(ordered, lambda w: w["r_text"]), " ").alias("ocr_text"), F.count(F.lit(1)).alias("n_words"))
 
 
 def ignore_mask(kind: Column, word: Column) -> Column:

@@ -101,27 +101,56 @@ def vocabulary(df: DataFrame, text: str, *more: str) -> DataFrame:
     return ranked(every, "char", column="idx").withColumn("idx", (F.col("idx") + FIRST).cast("int"))
 
 
-def index_map(vocab: DataFrame) -> Column:
-    """The vocabulary (characters of one alphabet, some thousands at most) as a literal map."""
-    rows = vocab.limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("a vocabulary of characters has at most 200000 of them")
-    return F.create_map(*(F.lit(x) for r in rows for x in (r["char"], r["idx"]))) if rows else F.create_map()
+class Index:
+    """A vocabulary of characters as arrays of constants, which code points lead into: a look-up costs the same whatever the alphabet's size.
 
+    The upper bits of a code point name a block of 256, the lower ones its place there; only blocks that the vocabulary uses are written out.
+    The driver holds the vocabulary, which Unicode bounds.
+    """
 
-def encode(text: Column, index: Column, size: int | None = None) -> Column:
+    def __init__(self, vocab: DataFrame):
+        idx = {r["char"]: r["idx"] for r in vocab.collect()}
+        self.unknown = idx.pop(UNKNOWN, None)
+        blocks: dict[int, list[int]] = {}
+        for char, i in idx.items():
+            blocks.setdefault(ord(char) >> 8, [0] * 256)[ord(char) & 255] = i
+        last = max(blocks, default=0)
+        order = sorted(blocks)
+        numbers = {b: k + 1 for k, b in enumerate(order)}
+        ints = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<int>")
+        # block 0 of the second array is for code points of blocks that the vocabulary lacks
+        self._pages, self._last = ints(numbers.get(b, 0) for b in range(last + 1)), last
+        self._places = ints([0] * 256 + [x for b in order for x in blocks[b]])
+        self._chars, self._n = F.split(F.lit("".join(sorted(idx, key=idx.get))), ""), len(idx)
+
+    def of(self, char: Column) -> Column:
+        """The number of a character, null if the vocabulary lacks it."""
+        code = F.ascii(char)
+        page = F.shiftright(code, 8)
+        block = F.when(page <= self._last, F.get(self._pages, page)).otherwise(0)
+        found = F.get(self._places, block * 256 + code.bitwiseAND(255))
+        return F.when(found > 0, found)
+
+    def char(self, number: Column) -> Column:
+        """The character of a number, the sign for unknown ones for theirs; null for a number that is none."""
+        # numbers are consecutive but for the unknown sign's
+        place = number - FIRST - (F.when(number > self.unknown, 1).otherwise(0) if self.unknown is not None else 0)
+        plain = F.when((place >= 0) & (place < self._n), F.get(self._chars, place))
+        return F.when(number == self.unknown, UNKNOWN).otherwise(plain) if self.unknown is not None else plain
+
+
+def encode(text: Column, index: Index, size: int | None = None) -> Column:
     """START, the characters' numbers (unknown ones as UNKNOWN's) and END; with a size cut to it or padded."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    ids = F.concat(F.array(F.lit(START)), F.transform(chars, lambda c: F.coalesce(index[c], index[F.lit(UNKNOWN)])), F.array(F.lit(END)))
+    ids = F.concat(F.array(F.lit(START)), F.transform(chars, lambda c: F.coalesce(index.of(c), F.lit(index.unknown).cast("int"))), F.array(F.lit(END)))
     return ids if size is None else F.slice(F.concat(ids, F.array_repeat(F.lit(PAD), size)), 1, size)
 
 
-def decode(ids: Column, index: Column) -> Column:
+def decode(ids: Column, index: Index) -> Column:
     """The text of the numbers, without padding, START and END."""
-    back = F.map_from_arrays(F.map_values(index), F.map_keys(index))
-    return F.array_join(F.transform(F.filter(ids, lambda i: i >= FIRST), lambda i: back[i]), "")
+    return F.array_join(F.transform(F.filter(ids, lambda i: i >= FIRST), index.char), "")
 
 
-def replace_unknown(text: Column, known: Column) -> Column:
-    """Characters that the array of known ones lacks become blanks."""
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(F.array_contains(known, c), c).otherwise(" ")), "")
+def replace_unknown(text: Column, index: Index) -> Column:
+    """Characters that the vocabulary lacks become blanks."""
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(index.of(c).isNotNull(), c).otherwise(" ")), "")

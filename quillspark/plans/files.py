@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import growth, marks
 from ..operators import relational as R
 from ..sources import readers, sinks
-from ..storage import scratch_path, write_text
+from ..storage import scratch_path
+from ..streaming import live
+from ..streaming.ledger import Ledger, append_stream
 from .inputs import rated, table
 from .registry import query
 
@@ -28,15 +30,19 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comma.unionByName(readers.csv(spark, f"{where}/semicolon", ["item_id", "text"], sep=";").withColumn("kind", F.lit("semicolon")))
 
 
-@query("SELECT 'result-20.csv' AS newest, 'checkpoint-110' AS latest, 3 AS files")
+@query("""WITH r AS (SELECT strftime(o_orderdate::DATE, '%Y%m') AS month, o_custkey // 7 * 7 AS step, o_totalprice FROM orders), c AS (SELECT max(month) AS newest, max(step) AS latest, count(DISTINCT month) AS files FROM r)
+ SELECT 'result=' || newest AS newest, 'checkpoint=step-' || latest AS latest, files::INTEGER AS files, (SELECT count(*) FROM r WHERE month = newest) AS newest_rows, (SELECT count(*) FROM r WHERE step = latest) AS latest_rows FROM c""")
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last file by name, the checkpoint with the largest number, and how many files match."""
-    where = _folder(spark, "listing")
-    for name in ("result-10.csv", "result-20.csv", "result-15.csv", "checkpoint-20/state", "checkpoint-110/state", "checkpoint-x/state"):
-        write_text(spark, f"{where}/{name}", name)
-    last = lambda path: path.rstrip("/").rpartition("/")[2]
-    row = (last(readers.newest(spark, where, "result-*")), last(readers.latest_checkpoint(spark, where)), len(readers.listed(spark, where, "result-*")))
-    return spark.createDataFrame([row], "newest string, latest string, files int")
+    """Orders as results by month and as checkpoints by customers: the last result by name and the checkpoint with the largest number, how many results there are, and the rows of both, read back."""
+    where, orders = _folder(spark, "listing"), table(spark, sf_dir, "orders")
+    orders.select(F.date_format("o_orderdate", "yyyyMM").alias("result"), "o_totalprice").repartition("result").write.partitionBy("result").csv(f"{where}/results")
+    step = F.concat(F.lit("step-"), (F.floor(F.col("o_custkey") / 7) * 7).cast("string"))
+    orders.select(step.alias("checkpoint"), "o_totalprice").repartition("checkpoint").write.partitionBy("checkpoint").csv(f"{where}/checkpoints")
+    newest, latest = readers.newest(spark, f"{where}/results", "result=*"), readers.latest_checkpoint(spark, f"{where}/checkpoints")
+    name = lambda path: F.lit(path.rstrip("/").rpartition("/")[2])
+    rows = lambda path, n: readers.csv(spark, path, ["o_totalprice"], header=False).agg(F.count(F.lit(1)).alias(n))
+    both = rows(newest, "newest_rows").join(rows(latest, "latest_rows"), F.lit(True))
+    return both.select(name(newest).alias("newest"), name(latest).alias("latest"), F.lit(len(readers.listed(spark, f"{where}/results", "result=*"))).alias("files"), "newest_rows", "latest_rows")
 
 
 @query("""WITH w AS (SELECT item_id::VARCHAR AS doc, unnest(string_split(regexp_replace(text, '[^a-z ]', '', 'g'), ' ')) AS t FROM benchmark) SELECT doc, count(*) AS n, sum(length(t))::BIGINT AS chars FROM w GROUP BY doc""")
@@ -70,24 +76,41 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.article_pages(spark, where)
 
 
-@query("""SELECT n_nationkey::VARCHAR AS run, 'eval_loss' AS metric, (n_regionkey + n_nationkey % 3)::DOUBLE AS best, (CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END)::BIGINT AS step, 2::BIGINT AS n FROM nation WHERE n_nationkey < 4""")
+def _logs(spark: SparkSession, sf_dir: str) -> str:
+    """Metric logs of several runs, derived from all events: a folder of lines for each run and metric."""
+    where = f"{_folder(spark, 'runs')}/logs"
+    line = F.concat_ws(" ", (F.col("event_id") + 1_000_000).cast("string"), F.col("value").cast("string"), F.col("event_id").cast("string"))
+    rows = table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.concat(F.lit("r"), (F.col("user_id") % 8).cast("string")).alias("run"), F.col("event_type").alias("metrics"), line.alias("value"))
+    rows.repartition("run", "metrics").write.partitionBy("run", "metrics").text(where)
+    return where
+
+
+_BEST = "SELECT 'r' || (user_id % 8) AS run, event_type AS metric, min(value)::DOUBLE AS best, arg_min(event_id, (value, event_id))::BIGINT AS step, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL"
+
+
+@query(_BEST)
 def metric_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric logs of several runs, a small file each, and the best step of every run."""
-    where = _folder(spark, "runs")
-    for r in table(spark, sf_dir, "nation").filter("n_nationkey < 4").collect():  # four small files
-        key, region = r["n_nationkey"], r["n_regionkey"]
-        values = [region + key % 3 + (key % 3 > 0), region + key % 3 + (key % 3 == 0)]
-        write_text(spark, f"{where}/{key}/metrics/eval_loss", "".join(f"{1000 + s} {v} {s}\n" for s, v in enumerate(values, start=1)))
-    return growth.best_steps(readers.metric_log(spark, f"{where}/*/metrics/*"))
+    """The best step of every run and metric, from their logs."""
+    return growth.best_steps(readers.metric_log(spark, f"{_logs(spark, sf_dir)}/*/*"))
+
+
+@query(_BEST)
+def streamed_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, as the logs' files come a few at a time."""
+    where = _logs(spark, sf_dir)
+    live.best_steps(readers.metric_stream(spark, f"{where}/*/*", 8), f"{where}-best", f"{where}-state")
+    return spark.read.parquet(f"{where}-best")
 
 
-@query("SELECT (i + 1)::VARCHAR || '.pdf' AS doc, [3, 1, 1][i + 1]::INTEGER AS n_pages FROM range(3) AS t(i)")
+@query("""SELECT item_id::VARCHAR AS doc, (CASE WHEN item_id % 5 = 4 THEN 1 ELSE length(text) % 50 + 1 END)::INTEGER AS n_pages FROM benchmark WHERE text IS NOT NULL""")
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of PDF files by their page trees; one where there is none or it has no count."""
-    where = _folder(spark, "pdfs")
-    for k, body in enumerate(("<< /Type /Pages /Kids [] /Count 3 >>", "<< /Type /Pages >>", "no tree"), start=1):
-        write_text(spark, f"{where}/{k}.pdf", f"%PDF-1.4\n1 0 obj\n{body}\nendobj\n")
-    return readers.page_counts(spark, f"{where}/*.pdf")
+    """Pages of PDF files by their page trees, a file for each item of the benchmark; one where a tree has no count."""
+    where, n = _folder(spark, "pdfs"), (F.length("text") % 50 + 1).cast("string")
+    count = F.when(F.col("item_id") % 5 == 4, F.lit("")).otherwise(F.concat(F.lit(" /Count "), n))
+    kid = F.when(F.col("item_id") % 2 == 0, F.lit("\n2 0 obj\n<< /Type /Pages /Parent 1 0 R /Kids [] >>\nendobj")).otherwise(F.lit(""))
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Pages /Kids []"), count, F.lit(" >>\nendobj"), kid)
+    table(spark, sf_dir, "benchmark").filter("text IS NOT NULL").select(body.alias("value"), "item_id").write.partitionBy("item_id").text(where)
+    return readers.page_counts(spark, f"{where}/*").select(F.regexp_extract("path", r"item_id=([^/]+)/", 1).alias("doc"), "n_pages")
 
 
 @query("""WITH c AS (SELECT *, (ntile(92) OVER (ORDER BY doc_id) - 1)::INTEGER AS chunk FROM documents) SELECT chunk, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, sum(length(text))::BIGINT AS chars FROM c GROUP BY chunk""")
@@ -107,13 +130,15 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(where)
 
 
-@query("""SELECT epoch::VARCHAR AS epoch, loss::VARCHAR AS loss FROM (VALUES (1, 3), (2, 2), (3, 1)) AS t(epoch, loss)""")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log that grows by a line an epoch."""
-    where = _folder(spark, "log")
-    for epoch in (1, 2, 3):
-        sinks.append_log(spark.createDataFrame([(epoch, 4 - epoch)], "epoch int, loss int"), where)
-    return readers.csv(spark, where, ["epoch", "loss"])
+    """The events as a stream of several batches into a ledger, taken twice over, the second time with a lost checkpoint: each row is there once."""
+    where, schema = _folder(spark, "ledger"), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").schema
+    table(spark, sf_dir, "events").select(*schema.names).repartition(6).write.parquet(f"{where}/in")
+    grown = Ledger(spark, f"{where}/log", schema)
+    for run in ("first", "again"):
+        append_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in"), grown, f"{where}/{run}")
+    return grown.read()
 
 
 @query("""WITH a AS (SELECT count(*) AS n, 0.0::DOUBLE AS zero, min(o_totalprice)::DOUBLE AS least FROM orders), m AS (UNPIVOT (SELECT n::DOUBLE AS n, zero, least FROM a) ON n, zero, least INTO NAME metric VALUE value)

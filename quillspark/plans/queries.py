@@ -276,14 +276,14 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
  coded AS (SELECT item_id, list(coalesce(v.idx, (SELECT idx FROM vocab WHERE char = '<UNK>')) ORDER BY pos) AS ids FROM chars c LEFT JOIN vocab v ON v.char = c.char GROUP BY item_id)
  SELECT item_id, list_concat(list_concat([1], ids), [2])::INTEGER[] AS ids FROM coded""")
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = W.index_map(W.vocabulary(table(spark, sf_dir, "conversations"), "text", "@"))
+    index = W.Index(W.vocabulary(table(spark, sf_dir, "conversations"), "text", "@"))
     return table(spark, sf_dir, "benchmark").select("item_id", W.encode(F.col("text"), index).alias("ids"))
 
 
 @query("SELECT item_id, text AS decoded, true AS same FROM benchmark")
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    index = W.index_map(W.vocabulary(items, "text"))
+    index = W.Index(W.vocabulary(items, "text"))
     back = W.decode(W.encode(F.col("text"), index), index)
     return items.select("item_id", back.alias("decoded"), (back == F.col("text")).alias("same"))
 
@@ -295,7 +295,7 @@ _RARE = "WITH {v}, w AS (SELECT doc_id, unnest(range(0, length(text), 50)) AS st
  SELECT count(*) FILTER (rare) AS rare, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (rare) / count(*) AS pct FROM f""")
 def rare_char_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w")))
-    index = W.index_map(W.vocabulary(docs, "w", "@"))
+    index = W.Index(W.vocabulary(docs, "w", "@"))
     wins = W.windows(docs, "w", "disjoint", 50).withColumn("rare", F.exists(W.encode(F.col("w"), index), lambda i: i >= 60))
     return wins.agg(F.count(F.when(F.col("rare"), 1)).alias("rare"), F.count(F.lit(1)).alias("n")).withColumn("pct", 100.0 * F.col("rare") / F.col("n"))
 
@@ -310,10 +310,12 @@ def first_window_with_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("char", "f.doc_id", "f.start")
 
 
-@query("SELECT item_id, regexp_replace(text, '[^a-z ]', ' ', 'g') AS text FROM benchmark")
+@query("""WITH known AS (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM benchmark), c AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) AS pos, unnest(string_split(text, '')) AS char FROM documents WHERE length(text) > 0),
+ r AS (SELECT doc_id, string_agg(CASE WHEN k.char IS NULL THEN ' ' ELSE c.char END, '' ORDER BY pos) AS text FROM c LEFT JOIN known k ON k.char = c.char GROUP BY doc_id) SELECT d.doc_id, CASE WHEN d.text = '' THEN '' ELSE r.text END AS text FROM documents d LEFT JOIN r USING (doc_id)""")
 def unknown_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.array(*(F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz "))
-    return table(spark, sf_dir, "benchmark").select("item_id", W.replace_unknown(F.col("text"), known).alias("text"))
+    """Documents in the benchmark's alphabet: all other characters become blanks."""
+    index = W.Index(W.vocabulary(table(spark, sf_dir, "benchmark"), "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", W.replace_unknown(F.col("text"), index).alias("text"))
 
 
 # --- markup
@@ -513,11 +515,9 @@ def mark_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- boxes and marks
 
-#: Boxes by the grid cells they meet; a pair counts in the cell of its common corner.
-_TOUCH = """lc AS (SELECT *, unnest(range(floor(l_xmin / 64)::INTEGER, floor(l_xmax / 64)::INTEGER + 1)) AS cx FROM sgt), l AS (SELECT *, unnest(range(floor((l_ymin - 8) / 64)::INTEGER, floor(l_ymax / 64)::INTEGER + 1)) AS cy FROM lc),
- rc AS (SELECT *, unnest(range(floor(r_xmin / 64)::INTEGER, floor(r_xmax / 64)::INTEGER + 1)) AS cx FROM ocr), r AS (SELECT *, unnest(range(floor(r_ymin / 64)::INTEGER, floor(r_ymax / 64)::INTEGER + 1)) AS cy FROM rc),
- t AS (SELECT l.*, r.* EXCLUDE (page, cx, cy) FROM l JOIN r ON l.page = r.page AND l.cx = r.cx AND l.cy = r.cy WHERE l_xmin <= r_xmax AND l_xmax >= r_xmin AND l_ymax >= r_ymin AND l_ymin - 8 <= r_ymax
-  AND floor(greatest(l_xmin, r_xmin) / 64) = l.cx AND floor(greatest(l_ymin - 8, r_ymin) / 64) = l.cy)"""
+#: Boxes lie in lines of twelve: one meets those beside it and those in the line above only.
+_TOUCH = """o AS (SELECT unnest([-13, -12, -11, -1, 0, 1]) AS d), s AS (SELECT sgt.*, l_id + d AS beside FROM sgt, o),
+ t AS (SELECT s.* EXCLUDE (beside), r.* EXCLUDE (page) FROM s JOIN ocr r ON r.page = s.page AND r.r_id = s.beside WHERE l_xmin <= r_xmax AND l_xmax >= r_xmin AND l_ymax >= r_ymin AND l_ymin - 8 <= r_ymax)"""
 
 
 @query(f"WITH {BOX_SQL}, {_TOUCH} SELECT page, l_id::INTEGER AS l_id, r_id::INTEGER AS r_id FROM t")
@@ -530,7 +530,7 @@ _IOU = f"{_TOUCH}, i AS (SELECT page, l_id, r_id, r_xmin, r_text, {_CUT} AS c, (
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.best_matches(S.overlaps(*boxes(spark, sf_dir), pad=8).withColumn("iou", S.iou()))
+    return S.best_matches(S.overlaps(*boxes(spark, sf_dir), pad=8).withColumn("iou", S.iou()), "iou", "r_xmin", "r_text")
 
 
 @query(f"WITH {BOX_SQL}, {_IOU} SELECT page, r_id::INTEGER AS r_id, l_id::INTEGER AS l_id, round(iou, 9) AS iou FROM m")
@@ -540,7 +540,7 @@ def box_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BOX_SQL}, {_IOU} SELECT page, l_id::INTEGER AS l_id, string_agg(r_text, ' ' ORDER BY r_xmin, r_id) AS ocr_text, count(*) AS n_words FROM m GROUP BY page, l_id")
 def merged_ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.merged_words(_matches(spark, sf_dir), boxes(spark, sf_dir)[1].select("page", "r_id", "r_xmin", "r_text"))
+    return S.merged_words(_matches(spark, sf_dir))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) SELECT doc_id, sum(length(word) + 1)::BIGINT AS mask_chars, (sum(length(word) + 1) FILTER (length(word) % 2 = 1))::BIGINT AS inline_chars FROM w GROUP BY doc_id""")
@@ -568,7 +568,7 @@ def hyphen_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The .aux lines that marks around every document would leave."""
+    """The .aux lines that marks around every document would leave, if four volumes held them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
     rows = F.array(*(F.format_string(f, *a) for f, a in (
         ("\\newlabel{mainBodyStart%d}{{pgfid%d}}", ("doc_id", F.col("doc_id") * 2)), ("\\newlabel{MAINBODYEnd%d}{{pgfid%d}}", ("doc_id", F.col("doc_id") * 2 + 1)),
@@ -576,7 +576,7 @@ def _aux(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("\\savepicturepage {pgfid%d}{%d}", (F.col("doc_id") * 2, F.col("doc_id") % 9 + 1)), ("\\savepicturepage {pgfid%d}{%d}", (F.col("doc_id") * 2 + 1, F.col("doc_id") % 9 + 1)),
         ("\\@writefile{mainBodyStart%d}{{pgfid%d}}", ("doc_id", F.lit(0).cast("long"))),
     )))
-    return docs.select(F.lit("a").alias("doc"), F.explode(rows).alias("line"))
+    return docs.select(F.concat(F.lit("v"), (F.col("doc_id") % 4).cast("string")).alias("doc"), F.explode(rows).alias("line"))
 
 
 @query("""SELECT doc_id::INTEGER AS mark_id, length(text)::BIGINT * 65536 AS x0, doc_id * 1000 AS y0, length(text)::BIGINT * 65536 + 777 AS x1, doc_id * 1000 AS y1, (doc_id % 9 + 1)::INTEGER AS page0, (doc_id % 9 + 1)::INTEGER AS page1 FROM documents""")
@@ -595,10 +595,10 @@ def page_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pixel_boxes(found, F.lit(9000)).select("mark_id", "xmin", "ymin", "xmax", "ymax")
 
 
-@query("SELECT doc_id::INTEGER AS mark_id, (doc_id % 9 + 1)::INTEGER AS page, row_number() OVER (PARTITION BY doc_id % 9 ORDER BY doc_id)::INTEGER AS place FROM documents")
+@query("SELECT 'v' || (doc_id % 4) AS doc, doc_id::INTEGER AS mark_id, (doc_id % 9 + 1)::INTEGER AS page, row_number() OVER (PARTITION BY doc_id % 4, doc_id % 9 ORDER BY doc_id)::INTEGER AS place FROM documents")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = marks.aux_positions(_aux(spark, sf_dir), "mainBody").withColumn("page", F.col("page0"))
-    return marks.reading_order(found).select("mark_id", "page", "place")
+    return marks.reading_order(found).select("doc", "mark_id", "page", "place")
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(replace(text, '$', ''), '%.*', '', 'g'), '[^ \t\n\r]+')) AS token FROM documents) SELECT doc_id::VARCHAR AS doc, count(*) AS n, sum(length(token))::BIGINT AS chars FROM w GROUP BY doc_id""")

@@ -11,10 +11,10 @@ from ..storage import hadoop_path
 TEXTS = T.MapType(T.StringType(), T.StructType().add("PDF", "string").add("OCR", "string"))
 
 
-def csv(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = ",") -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = ",", header: bool = True) -> DataFrame:
     """One file, several, or a glob; every column is a string, so that '42' stays a text. Quoted cells may have line ends."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', sep=sep)
+    return spark.read.schema(schema).csv(path, header=header, multiLine=True, escape='"', sep=sep)
 
 
 def listed(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
@@ -57,17 +57,27 @@ def article_pages(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("filename", "page", F.col("p.PDF").alias("gt"), F.col("p.OCR").alias("ocr")).filter("gt IS NOT NULL OR ocr IS NOT NULL")
 
 
-def metric_log(spark: SparkSession, path: str) -> DataFrame:
-    """run, metric, epoch_ms, value, step from files <run>/metrics/<metric> with lines 'epoch_ms value step'."""
+def _log_lines(lines: DataFrame) -> DataFrame:
     where, parts = F.col("_metadata.file_path"), F.split("value", " ")
-    rows = spark.read.text(path).select(F.regexp_extract(where, r"([^/]+)/metrics/[^/]+$", 1).alias("run"), F.regexp_extract(where, r"([^/]+)$", 1).alias("metric"), parts.alias("p"))
+    names = r"([^/=]+)/metrics[/=]([^/]+)(?:/[^/]*)?$"
+    rows = lines.select(F.regexp_extract(where, names, 1).alias("run"), F.regexp_extract(where, names, 2).alias("metric"), parts.alias("p"))
     return rows.filter(F.size("p") == 3).select("run", "metric", F.col("p")[0].cast("long").alias("epoch_ms"), F.col("p")[1].cast("double").alias("value"), F.col("p")[2].cast("long").alias("step"))
 
 
+def metric_log(spark: SparkSession, path: str) -> DataFrame:
+    """run, metric, epoch_ms, value, step from files <run>/metrics/<metric> (or run=<run>/metrics=<metric>/*) with lines 'epoch_ms value step'."""
+    return _log_lines(spark.read.text(path))
+
+
+def metric_stream(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
+    """The same of a folder into which log files keep coming, so many files at a time."""
+    return _log_lines(spark.readStream.schema("value string").option("maxFilesPerTrigger", files).text(path))
+
+
 def page_counts(spark: SparkSession, path: str) -> DataFrame:
-    """doc and n_pages of PDF files."""
+    """doc (file name), path and n_pages of PDF files."""
     counted = F.pandas_udf(lambda files: files.map(page_count), "int")
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc"), counted("content").alias("n_pages"))
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc"), "path", counted("content").alias("n_pages"))
 
 
 def page_count(content: bytes) -> int:

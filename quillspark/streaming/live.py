@@ -1,4 +1,4 @@
-"""Error rates and confusion counts of an unbounded stream of text pairs."""
+"""Error rates and confusion counts of an unbounded stream of text pairs, and curves of training logs."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_distance
+from ..operators import growth
 from ..operators.confusion import aligned_pairs
 
 
@@ -24,3 +25,16 @@ def windowed_rates(pairs: DataFrame, time: str, size: str = "10 minutes", late:
 def running_confusion(pairs: DataFrame, gt: str = "gt", ocr: str = "ocr") -> DataFrame:
     """Counts of character pairs of equally long texts; for update or complete output."""
     return aligned_pairs(pairs, gt, ocr).groupBy("pdf_letters", "ocr_letters").count()
+
+
+def best_steps(log: DataFrame, path: str, checkpoint: str) -> None:
+    """Takes all that a stream of log lines (run, metric, step, value) has now into running best steps, and writes them to path after each batch.
+
+    The state is a row for each run and metric; lines may come in any order, as a best value does not hang on it.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+    query = growth.best_steps(log).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

@@ -107,7 +107,7 @@ def test_codes(spark):
     df = spark.createDataFrame([("cab",)], "t string")
     vocab = W.vocabulary(df, "t", "@")
     assert rows(vocab, "idx") == [("<UNK>", 3), ("@", 4), ("a", 5), ("b", 6), ("c", 7)]
-    index = W.index_map(vocab)
+    index = W.Index(vocab)
     assert df.select(W.encode(F.col("t"), index, 7)).first()[0] == [1, 7, 5, 6, 2, 0, 0]
     assert df.select(W.decode(W.encode(F.col("t"), index), index)).first()[0] == "cab"
     assert df.select(W.encode(F.lit("x"), index)).first()[0] == [1, 3, 2]
@@ -137,7 +137,7 @@ def test_boxes(spark):
     assert S.best_matches(twice).first()["l_id"] == 2
     words = spark.createDataFrame([(1, 1, 9, "b"), (1, 2, 3, "b")], "page int, r_id int, r_xmin int, r_text string")
     match = spark.createDataFrame([(1, 1, 5), (1, 2, 5)], "page int, r_id int, l_id int")
-    assert rows(S.merged_words(match, words).select("l_id", "ocr_text", "n_words")) == [(5, "b b", 2)]
+    assert rows(S.merged_words(match.join(words, ["page", "r_id"])).select("l_id", "ocr_text", "n_words")) == [(5, "b b", 2)]
 
 
 def test_hyphen_halves(spark):
@@ -187,3 +187,28 @@ def test_ranks_of_a_wide_table(spark):
         assert sorted(r["place"] for r in places) == list(range(n)) and len({r["key"] for r in places}) == n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_look_ups_of_a_large_alphabet(spark):
+    import time
+
+    text = "".join(map(chr, [*range(32, 127), *range(0x4E00, 0x4E00 + 6000), 0x1F600, 0x10FFFF]))
+    df = spark.createDataFrame([(text,), ("a\U0001F600\u4e05z\U0001F601\u00e9",), ("",), (None,)], "t string")
+    vocab = W.vocabulary(df.limit(1), "t", "@")
+    known = {r["char"]: r["idx"] for r in vocab.collect()}
+    index = W.Index(vocab)
+    want = [None if t is None else [1, *(known.get(c, known["<UNK>"]) for c in t), 2] for (t,) in df.collect()]
+    assert [r[0] for r in df.select(W.encode(F.col("t"), index)).collect()] == want
+    back = [r[0] for r in df.select(W.decode(W.encode(F.col("t"), index), index)).collect()]
+    assert back == [None if t is None else "".join(c if c in known else "<UNK>" for c in t) for (t,) in df.collect()]
+    assert df.select(W.replace_unknown(F.col("t"), index)).collect()[1][0] == "a\U0001F600\u4e05z  "
+    long = spark.range(200).select(F.lit(text[95:595] * 20).alias("t"))
+    began = time.time()
+    assert long.agg(F.sum(F.size(W.encode(F.col("t"), index)))).first()[0] == 200 * 10_002
+    assert time.time() - began < 20
+
+
+def test_places_by_document(spark):
+    rows_in = [("a", 1, 4), ("a", 1, 2), ("b", 1, 3), ("b", 1, 1), ("b", 2, 9)]
+    df = spark.createDataFrame(rows_in, "doc string, page int, mark_id int")
+    assert rows(marks.reading_order(df)) == [("a", 1, 2, 1), ("a", 1, 4, 2), ("b", 1, 1, 1), ("b", 1, 3, 2), ("b", 2, 9, 1)]

@@ -64,6 +64,33 @@ def disjoint_samples(pages: DataFrame, keys: tuple[str, str], sizes: dict[str, i
     return top.withColumn("rank", rank).withColumn(column, name)
 
 
+def uniform(*keys: Column, seed: int = 0) -> Column:
+    """A number in (0, 1) of 48 bits that follows from the keys and the seed, the same in any engine with md5."""
+    text = F.concat_ws(":", *(F.coalesce(k.cast("string"), F.lit("null")) for k in keys), F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+
+def article_first_samples(pages: DataFrame, article: str, page: str, sizes: dict[str, int], seed: int = 0, column: str = "sample") -> DataFrame:
+    """Disjoint samples of pages without replacement, drawn by an article first, each as likely as any other, and then one of its pages.
+
+    Drawing again where a page has been seen before is drawing by weights, a page's being one over its article's number of pages. Such a draw
+    is a top-k of exponential keys, -ln(u) over the weight: no draw waits for another, and each task sends as many rows as are wanted at most.
+    The columns article, page, rank (from 1, in the order of drawing) and the sample's name; copies of a page count once.
+    """
+    total = sum(sizes.values())
+    each = pages.select(article, page).distinct()
+    counts = each.groupBy(article).agg(F.count(F.lit(1)).alias("__pages"))
+    known = each.join(counts.withColumnRenamed(article, "__article"), F.col(article).eqNullSafe(F.col("__article"))).drop("__article")
+    drawn = known.withColumn("__key", -F.log(uniform(F.col(article), F.col(page), seed=seed)) * F.col("__pages"))
+    top = drawn.orderBy("__key", article, page).limit(total)
+    # the window runs over the drawn rows only
+    rank, name, below = F.row_number().over(Window.orderBy("__key", article, page)), F.lit(None).cast("string"), total
+    for sample_name, size in reversed(sizes.items()):
+        name = F.when(F.col("rank") <= below, sample_name).otherwise(name)
+        below -= size
+    return top.withColumn("rank", rank).withColumn(column, name).select(article, page, "rank", column)
+
+
 def ranked(df: DataFrame, *order: Column | str, column: str = "rank", total: str | None = None) -> DataFrame:
     """Numbers from 0 in the order of the columns, and if asked for the number of rows.
 

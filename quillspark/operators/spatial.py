@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import scaled_points_to_pixels
@@ -105,3 +109,78 @@ def hyphen_halves(hyphens: DataFrame, words: DataFrame, reach: int = 25, far: in
     top = found.select("page", F.col("ord").cast("double").alias("ord"), F.lit("top").alias("half"), "xmin", F.col("ymin").alias("y"), F.col("right").alias("xmax"), "word")
     bottom = found.select("page", (F.col("ord") + 0.5).alias("ord"), F.lit("bottom").alias("half"), F.col("left").alias("xmin"), F.col("ymax").alias("y"), "xmax", "word")
     return top.unionByName(bottom)
+
+
+class _Sweep:
+    """Goes down pages in reading order. Holds the words within far reaches of the broken words that still wait for what comes after them, and the halves found there."""
+
+    FIELDS = ("page", "ord", "half", "xmin", "y", "xmax", "word")
+
+    def __init__(self, reach: int, far: int):
+        self.reach, self.size = reach, reach * far
+        self.page, self.words, self.halves, self.waiting = None, deque(), deque(), deque()
+
+    def _around(self, h: tuple, limit: int) -> tuple[list, list]:
+        _, at, _, ymin, _, ymax, _ = h
+        before = [w for held in (self.words, self.halves) for w in held if at - limit <= w[0] < at and w[2] <= ymin]
+        return before, [w for w in self.words if at < w[0] <= at + limit and w[2] >= ymax]
+
+    def _resolved(self, h: tuple) -> list[tuple]:
+        page, at, xmin, ymin, xmax, ymax, word = h
+        before, after = self._around(h, self.reach)
+        left, right = before or after, after or before
+        if not left:
+            before, after = self._around(h, self.size)
+            left = right = before + after
+        if not left or ymin > ymax:
+            return []
+        low, high = min(w[1] for w in left), max(w[3] for w in right)
+        self.halves += [(at, xmin, ymin, high), (at + 0.5, low, ymax, xmax)]
+        return [(page, float(at), "top", xmin, ymin, high, word), (page, at + 0.5, "bottom", low, ymax, xmax, word)]
+
+    def upto(self, at: float) -> list[tuple]:
+        """The halves of all words whose surroundings end before a place."""
+        out = []
+        while self.waiting and self.waiting[0][1] + self.size < at:
+            out += self._resolved(self.waiting.popleft())
+        oldest = (self.waiting[0][1] if self.waiting else at) - self.size
+        for held in (self.words, self.halves):
+            while held and held[0][0] < oldest:
+                held.popleft()
+        return out
+
+    def run(self, batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, at, broken, xmin, ymin, xmax, ymax, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if page != self.page:
+                    out += self.upto(float("inf"))
+                    self.page, self.words, self.halves = page, deque(), deque()
+                out += self.upto(at)
+                if broken:
+                    self.waiting.append((page, at, xmin, ymin, xmax, ymax, word))
+                else:
+                    self.words.append((at, xmin, ymin, xmax))
+            yield self._rows(out, schema)
+        yield self._rows(self.upto(float("inf")), schema)
+
+    def _rows(self, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def hyphen_union(hyphens: DataFrame, words: DataFrame, reach: int = 25, far: int = 5) -> DataFrame:
+    """Top and bottom box of each hyphenated word as hyphen_halves() finds them, but from the halves of the words broken before it as well: page, ord, half, xmin, y, xmax, word.
+
+    A word's halves depend on those found before, so that a page is swept in its order, from sorted rows that come one after the other: a task
+    holds the words and halves of some 2 far reaches, never a page. Words stand under their own place, a bottom half between its word's and the next.
+    """
+    columns = ("page", "ord", "broken", "xmin", "ymin", "xmax", "ymax", "word")
+    plain = words.select("page", "ord", F.lit(False).alias("broken"), "xmin", "ymin", "xmax", F.col("ymin").alias("ymax"), F.lit(None).cast("string").alias("word"))
+    rows = plain.unionByName(hyphens.withColumn("broken", F.lit(True)).select(*columns))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    rows = rows.select("page", *(number(c) if c in ("ord", "xmin", "ymin", "xmax", "ymax") else c for c in columns[1:]))
+    page = rows.schema["page"].dataType.simpleString()
+    kind = pa.string() if page == "string" else pa.int64() if page == "bigint" else pa.int32()
+    schema = pa.schema([("page", kind), ("ord", pa.float64()), ("half", pa.string()), ("xmin", pa.int64()), ("y", pa.int64()), ("xmax", pa.int64()), ("word", pa.string())])
+    dealt = rows.repartition("page").sortWithinPartitions("page", "ord", "broken")
+    return dealt.mapInArrow(lambda batches: _Sweep(reach, far).run(batches, schema), f"page {page}, ord double, half string, xmin long, y long, xmax long, word string")

@@ -11,6 +11,7 @@ from ..operators import confusion as C
 from ..operators import correctors, growth, marks
 from ..operators import evaluation as E
 from ..operators import relational as R
+from ..operators import sentences as sent
 from ..operators import spatial as S
 from ..operators import windows as W
 from . import files  # noqa: F401
@@ -152,6 +153,17 @@ def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.disjoint_samples(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ("conv_id", "turn"), {"train": 100, "val": 25, "test": 25}).select("conv_id", "turn", "sample")
 
 
+_UNIFORM = "((('0x' || substr(md5({a}::VARCHAR || ':' || {p}::VARCHAR || ':0'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT conv_id, turn FROM conversations), n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS pages FROM p),
+ r AS (SELECT *, row_number() OVER (ORDER BY -ln({_UNIFORM.format(a='conv_id', p='turn')}) * pages, conv_id, turn) AS k FROM n)
+ SELECT conv_id, turn, k::INTEGER AS rank, CASE WHEN k <= 100 THEN 'train' WHEN k <= 125 THEN 'val' ELSE 'test' END AS sample FROM r WHERE k <= 150""")
+def article_first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns sampled by a conversation first, then one of its turns."""
+    return R.article_first_samples(table(spark, sf_dir, "conversations"), "conv_id", "turn", {"train": 100, "val": 25, "test": 25})
+
+
 @query("SELECT doc_id FROM documents WHERE contains(text, '@') ORDER BY doc_id LIMIT 20")
 def first_with_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_hits(table(spark, sf_dir, "documents"), F.contains("text", F.lit("@")), 20, "doc_id").select("doc_id")
@@ -567,6 +579,33 @@ def hyphen_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hyphen_halves(broken, plain.filter("ord % 12 <> 11"))
 
 
+#: A line in three is broken throughout, and the last two words of every line are: words broken in a row.
+_BROKEN = "pos % 12 >= 10 OR pos // 12 % 3 = 0"
+_NEAR = "list_filter(halves, lambda x: x.at >= ord - {reach} AND x.at < ord AND x.y <= ymin)"
+
+
+@query(f"""WITH RECURSIVE {BOX_SQL.strip()}, h AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY pos) AS k, pos AS ord, x0, y0 AS ymin, x1, y0 + 14 AS ymax, word FROM b WHERE {_BROKEN}),
+ r AS (SELECT page, pos AS o, x0 AS wx0, y0 AS wy, x1 AS wx1 FROM b WHERE NOT ({_BROKEN})),
+ n AS (SELECT h.*, r.wx0, r.wx1, wy <= ymin AND o < ord AS before, wy >= ymax AND o > ord AS after, abs(ord - o) AS gap FROM h LEFT JOIN r ON r.page = h.page AND o BETWEEN ord - 125 AND ord + 125),
+ g AS (SELECT page, k, ord, x0, ymin, x1, ymax, word, min(wx0) FILTER (before AND gap <= 25) AS bl, max(wx1) FILTER (before AND gap <= 25) AS br, min(wx0) FILTER (after AND gap <= 25) AS al, max(wx1) FILTER (after AND gap <= 25) AS ar,
+   min(wx0) FILTER (before OR after) AS fl, max(wx1) FILTER (before OR after) AS fr FROM n GROUP BY ALL),
+ s(page, k, halves, l, r) AS (
+  SELECT page, 0::BIGINT, []::STRUCT("at" DOUBLE, x BIGINT, y BIGINT, z BIGINT)[], NULL::BIGINT, NULL::BIGINT FROM h GROUP BY page
+  UNION ALL SELECT page, k, CASE WHEN l IS NULL THEN old ELSE list_concat(list_filter(old, lambda x: x.at >= ord - 125), [{{'at': ord::DOUBLE, 'x': x0::BIGINT, 'y': ymin::BIGINT, 'z': r}}, {{'at': ord + 0.5::DOUBLE, 'x': l, 'y': ymax::BIGINT, 'z': x1::BIGINT}}]) END, l, r
+  FROM (SELECT *, CASE WHEN coalesce(cl, al) IS NOT NULL THEN coalesce(cl, al) ELSE least(fl, dl) END::BIGINT AS l, CASE WHEN coalesce(cl, al) IS NOT NULL THEN coalesce(ar, cr) ELSE greatest(fr, dr) END::BIGINT AS r FROM (
+   SELECT g.*, halves AS old, least(bl, list_min(list_transform({_NEAR.format(reach=25)}, lambda x: x.x))) AS cl, greatest(br, list_max(list_transform({_NEAR.format(reach=25)}, lambda x: x.z))) AS cr,
+    list_min(list_transform({_NEAR.format(reach=125)}, lambda x: x.x)) AS dl, list_max(list_transform({_NEAR.format(reach=125)}, lambda x: x.z)) AS dr FROM s JOIN g ON g.page = s.page AND g.k = s.k + 1)))
+ SELECT g.page, g.ord::DOUBLE AS ord, 'top' AS half, x0::BIGINT AS xmin, ymin::BIGINT AS y, s.r AS xmax, word FROM s JOIN g ON g.page = s.page AND g.k = s.k WHERE l IS NOT NULL
+ UNION ALL SELECT g.page, g.ord + 0.5::DOUBLE, 'bottom', s.l, ymax::BIGINT, x1::BIGINT, word FROM s JOIN g ON g.page = s.page AND g.k = s.k WHERE l IS NOT NULL""")
+def hyphen_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken words that follow each other, each from the halves of those before it too."""
+    sgt, ocr = boxes(spark, sf_dir)
+    words = sgt.join(ocr.select("page", F.col("r_id").alias("l_id"), F.col("r_text").alias("word")), ["page", "l_id"])
+    plain = words.select("page", F.col("l_id").alias("ord"), F.col("l_xmin").alias("xmin"), F.col("l_ymin").alias("ymin"), F.col("l_xmax").alias("xmax"), "word")
+    broken = (F.col("ord") % 12 >= 10) | (F.floor(F.col("ord") / 12) % 3 == 0)
+    return S.hyphen_union(plain.filter(broken).withColumn("ymax", F.col("ymin") + 14), plain.filter(~broken))
+
+
 def _aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The .aux lines that marks around every document would leave, if four volumes held them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
@@ -639,6 +678,43 @@ def word_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("chars"))
 
 
+# --- sentences
+
+_CUT = "replace(replace(coalesce(text, ''), ' of ', ' cf. '), ' de ', ' e.g. ')"
+_LETTERS = "length(replace(word, '.', ''))"
+
+
+def _abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    for word, short in ((" of ", " cf. "), (" de ", " e.g. ")):
+        text = F.replace(text, F.lit(word), F.lit(short))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
+_LEARNT = rf"""d AS (SELECT doc_id, {_CUT} AS text FROM documents),
+ t AS (SELECT unnest(regexp_extract_all(text, '\p{{L}}(?:[\p{{L}}.]*\p{{L}})?\.?(?:[\s,;:!?)\]"'']|$)')) AS m FROM d), tok AS (SELECT regexp_replace(m, '[\s,;:!?)\]"'']$', '') AS t FROM t),
+ c AS (SELECT lower(regexp_replace(t, '\.$', '')) AS word, count(*) FILTER (t LIKE '%.') AS stopped, count(*) AS n FROM tok GROUP BY ALL), s AS (SELECT sum(stopped)::DOUBLE / sum(n) AS p FROM c),
+ l AS (SELECT word, stopped, n - stopped AS plain, -2 * (stopped * ln(p) + CASE WHEN n > stopped THEN (n - stopped) * ln(1 - p) ELSE 0 END - stopped * ln(0.99::DOUBLE) - (n - stopped) * ln(1 - 0.99::DOUBLE))
+  * exp(-{_LETTERS}::DOUBLE) * (length(word) - {_LETTERS} + 1) * pow({_LETTERS}::DOUBLE, -least(n - stopped, 300)::DOUBLE) AS score FROM c, s WHERE stopped >= 5), learnt AS (SELECT * FROM l WHERE score >= 0.3)"""
+
+
+@query(f"WITH {_LEARNT} SELECT word, stopped, plain, round(score, 6) AS score FROM learnt")
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations of documents in which two frequent words are written as such."""
+    return sent.abbreviations(_abbreviated(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(rf"""WITH {_LEARNT}, li AS (SELECT doc_id, generate_subscripts(string_split_regex(text, '\n+'), 1) AS line_no, unnest(string_split_regex(text, '\n+')) AS line FROM d),
+ p AS (SELECT doc_id, line_no, generate_subscripts(x, 1) AS part_no, unnest(x) AS part FROM (SELECT *, string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM li WHERE trim(line) <> '')),
+ q AS (SELECT *, lower(regexp_extract(part, '(\p{{L}}(?:[\p{{L}}.]*\p{{L}})?)\.$', 1)) IN (SELECT word FROM learnt) AS short FROM p WHERE part <> ''),
+ b AS (SELECT *, coalesce(lag(short) OVER w AND lag(line_no) OVER w = line_no, false) AS goes_on FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY line_no, part_no)),
+ k AS (SELECT *, sum((NOT goes_on)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no, part_no) - 1 AS sentence_no FROM b)
+ SELECT doc_id, sentence_no::INTEGER AS sentence_no, string_agg(part, ' ' ORDER BY line_no, part_no) AS sentence FROM k GROUP BY ALL""")
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _abbreviated(spark, sf_dir)
+    return sent.sentences(docs, "doc_id", "text", sent.abbreviations(docs))
+
+
 # --- correctors
 
 

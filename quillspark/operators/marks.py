@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tex import latex_text
+
 _SIDE = r"(?i:Start|End)"
 
 
@@ -44,6 +52,31 @@ def marked_text(texts: DataFrame, kind: str) -> DataFrame:
     return texts.select("doc", F.explode(both).alias("m")).select("doc", F.col("m.n").cast("int").alias("mark_id"), F.col("m.raw").alias("raw"))
 
 
+def _marked(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    pattern = re.compile(rf"\\tikzmark\{{(?:{kind}|{kind.upper()})(Start|End|START|END)(\d+)\}}")
+    for batch in batches:
+        rows = []
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ends: dict[tuple[int, str], re.Match] = {}
+            for m in pattern.finditer(text or ""):
+                ends.setdefault((int(m[2]), m[1].lower()), m)
+            for mark in sorted({n for n, _ in ends}):
+                start, end = ends.get((mark, "start")), ends.get((mark, "end"))
+                if start and end and start.end() <= end.start():
+                    raw = text[start.end() : end.start()]
+                    rows.append((doc, mark, raw, *latex_text(raw)))
+                else:
+                    rows.append((doc, mark, None, None, "no start" if not start else "no end" if not end else "end before start"))
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc", "mark_id", "raw", "word", "error"])
+
+
+def marked_words(texts: DataFrame, kind: str) -> DataFrame:
+    r"""doc, mark_id, raw, word, error of every mark of a kind: what stands between its first start and its first end, and how it reads (the source itself, with an error,
+    where it cannot be read). A mark without one of its ends has neither, and an error that says which. A text's marks are found in one pass."""
+    return texts.select(F.col("doc").cast("string").alias("doc"), "text").mapInArrow(lambda b: _marked(b, kind), "doc string, mark_id int, raw string, word string, error string")
+
+
 #: What a document needs in front so that the marks compile.
 PREAMBLE = "\\usepackage{tikz}\n\\usetikzlibrary{tikzmark}\n"
 
@@ -77,28 +110,60 @@ def without_namespace(markup: Column) -> Column:
     return F.regexp_replace(markup, r"\sxmlns(?::\w+)?=(?:\"[^\"]*\"|'[^']*')", "")
 
 
+_LINES = ("ocr_line", "ocr_textfloat", "ocr_caption", "ocr_header")
+HOCR = "doc string, par_id string, lang string, line_id string, word_no int, title string, line_title string, text string, error string"
+
+
+def _read_page(markup: str) -> list[tuple]:
+    """(par_id, lang, line_id, title, line_title, text) of each word of a page, in order: elements of class ocrx_word under a paragraph, whatever markup is in them."""
+    out, above = [], []
+    wanted = None
+    for event, e in ElementTree.iterparse(io.BytesIO(markup.encode()), ("start", "end")):
+        if event == "start":
+            above.append(e)
+            if wanted is None and e.get("class") == "ocrx_word":
+                wanted = e
+            continue
+        above.pop()
+        if e is not wanted:
+            continue
+        wanted = None
+        par = next((x for x in reversed(above) if x.get("class") == "ocr_par"), None)
+        line = next((x for x in reversed(above) if x.get("class") in _LINES), None)
+        if par is not None and line is not None:
+            out.append((par.get("id"), par.get("lang") or par.get("{http://www.w3.org/XML/1998/namespace}lang"), line.get("id"), e.get("title") or "", line.get("title") or "", "".join(e.itertext()).strip()))
+    return out
+
+
+def _hocr(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("doc", "par_id", "lang", "line_id", "word_no", "title", "line_title", "text", "error")
+    for batch in batches:
+        for doc, markup in zip(batch.column("doc").to_pylist(), batch.column("hocr").to_pylist(), strict=True):
+            try:
+                rows = [(doc, par, lang, line, k, title, line_title, text, None) for k, (par, lang, line, title, line_title, text) in enumerate(_read_page(markup or "<none/>"))]
+            except ElementTree.ParseError as e:
+                rows = [(doc, *(None,) * 7, str(e))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if n == "word_no" else pa.string()) for k, n in enumerate(names)], names=list(names))
+
+
+def hocr_tree(pages: DataFrame) -> DataFrame:
+    """doc, par_id, lang, line_id, word_no, title, line_title, text, error: the words of hOCR pages by their places in the page's tree; of a page that is not well formed one row with its error."""
+    return pages.select(F.col("doc").cast("string").alias("doc"), "hocr").mapInArrow(_hocr, HOCR)
+
+
 def hocr_words(pages: DataFrame) -> DataFrame:
-    """doc, line_id, x, y, w, h, conf, textangle, fontsize, baseline0, baseline1, descenders, ascenders, text of each word of hOCR pages.
+    """doc, par_id, lang, line_id, x, y, w, h, conf, textangle, fontsize, baseline0, baseline1, descenders, ascenders, text of each word of hOCR pages.
 
-    Words are read element by element, so that an empty one shifts no other. Missing angles are 0, missing base lines null. Equal words
-    count once.
+    Words are elements of a paragraph's lines, with all the text inside them, so that markup in a word or an empty one shifts no other.
+    Missing angles are 0, missing base lines null. Equal words count once. Pages that are not well formed have none: see hocr_tree().
     """
-    lines = F.regexp_extract_all("hocr", F.lit(r"(?s)<span[^>]*class=['\"]ocr_(?:line|textfloat|caption|header)['\"][^>]*>.*?(?=<span[^>]*class=['\"]ocr_(?:line|textfloat|caption|header)['\"]|</p>|$)"), 0)
-    each = pages.select("doc", F.explode(lines).alias("block")).withColumn("head", F.regexp_extract("block", r"^<[^>]*>", 0))
-    title = lambda c: F.regexp_extract(c, r"title=\"([^\"]*)\"|title='([^']*)'", 0)
-    each = each.withColumn("lt", title("head")).withColumn("line_id", F.regexp_extract("head", r"id=['\"]([^'\"]*)['\"]", 1))
-    word = F.regexp_extract_all("block", F.lit(r"(?s)<span[^>]*class=['\"]ocrx_word['\"][^>]*>.*?</span>"), 0)
-    rows = each.select("doc", "line_id", "lt", F.explode(word).alias("word")).withColumn("wt", title(F.regexp_extract("word", r"^<[^>]*>", 0)))
-    box = lambda k: _field(F.col("wt"), r"bbox " + r"\d+ " * k + r"(\d+)", "int")
-    text = F.regexp_replace(F.regexp_replace("word", r"<[^>]*>", ""), r"^\s+|\s+$", "")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    lt = F.col("lt")
+    rows, lt = hocr_tree(pages).filter("error IS NULL"), F.col("line_title")
+    box = lambda k: _field(F.col("title"), r"bbox " + r"\d+ " * k + r"(\d+)", "int")
     return rows.select(
-        "doc", "line_id", box(0).alias("x"), box(1).alias("y"), (box(2) - box(0)).alias("w"), (box(3) - box(1)).alias("h"),
-        _field(F.col("wt"), r"x_wconf (\d+)", "int").alias("conf"), _field(lt, r"textangle (-?[\d.]+)", "double", "0").alias("textangle"), _field(lt, r"x_size (-?[\d.]+)", "double").alias("fontsize"),
+        "doc", "par_id", "lang", "line_id", box(0).alias("x"), box(1).alias("y"), (box(2) - box(0)).alias("w"), (box(3) - box(1)).alias("h"),
+        _field(F.col("title"), r"x_wconf (\d+)", "int").alias("conf"), _field(lt, r"textangle (-?[\d.]+)", "double", "0").alias("textangle"), _field(lt, r"x_size (-?[\d.]+)", "double").alias("fontsize"),
         _field(lt, r"baseline (-?[\d.]+)", "double").alias("baseline0"), _field(lt, r"baseline -?[\d.]+ (-?[\d.]+)", "double").alias("baseline1"),
-        _field(lt, r"x_descenders (-?[\d.]+)", "double").alias("descenders"), _field(lt, r"x_ascenders (-?[\d.]+)", "double").alias("ascenders"), text.alias("text"),
+        _field(lt, r"x_descenders (-?[\d.]+)", "double").alias("descenders"), _field(lt, r"x_ascenders (-?[\d.]+)", "double").alias("ascenders"), "text",
     ).distinct()
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import editing, markup
+from ..functions import editing, markup, tex
 from ..functions import text as X
 from ..operators import confusion as C
 from ..operators import correctors, growth, marks
@@ -661,6 +661,47 @@ def hocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.hocr_words(pages).select("doc", "x", "y", "w", "h", "conf", "textangle", "fontsize", "baseline0", "baseline1", "text")
 
 
+@query(rf"""WITH w AS (SELECT item_id::VARCHAR AS doc, list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '') AS l FROM benchmark),
+ t AS (SELECT doc, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS i FROM w), r AS (SELECT doc, i::INTEGER AS mark_id, CASE i % 6 WHEN 0 THEN t WHEN 1 THEN '\textbf{{\emph{{' || t || '}}}}' WHEN 2 THEN '\frac{{' || t || '}}{{\sqrt[3]{{2}}}}' WHEN 3 THEN '{{' || t WHEN 4 THEN '\cite[see][p. 1]{{' || t || '}}$\alpha$' END AS raw,
+  CASE i % 6 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t || '/√(2)' WHEN 3 THEN '{{' || t WHEN 4 THEN '<cit.>α' END AS word, CASE i % 6 WHEN 3 THEN '}} is missing at the end' WHEN 5 THEN 'no end' END AS error FROM t) SELECT * FROM r""")
+def tex_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked words of TeX: nested commands, fractions, citations with options, a brace that is never closed, and a mark without its end."""
+    words = F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " "), lambda w: w != "")
+    kinds = (lambda w: w, lambda w: F.concat(F.lit(r"\textbf{\emph{"), w, F.lit("}}")), lambda w: F.concat(F.lit(r"\frac{"), w, F.lit(r"}{\sqrt[3]{2}}")), lambda w: F.concat(F.lit("{"), w), lambda w: F.concat(F.lit(r"\cite[see][p. 1]{"), w, F.lit(r"}$\alpha$")))
+
+    def token(w: Column, i: Column) -> Column:
+        raw = w
+        for k, form in enumerate(kinds):
+            raw = F.when(i % 6 == k, form(w)).otherwise(raw)
+        no = i.cast("string")
+        end = F.when(i % 6 == 5, F.lit("")).otherwise(F.concat(F.lit(r"\tikzmark{MAINBODYEnd"), no, F.lit("}")))
+        return F.concat(F.lit(r"\tikzmark{mainBodyStart"), no, F.lit("}"), raw, end)
+
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc"), F.array_join(F.transform(words, token), " ").alias("text"))
+    return marks.marked_words(texts, "mainBody")
+
+
+@query("""WITH w AS (SELECT item_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t, generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) - 1 AS i FROM benchmark)
+ SELECT item_id::VARCHAR AS doc, 'par_' || (i // 20) AS par_id, 'line_' || (i // 5) AS line_id, (10 * i)::INTEGER AS x, CASE WHEN i // 5 % 2 = 0 THEN 0.5::DOUBLE END AS baseline0, t AS text FROM w""")
+def hocr_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hOCR pages with several paragraphs, lines without a base line, and words with markup inside."""
+    words = F.split(F.replace(F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\n"), F.lit(" ")), " ")
+
+    def word(w: Column, i: Column) -> Column:
+        inner = F.when(i % 3 == 0, F.format_string("<strong><em>%s</em></strong>", w)).when(i % 3 == 1, F.concat(F.lit("<em/>"), w)).otherwise(w)
+        span = F.format_string("<span class='ocrx_word' title='bbox %d 20 %d 40; x_wconf 90'>%s</span>", 10 * i, 10 * i + 8, inner)
+        line = F.format_string("<span class='ocr_line' id='line_%d' title='bbox 0 20 900 40;%s x_size 30'>", F.floor(i / 5), F.when(F.floor(i / 5) % 2 == 0, " baseline 0.5 -5;").otherwise(""))
+        par = F.format_string("<p class='ocr_par' id='par_%d' lang='eng'>", F.floor(i / 20))
+        # a line holds five words, a paragraph twenty
+        close = F.when((i % 5 == 0) & (i > 0), F.lit("</span>")).otherwise("")
+        close_par = F.when((i % 20 == 0) & (i > 0), F.lit("</p>")).otherwise("")
+        return F.concat(close, close_par, F.when(i % 20 == 0, par).otherwise(""), F.when(i % 5 == 0, line).otherwise(""), span)
+
+    page = F.concat(F.lit("<html xmlns='http://www.w3.org/1999/xhtml'><body>"), F.array_join(F.transform(words, word), ""), F.lit("</span></p></body></html>"))
+    pages = table(spark, sf_dir, "benchmark").filter("text IS NOT NULL").select(F.col("item_id").cast("string").alias("doc"), page.alias("hocr"))
+    return marks.hocr_words(pages).select("doc", "par_id", "line_id", "x", "baseline0", "text")
+
+
 _NAMES = "CASE WHEN t LIKE '%a' THEN 'inline' ELSE 'word' END"
 
 
@@ -674,7 +715,7 @@ def word_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc"), marks.with_preamble(body).alias("text"))
     read = marks.marked_text(marks.with_marks(texts, "mainBody"), "mainBody")
     kind = F.when(F.regexp_extract("raw", r"textbf\{(.*)\}\{", 1).endswith("a"), "inline").otherwise("word")
-    named = read.withColumn("kind", kind).withColumn("word", X.word_text(F.col("kind"), markup.plain_text(F.col("raw")), F.col("raw")))
+    named = read.withColumn("kind", kind).withColumn("word", X.word_text(F.col("kind"), tex.latex_column(F.col("raw"))["text"], F.col("raw")))
     return named.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("chars"))
 
 

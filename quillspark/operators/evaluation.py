@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..functions.editing import with_word_distances, words
+from ..functions.editing import aligned_column, with_word_distances, words
 from ..functions.text import MARKS, edit_distance, error_rate, has_residual_command, improvement, mask_inline_prediction, mask_inline_target
+from .confusion import aligned_pairs
 from .quantiles import quantiles
 
 
@@ -68,6 +69,13 @@ def mark_counts(pairs: DataFrame, target: str, predicted: str, marks: dict[str,
     return summed.select(names[F.col("sign")].alias("mark"), "tp", "fp", "fn", "n")
 
 
+def mark_metrics(df: DataFrame, target: str, predicted: str, marks: dict[str, str] = MARKS) -> DataFrame:
+    """Counts, precision, recall and F1 of the marks of predictions of any length: each pair of texts is aligned first, and marks are compared place by place."""
+    aligned = df.select(aligned_column(F.col(predicted), F.col(target)).alias("a")).select("a.gt_aligned", "a.ocr_aligned")
+    pairs = aligned_pairs(aligned, "gt_aligned", "ocr_aligned")
+    return precision_recall(mark_counts(pairs, "pdf_letters", "ocr_letters", marks))
+
+
 def precision_recall(counts: DataFrame) -> DataFrame:
     """Precision, recall and F1: 0 where a denominator is 0, null for marks that the target never has."""
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

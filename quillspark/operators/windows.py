@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import ranked
@@ -88,6 +88,18 @@ def stitched(chunks: DataFrame, key: str, at: str, text: str) -> DataFrame:
     return chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), "").alias(text))
 
 
+def stitched_to_sentinel(chunks: DataFrame, key: str, at: str, text: str, sentinel: str) -> DataFrame:
+    """key, part (from 0), text: chunk texts joined in order up to each chunk that is the sentinel, which itself goes, as do the signs for start and end. What follows
+    the last sentinel is no part: it has not been closed."""
+    along = Window.partitionBy(key).orderBy(at)
+    is_end = F.col(text) == sentinel
+    ends = F.sum(F.when(is_end, 1).otherwise(0))
+    marked = chunks.withColumn("part", (ends.over(along) - F.when(is_end, 1).otherwise(0)).cast("int")).withColumn("__ends", ends.over(Window.partitionBy(key)))
+    plain = F.when(is_end, "").otherwise(F.regexp_replace(text, "<START>|<END>", ""))
+    closed = marked.filter(F.col("part") < F.col("__ends")).select(key, "part", at, plain.alias(text))
+    return closed.groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), "").alias(text))
+
+
 def characters(df: DataFrame, text: str) -> DataFrame:
     """Every character of every text with its number of occurrences, counted in each text before rows are dealt."""
     one = df.select(F.explode(F.split(text, "")).alias("char")).filter(F.col("char") != "")

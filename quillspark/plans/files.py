@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import growth, marks
 from ..operators import relational as R
 from ..sources import readers, sinks
+from ..sources.lookup import KeyStore, RowStore
 from ..storage import scratch_path
 from ..streaming import live
 from ..streaming.ledger import Ledger, append_stream
@@ -153,3 +156,15 @@ def printed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in a random order that every run repeats, with their places."""
     return R.shuffled(table(spark, sf_dir, "documents"), "doc_id", seed=3, column="place")
+
+
+@query("""WITH s AS (SELECT doc_id FROM documents ORDER BY ((doc_id % 1000003) * 7919 + 104729) % 1000003, doc_id LIMIT 5), n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)
+ SELECT 'key' AS found_by, d.* FROM documents d JOIN s USING (doc_id) UNION ALL SELECT 'number', n.* EXCLUDE (k) FROM n WHERE k IN (0, 150)""")
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by key, from a store in buckets, and by number, from one in chunks."""
+    where, docs = _folder(spark, "stores"), table(spark, sf_dir, "documents")
+    keys = [r["doc_id"] for r in R.sample(docs.select("doc_id"), "doc_id", 5, seed=1).collect()]  # five
+    by_key = KeyStore(spark, f"{where}/keys", "doc_id", 16).write(docs).get(keys)
+    rows = RowStore(spark, f"{where}/rows", "doc_id", 12).write(docs)
+    found = [by_key.withColumn("found_by", F.lit("key")), *(rows.get(n).withColumn("found_by", F.lit("number")) for n in (0, 150))]
+    return reduce(DataFrame.unionByName, found)

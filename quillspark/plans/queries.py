@@ -292,6 +292,25 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", W.encode(F.col("text"), index).alias("ids"))
 
 
+@query(f"""WITH {_VOCAB.format(t='conversations')}, chars AS (SELECT item_id, generate_subscripts(string_split(text, ''), 1) AS pos, unnest(string_split(text, '')) AS char FROM benchmark),
+ coded AS (SELECT item_id, list(coalesce(v.idx, (SELECT idx FROM vocab WHERE char = '<UNK>')) ORDER BY pos) AS ids FROM chars c LEFT JOIN vocab v ON v.char = c.char GROUP BY item_id)
+ SELECT item_id, list_concat(list_concat(list_concat([1], ids), [2]), list_transform(range(200), lambda i: 0))[1:200]::INTEGER[] AS ids FROM coded""")
+def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes cut or padded to one length, as a model takes them."""
+    index = W.Index(W.vocabulary(table(spark, sf_dir, "conversations"), "text", "@"))
+    return table(spark, sf_dir, "benchmark").select("item_id", W.encode(F.col("text"), index, 200).alias("ids"))
+
+
+@query("""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 20)) AS start FROM documents), c AS (SELECT doc_id, start, substr(text, start + 1, 20) AS w, start // 20 % 7 = 6 AS is_end FROM w),
+ p AS (SELECT *, sum(is_end::INTEGER) OVER (PARTITION BY doc_id ORDER BY start) - is_end::INTEGER AS part, sum(is_end::INTEGER) OVER (PARTITION BY doc_id) AS ends FROM c)
+ SELECT doc_id, part::INTEGER AS part, string_agg(CASE WHEN is_end THEN '' ELSE w END, '' ORDER BY start) AS w FROM p WHERE part < ends GROUP BY doc_id, part""")
+def stitched_to_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as a model returns them, every seventh being the sentinel, joined up to each."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w")))
+    sign = F.when(F.floor(F.col("start") / 20) % 7 == 6, F.lit("<START>done<END>")).otherwise(F.concat(F.lit("<START>"), "w", F.lit("<END>")))
+    return W.stitched_to_sentinel(W.windows(docs, "w", "disjoint", 20).withColumn("w", sign), "doc_id", "start", "w", "<START>done<END>")
+
+
 @query("SELECT item_id, text AS decoded, true AS same FROM benchmark")
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
@@ -362,6 +381,29 @@ def residual_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tex(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(X.has_residual_command(F.col("tex")), 1)).alias("residual"))
 
 
+@query(rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no::INTEGER AS line_no, {_TEX} AS tex FROM lines), b AS (SELECT *, strpos(tex, '\citep') - 1 AS k FROM t)
+ SELECT doc_id, line_no, k::INTEGER AS "begin", (CASE WHEN k >= 0 THEN k + length('\citep[see][p. 1]{{key}}') ELSE -1 END)::INTEGER AS stop, CASE WHEN k < 0 THEN 'none' END AS error FROM b""")
+def command_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first citation of each line begins and ends."""
+    return _tex(spark, sf_dir).select("doc_id", "line_no", markup.command_span_column(F.col("tex"), "\\citep").alias("s")).select("doc_id", "line_no", "s.begin", "s.stop", "s.error")
+
+
+@query("SELECT item_id, text || chr(10) || text AS text FROM benchmark")
+def decoded_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with the signs that a decoder leaves, cleaned."""
+    signs = F.concat(F.lit("<START>"), F.replace("text", F.lit("\n"), F.lit("<PAD>\n")), F.lit("<END><PAD><PAD> and more\n<UNK>"), "text")
+    return table(spark, sf_dir, "benchmark").select("item_id", X.clean_decoded(signs).alias("text"))
+
+
+@query(r"""WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM documents UNION SELECT DISTINCT unnest(string_split(replace(text, ' th', ' if '), ' ')) FROM benchmark)
+ SELECT token, CASE WHEN token = 'if' THEN '"if"' ELSE replace(replace(replace(replace(token, '\', '\\'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') END AS label FROM c WHERE token <> ''""")
+def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the documents and words of the benchmark as a chart's labels."""
+    chars = W.characters(spread(table(spark, sf_dir, "documents").select("text")), "text").select(F.col("char").alias("token"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.replace("text", F.lit(" th"), F.lit(" if ")), " ")).alias("token")).filter("token <> ''")
+    return chars.union(words).distinct().select("token", X.label_escaped(F.col("token")).alias("label"))
+
+
 _SIGNS = "'↭↫↷', chr(1) || chr(2) || chr(3)"
 _FIX = r"regexp_replace(regexp_replace({}, '\\cite[^{{}}]*?\{{[^{{}}]*\}}', '↫', 'g'), '\\ref[^{{}}]*?\{{[^{{}}]*\}}', '↷', 'g')"
 _NOISE_TEX = "translate(replace(replace(replace(tex, ' the ', ' te '), 'rn', 'm'), 'cl', 'd'), 'lO', '10')"
@@ -525,6 +567,26 @@ def mark_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.precision_recall(E.mark_counts(pairs, "t", "p", X.MARKS))
 
 
+@query(f"""WITH {LINES_SQL}, c AS (SELECT unnest(string_split({_MARKED}, '')) AS t, unnest(string_split(translate(translate(gt, 'qxzj', '↭↫↷j'), 'k', '↫'), '')) AS p FROM lines WHERE length(gt) > 0),
+ s AS (SELECT t, p, t IN ('↭', '↫', '↷') AS tm, p IN ('↭', '↫', '↷') AS pm FROM c),
+ e AS (SELECT t AS sign, (t = p)::INTEGER AS tp, 0 AS fp, (NOT pm)::INTEGER AS fn, 1 AS n FROM s WHERE tm UNION ALL SELECT p, 0, 1, 0, 0 FROM s WHERE pm AND p <> t),
+ g AS (SELECT CASE sign WHEN '↭' THEN 'inline' WHEN '↫' THEN 'cite' ELSE 'ref' END AS mark, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(n)::BIGINT AS n FROM e GROUP BY sign)
+ SELECT *, CASE WHEN n > 0 THEN CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END END AS precision, CASE WHEN n > 0 THEN CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END END AS recall,
+ CASE WHEN n > 0 THEN CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END END AS f1 FROM g""")
+def mark_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of predictions that have lost characters: the channel shortens words, never marks, so that aligned places are those of the text before it."""
+    rows = lines(spark, sf_dir).select(F.translate("gt", "qxzj", "↭↫↷↷").alias("t"), F.translate(F.translate("ocr", "qxzj", "↭↫↷j"), "k", "↫").alias("p"))
+    return E.mark_metrics(rows, "t", "p")
+
+
+@query(f"""WITH {LINES_SQL} SELECT doc_id, sum(levenshtein(ocr, gt))::BIGINT AS edits, sum(length(gt) - length(ocr))::BIGINT AS growth, count(*) AS n FROM lines GROUP BY doc_id""")
+def edit_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit scripts of all lines: how many operations there are, and how many more characters are put in than left out."""
+    rows = lines(spark, sf_dir).select("doc_id", editing.edit_script_column(F.col("ocr"), F.col("gt")).alias("ops"))
+    of = lambda op: F.size(F.filter("ops", lambda o: o["op"] == op))
+    return rows.groupBy("doc_id").agg(F.sum(F.size("ops")).alias("edits"), F.sum(of(editing.INSERT) - of(editing.DELETE)).alias("growth"), F.count(F.lit(1)).alias("n"))
+
+
 # --- boxes and marks
 
 #: Boxes lie in lines of twelve: one meets those beside it and those in the line above only.

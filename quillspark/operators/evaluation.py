@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.editing import aligned_column, with_word_distances, words
 from ..functions.text import MARKS, edit_distance, error_rate, has_residual_command, improvement, mask_inline_prediction, mask_inline_target
+from ..storage import stored
 from .confusion import aligned_pairs
 from .quantiles import quantiles
 
@@ -17,29 +16,16 @@ from .quantiles import quantiles
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _same_group(by: list[str], others: DataFrame) -> DataFrame:
-    return others.withColumnsRenamed({c: f"__{c}" for c in by})
-
-
-def with_quartiles(df: DataFrame, by: list[str], value: Column, *sums: Column) -> DataFrame:
-    """The columns of by, the sums, and q: the quartiles of a value in each group (null where it has none), by bracketed selection."""
-    summed = df.groupBy(*by).agg(*sums) if by else df.agg(*sums)
-    found = _same_group(by, quantiles(df, by, {"value": value}, QUARTILES).select(*by, "q"))
-    same = [summed[c].eqNullSafe(found[f"__{c}"]) for c in by] or [F.lit(True)]
-    return summed.join(found, reduce(Column.__and__, same), "left").select(*summed.columns, "q")
-
-
 def describe(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """By group count, mean, sample deviation, minimum, quartiles (exact, linear) and maximum."""
-    x = F.col(column)
-    rows = with_quartiles(df, by, x, F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-    return rows.select(*by, "n", "mean", "std", "min", *(F.col("q")[k].alias(f"q{p}") for k, p in enumerate((25, 50, 75))), "max")
+    kind = df.schema[column].dataType
+    rows = quantiles(df, by, {column: F.col(column)}, QUARTILES)
+    return rows.select(*by, "n", "mean", "std", F.col("min").cast(kind).alias("min"), *(F.col("q")[k].alias(f"q{p}") for k, p in enumerate((25, 50, 75))), F.col("max").cast(kind).alias("max"))
 
 
 def spread(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """By group count, mean, median, deviation and interquartile range."""
-    x = F.col(column)
-    rows = with_quartiles(df, by, x, F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    rows = quantiles(df, by, {column: F.col(column)}, QUARTILES)
     return rows.select(*by, "n", "mean", F.col("q")[1].alias("median"), "std", (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
@@ -87,19 +73,19 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 def report(df: DataFrame, **rates: tuple[str, str]) -> DataFrame:
     """The whole report as rows of metric and value: for each named rate with its columns before and after, mean, median, deviation and interquartile range of both
     and of the improvement, and the per cent of rows that did not get worse; all rounded to two places. All quartiles are found in the same passes."""
+    df = stored(df.select(*dict.fromkeys(c for pair in rates.values() for c in pair)), "report-rates")
     values = {}
     for name, (before, after) in rates.items():
         values |= {f"{name}_before": F.col(before), f"{name}_after": F.col(after), f"{name}_improvement": improvement(F.col(before), F.col(after))}
     worse = {name: F.count(F.when(F.coalesce(F.col(before) < F.col(after), F.lit(False)), 1)) for name, (before, after) in rates.items()}
-    means = [F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(k) for k, c in values.items()]
-    wide = df.agg(*means, *(F.try_divide(100.0 * (F.count(F.lit(1)) - w), F.count(F.lit(1))).alias(f"{name}_not_worse") for name, w in worse.items()))
-    found = quantiles(df, [], values, QUARTILES).agg(F.map_from_entries(F.collect_list(F.struct("name", "q"))).alias("q"))
+    wide = df.agg(*(F.try_divide(100.0 * (F.count(F.lit(1)) - w), F.count(F.lit(1))).alias(f"{name}_not_worse") for name, w in worse.items()))
+    found = quantiles(df, [], values, QUARTILES).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("mean", "std", "q")))).alias("s"))
     # a row each
     rows = wide.join(found, how="left", on=F.lit(True))
-    q = lambda k: F.try_element_at("q", F.lit(k))
     stats = []
     for k in values:
-        of = {"mean": F.col(f"{k}.mean"), "median": q(k)[1], "std": F.col(f"{k}.std"), "iqr": q(k)[2] - q(k)[0]}
+        s = F.try_element_at("s", F.lit(k))
+        of = {"mean": s["mean"], "median": s["q"][1], "std": s["std"], "iqr": s["q"][2] - s["q"][0]}
         stats += [F.round(x, 2).alias(f"{k}_{name}") for name, x in of.items()]
     flat = rows.select(*stats, *(F.round(f"{name}_not_worse", 2).alias(f"{name}_not_worse") for name in rates))
     return flat.unpivot([], flat.columns, "metric", "value")

@@ -52,25 +52,28 @@ def ranked_values(values: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: list[str], values: dict[str, Column], at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """The columns of by, name, n, and q, an array of the exact quantiles (linear between neighbours) of each named value in each group.
+    """The columns of by, name, n, mean, std (of a sample), min, max, and q, an array of the exact quantiles (linear between neighbours), of each named value in each group.
 
-    Nulls and numbers that are not finite are left out; a group without any other has no row. A null in a column of by is a group of its own.
-    The values are stored once, as numbers only, and read in each pass.
+    Nulls and numbers that are not finite are left out; a group without any other has an n of 0 and nulls. A null in a column of by is a group
+    of its own. The values are stored once, as numbers only, and read in each pass, so that what they are made from is evaluated once.
     """
     key = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0).alias("all"))
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in values.items())))
-    rows = df.select(key.alias("g"), each.alias("v")).select("g", "v.name", "v.x").filter("x IS NOT NULL AND NOT isnan(x)").filter(F.abs("x") < float("inf"))
     # -0.0 and 0.0 are one value
-    rows = stored(rows.withColumn("x", F.col("x") + 0.0), "quantile-values")
-    groups = stored(rows.groupBy("g", "name").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "quantile-groups")
+    finite = F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x") + 0.0).alias("x")
+    rows = stored(df.select(key.alias("g"), each.alias("v")).select("g", "v.name", "v.x").select("g", "name", finite), "quantile-values")
+    groups = rows.groupBy("g", "name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+    groups = stored(groups, "quantile-groups")
     place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
     both = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(q)), F.ceil(place(q))) for q in at))))
-    found = ranked_values(rows, groups.select("g", "name", "low", "high", F.explode(both).alias("rank")))
-    listed = found.groupBy("g", "name").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("m")).join(groups.select("g", "name", "n"), ["g", "name"])
+    found = ranked_values(rows.filter("x IS NOT NULL"), groups.filter("n > 0").select("g", "name", "low", "high", F.explode(both).alias("rank")))
+    maps = found.groupBy("g", "name").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("m"))
+    listed = groups.join(maps, ["g", "name"], "left")
 
     def between(q: float) -> Column:
         a, z = F.floor(place(q)), F.ceil(place(q))
-        low, high = F.element_at("m", a), F.element_at("m", z)
+        low, high = F.try_element_at("m", a), F.try_element_at("m", z)
         return F.when((a == z) | (low == high), low).otherwise((z - place(q)) * low + (place(q) - a) * high)
 
-    return listed.select(*(F.col("g").getField(c).alias(c) for c in by), "name", "n", F.array(*map(between, at)).alias("q"))
+    stats = (F.col("low").alias("min"), F.col("high").alias("max"), F.array(*map(between, at)).alias("q"))
+    return listed.select(*(F.col("g").getField(c).alias(c) for c in by), "name", "n", "mean", "std", *stats)

@@ -60,13 +60,14 @@ def hocr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.hocr_words(pages).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS line FROM documents WHERE text IS NOT NULL) SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INTEGER AS line_no, doc_id || ' ' || line AS line FROM w""")
+@query("""WITH w AS (SELECT doc_id, doc_id % 5 AS volume, regexp_replace(text, '[^ -~]', '', 'g') AS line FROM documents WHERE text IS NOT NULL) SELECT volume, (row_number() OVER (PARTITION BY volume ORDER BY doc_id) - 1)::INTEGER AS line_no, doc_id || ' ' || line AS line FROM w""")
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text file of many lines, read in pieces and numbered."""
-    where = _folder(spark, "lines")
-    lines = table(spark, sf_dir, "documents").filter("text IS NOT NULL").orderBy("doc_id").select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace("text", "[^ -~]", "")).alias("value"))
-    lines.coalesce(1).write.text(where)
-    return readers.numbered_lines(spark, where).select("line_no", "line")
+    """Five text files of many lines, each written in order by a task of its own, read in pieces and numbered."""
+    where, docs = f"{_folder(spark, 'lines')}/volumes", table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace("text", "[^ -~]", "")).alias("value")
+    docs.withColumn("volume", F.col("doc_id") % 5).repartition(5, "volume").sortWithinPartitions("volume", "doc_id").select("volume", line).write.partitionBy("volume").text(where)
+    read = [readers.numbered_lines(spark, f"{where}/volume={k}").withColumn("volume", F.lit(k).cast("long")) for k in range(5)]
+    return reduce(DataFrame.unionByName, read).select("volume", "line_no", "line")
 
 
 @query("""SELECT conv_id::VARCHAR AS filename, turn::VARCHAR AS page, text AS gt, translate(text, 'lO', '10') AS ocr FROM conversations WHERE text IS NOT NULL""")

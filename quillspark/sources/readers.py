@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import hadoop_path
+from ..storage import hadoop_path, stored
 
 TEXTS = T.MapType(T.StringType(), T.StructType().add("PDF", "string").add("OCR", "string"))
 
@@ -41,9 +41,10 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """doc, line_no, line of text files. Large files are read in pieces by many tasks; a line's number is its place in its piece plus the number of lines in the pieces before."""
+    """doc, line_no, line of text files. Large files are read in pieces by many tasks; a line's number is its place in its piece plus the number of lines in the
+    pieces before. The lines are stored once with the pieces that this reading made, and counted there."""
     piece = (F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"))
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("line"), *piece, F.monotonically_increasing_id().alias("__id"))
+    rows = stored(spark.read.text(path).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("line"), *piece, F.monotonically_increasing_id().alias("__id")), "lines")
     counts = rows.groupBy("__path", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__path", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -155,7 +155,9 @@ def aligned_column(ocr: Column, gt: Column, gt_types: Column | None = None, ocr_
         return pd.DataFrame(rows, columns=["ocr_aligned", "gt_aligned", "ocr_types", "gt_types"], dtype=object)
 
     none = F.lit(None).cast("string")
-    return F.pandas_udf(of, "ocr_aligned string, gt_aligned string, ocr_types string, gt_types string")(ocr, gt, none if gt_types is None else gt_types, none if ocr_types is None else ocr_types)
+    # named as not deterministic so that filters on the aligned texts do not align them once more
+    aligning = F.pandas_udf(of, "ocr_aligned string, gt_aligned string, ocr_types string, gt_types string").asNondeterministic()
+    return aligning(ocr, gt, none if gt_types is None else gt_types, none if ocr_types is None else ocr_types)
 
 
 def _coded(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -6,18 +6,24 @@ deleting, then inserting, then replacing, so that results do not hang on a libra
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bitvectors as B
 from .text import edit_distance
 
 REPLACE, INSERT, DELETE = "replace", "insert", "delete"
 #: Beyond so many edits, sequences are cut in two at a place that a shortest script passes: history takes the square of the edits.
 MOST_WAVES = 1500
+#: Pairs of so many code points and more are tried with few edits first: waves take the square of the edits, bit vectors that of the length.
+LONG = 512
+#: Texts of so many code points together are aligned at once.
+SLICE = 1 << 21
 
 
 def _waves(src: Sequence, dst: Sequence, most: int) -> list[dict[int, int]] | None:
@@ -67,10 +73,15 @@ def edit_script(src: Sequence, dst: Sequence) -> list[tuple[str, int, int]]:
         if not half:
             return [*((INSERT, 0, j) for j in range(len(dst)))] if not len(src) else _one(src, dst)
         return edit_script(src[:half], dst[:cut]) + [(op, i + half, j + cut) for op, i, j in edit_script(src[half:], dst[cut:])]
-    out, k = [], len(src) - len(dst)
+    return _walk(waves, len(src), len(dst))
+
+
+def _walk(waves: list[dict[int, int]], n: int, m: int) -> list[tuple[str, int, int]]:
+    """The script back through the waves of sequences of n and m elements."""
+    out, k = [], n - m
     for d in range(len(waves) - 1, 0, -1):
         last = waves[d - 1]
-        i = min(max(last.get(k, -2) + 1, last.get(k - 1, -2) + 1, last.get(k + 1, -2)), len(src), len(dst) + k)
+        i = min(max(last.get(k, -2) + 1, last.get(k - 1, -2) + 1, last.get(k + 1, -2)), n, m + k)
         if last.get(k - 1, -2) + 1 >= i:
             out.append((DELETE, i - 1, i - k))
             k -= 1
@@ -96,50 +107,103 @@ def distance(src: Sequence, dst: Sequence) -> int:
     return len(waves) - 1 if waves is not None else len(edit_script(src, dst))
 
 
+def _path(script: list[tuple[str, int, int]], n: int) -> np.ndarray:
+    """A script for n source elements as operations with the matches between them."""
+    numbers = {REPLACE: B.REPLACE, INSERT: B.INSERT, DELETE: B.DELETE}
+    parts, i = [], 0
+    for op, sp, _ in script:
+        parts += [np.zeros(sp - i, np.uint8), np.array([numbers[op]], np.uint8)]
+        i = sp + (op != INSERT)
+    return np.concatenate([*parts, np.zeros(n - i, np.uint8)])
+
+
+def paths(src: Sequence[str], dst: Sequence[str]) -> list[np.ndarray]:
+    """For each pair of texts the operations of its edit_script with the matches between them, as numbers of bitvectors.
+
+    Pairs go through bit vectors in groups of like size; long ones with few edits, and those whose bits would not fit, through waves.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(src)
+    left, cut = [], []
+    for k, (a, b) in enumerate(zip(src, dst, strict=True)):
+        same = len(commonprefix((a, b)))
+        n, m = len(a) - same, len(b) - same
+        if not n or not m:
+            out[k] = np.concatenate([np.zeros(same, np.uint8), np.full(n, B.DELETE, np.uint8), np.full(m, B.INSERT, np.uint8)])
+            continue
+        fits = B.trace_bytes(n, m) <= B.TRACE_BYTES
+        if not fits:
+            out[k] = _path(edit_script(a, b), len(a))
+            continue
+        waves = _waves(a, b, max(n, m) // 128) if max(n, m) >= LONG else None
+        if waves is not None:
+            out[k] = _path(_walk(waves, len(a), len(b)), len(a))
+            continue
+        left.append(k)
+        cut.append(same)
+    rest = [(B.code_points(src[k][c:]), B.code_points(dst[k][c:])) for k, c in zip(left, cut, strict=True)]
+    for group in B.groups([(len(a), len(b)) for a, b in rest]):
+        for g, path in zip(group, B.paths([rest[g][0] for g in group], [rest[g][1] for g in group]), strict=True):
+            out[left[g]] = np.concatenate([np.zeros(cut[g], np.uint8), path])
+    return out
+
+
+def align_all(ocr: Sequence[str], gt: Sequence[str], gt_types: Sequence[str | None], ocr_types: Sequence[str | None]) -> list[tuple[str, str, str, str]]:
+    """align for many pairs at once."""
+    if not ocr:
+        return []
+    every = paths(ocr, gt)
+    op = np.concatenate(every)
+    kept, put, missing, extra = op != B.INSERT, op != B.DELETE, op == B.INSERT, op == B.DELETE
+    # every path reads its own texts to their ends, so that places run on over all pairs
+    i, j = np.maximum(np.cumsum(kept) - 1, 0), np.maximum(np.cumsum(put) - 1, 0)
+    flat = lambda texts: np.append(B.code_points("".join(texts)), np.uint32(0))
+    own = flat("W" * len(x) if t is None else t for x, t in zip(ocr, ocr_types, strict=True))[i]
+    true = flat("W" * len(x) if t is None else t for x, t in zip(gt, gt_types, strict=True))[j]
+    a, b = np.where(missing, ord("^"), flat(ocr)[i]), np.where(extra, ord("@"), flat(gt)[j])
+    s = np.where(missing, ord("^"), np.where(op == B.MATCH, true, own))
+    columns = [x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for x in (a, b, s, np.where(extra, ord("@"), true))]
+    ends = np.cumsum([len(x) for x in every]).tolist()
+    return [tuple(c[start:end] for c in columns) for start, end in zip([0, *ends], ends, strict=False)]
+
+
 def align(ocr: str, gt: str, gt_types: str | None = None, ocr_types: str | None = None) -> tuple[str, str, str, str]:
     """OCR text and ground truth padded to one length, and the types of both likewise.
 
     '^' stands in the OCR text where a ground-truth character is missing, '@' in the ground truth where the OCR text has one too many. A
     matched OCR character takes the ground truth's type, a replaced one keeps its own. Types default to 'W' everywhere.
     """
-    gt_types = "W" * len(gt) if gt_types is None else gt_types
-    ocr_types = "W" * len(ocr) if ocr_types is None else ocr_types
-    a, b, s, t = [], [], [], []
-    i = j = 0
-
-    def match(upto: int) -> None:
-        nonlocal i, j
-        n = upto - i
-        a.append(ocr[i:upto])
-        b.append(gt[j : j + n])
-        s.append(gt_types[j : j + n])
-        t.append(gt_types[j : j + n])
-        i, j = upto, j + n
-
-    for op, sp, _ in edit_script(ocr, gt):
-        match(sp)
-        if op == DELETE:
-            a.append(ocr[i])
-            b.append("@")
-            s.append(ocr_types[i])
-            t.append("@")
-            i += 1
-            continue
-        a.append("^" if op == INSERT else ocr[i])
-        b.append(gt[j])
-        s.append("^" if op == INSERT else ocr_types[i])
-        t.append(gt_types[j])
-        j += 1
-        i += op == REPLACE
-    match(len(ocr))
-    return "".join(a), "".join(b), "".join(s), "".join(t)
+    return align_all([ocr], [gt], [gt_types], [ocr_types])[0]
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Parts of a batch with SLICE code points or one row each."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > SLICE:
+            yield start, k
+            start, total = k, 0
+        total += size
+    yield start, len(sizes)
 
 
 def edit_script_column(ocr: Column, gt: Column) -> Column:
     """The edit script as an array of (op, sp, dp); null where a side is null."""
+    names = {B.REPLACE: REPLACE, B.INSERT: INSERT, B.DELETE: DELETE}
+
+    def script(path: np.ndarray) -> list[dict]:
+        at = np.flatnonzero(path)
+        i, j = np.cumsum(path != B.INSERT), np.cumsum(path != B.DELETE)
+        ops = path[at]
+        return [{"op": names[o], "sp": x, "dp": y} for o, x, y in zip(ops.tolist(), (i[at] - (ops != B.INSERT)).tolist(), (j[at] - (ops != B.DELETE)).tolist(), strict=True)]
 
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else [{"op": op, "sp": i, "dp": j} for op, i, j in edit_script(x, y)] for x, y in zip(a, b, strict=True)], dtype=object)
+        out: list = [None] * len(a)
+        fit = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+        for start, end in _slices([len(a[k]) + len(b[k]) for k in fit]):
+            some = fit[start:end]
+            for k, path in zip(some, paths([a[k] for k in some], [b[k] for k in some]), strict=True):
+                out[k] = script(path)
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(of, "array<struct<op:string,sp:int,dp:int>>")(ocr, gt)
 
@@ -148,10 +212,13 @@ def aligned_column(ocr: Column, gt: Column, gt_types: Column | None = None, ocr_
     """The aligned texts and types as a struct; its fields are null where a text is null, or a type string's length is not its text's."""
 
     def of(a: pd.Series, b: pd.Series, t: pd.Series, s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y, gt_t, ocr_t in zip(a, b, t, s, strict=True):
-            fits = x is not None and y is not None and (gt_t is None or len(gt_t) == len(y)) and (ocr_t is None or len(ocr_t) == len(x))
-            rows.append(align(x, y, gt_t, ocr_t) if fits else (None,) * 4)
+        rows: list[tuple] = [(None,) * 4] * len(a)
+        fits = lambda x, y, gt_t, ocr_t: x is not None and y is not None and (gt_t is None or len(gt_t) == len(y)) and (ocr_t is None or len(ocr_t) == len(x))
+        fit = [k for k, row in enumerate(zip(a, b, t, s, strict=True)) if fits(*row)]
+        for start, end in _slices([len(a[k]) + len(b[k]) for k in fit]):
+            some = fit[start:end]
+            for k, row in zip(some, align_all(*([c[k] for k in some] for c in (a, b, t, s))), strict=True):
+                rows[k] = row
         return pd.DataFrame(rows, columns=["ocr_aligned", "gt_aligned", "ocr_types", "gt_types"], dtype=object)
 
     none = F.lit(None).cast("string")

@@ -1,9 +1,11 @@
+import random
+
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.functions import editing, markup
+from quillspark.functions import bitvectors, editing, markup
 from quillspark.functions import text as X
 
 
@@ -168,3 +170,52 @@ def test_plain_text_and_labels(spark):
 def test_edit_script_column(spark):
     got = spark.createDataFrame([("cot", "cart"), (None, "a")], "a string, b string").select(editing.edit_script_column(F.col("a"), F.col("b")).alias("s")).collect()
     assert [tuple(x) for x in got[0]["s"]] == [("replace", 1, 1), ("insert", 2, 2)] and got[1]["s"] is None
+
+
+numbers = {"replace": 1, "insert": 2, "delete": 3}
+
+
+def by_waves(a, b):
+    """The path of edit_script, which walks through waves."""
+    out, i = [], 0
+    for op, sp, _ in editing.edit_script(a, b):
+        out += [0] * (sp - i) + [numbers[op]]
+        i = sp + (op != "insert")
+    return out + [0] * (len(a) - i)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(short, short), min_size=1, max_size=40))
+def test_paths_by_bit_vectors_are_those_of_scripts(pairs):
+    got = editing.paths([a for a, _ in pairs], [b for _, b in pairs])
+    assert [x.tolist() for x in got] == [by_waves(a, b) for a, b in pairs]
+
+
+def test_paths_of_many_blocks_and_narrow_bands():
+    draw = random.Random(3)
+    text = lambda n, alphabet: "".join(draw.choices(alphabet, k=n))
+    for copies in (1, 7):  # few pairs are walked back one by one, many together
+        t = text(700, "ab é漢😀")
+        cut, at = draw.randint(100, 250), draw.randint(0, 400)
+        pairs = [(t[:at] + t[at + cut :], t), (t, t[:at] + t[at + cut :]), (t[cut:] + t[:cut], t), (text(500, "ab"), text(650, "ab")), (t[:64], t[:129]), ("", t), (t, ""), ("x" + t, t + "y")]
+        want = [by_waves(a, b) for a, b in pairs]
+        got = editing.paths(*zip(*(pairs * copies), strict=True))
+        assert [x.tolist() for x in got] == want * copies
+        codes = [[bitvectors.code_points(x) for x in side] for side in zip(*pairs[:4], strict=True)]
+        for band in (1, 70, 150):
+            assert [x.tolist() for x in bitvectors.paths(*codes, band)] == want[:4]
+
+
+def test_pairs_beyond_the_bits_memory(monkeypatch):
+    a, b = "the cat sat on the mat " * 6, "the bat sat at the mat, " * 6
+    want = by_waves(a, b)
+    monkeypatch.setattr(bitvectors, "TRACE_BYTES", 100)
+    assert editing.paths([a, "x"], [b, "y"])[0].tolist() == want
+
+
+def test_alignment_does_not_hang_on_slices(monkeypatch):
+    rows = [("cot", "cart"), ("", ""), ("abxc", "abc"), ("", "ab"), ("ab", "")]
+    whole = editing.align_all(*zip(*rows, strict=True), [None] * 5, [None] * 5)
+    assert whole == [editing.align(a, b) for a, b in rows] and whole[3] == ("^^", "ab", "^^", "WW") and whole[4] == ("ab", "@@", "WW", "@@")
+    monkeypatch.setattr(editing, "SLICE", 4)
+    assert list(editing._slices([7, 0, 7, 2, 2])) == [(0, 1), (1, 2), (2, 3), (3, 5)] and list(editing._slices([])) == [(0, 0)]

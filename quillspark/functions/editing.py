@@ -7,15 +7,18 @@ deleting, then inserting, then replacing, so that results do not hang on a libra
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitvectors as B
-from .text import edit_distance
+from . import waves
 
 REPLACE, INSERT, DELETE = "replace", "insert", "delete"
 #: Beyond so many edits, sequences are cut in two at a place that a shortest script passes: history takes the square of the edits.
@@ -227,27 +230,27 @@ def aligned_column(ocr: Column, gt: Column, gt_types: Column | None = None, ocr_
     return aligning(ocr, gt, none if gt_types is None else gt_types, none if ocr_types is None else ocr_types)
 
 
-def _coded(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            rows.append((None, None))
-            continue
-        known: dict[str, str] = {}
-        code = lambda w: known.setdefault(w, chr(len(known) + (0x20 if len(known) < 0xD000 else 0x1000)))  # noqa: B023, E731
-        rows.append(("".join(map(code, x.split())), "".join(map(code, y.split()))))
-    return pd.DataFrame(rows, columns=["a", "b"], dtype=object)
+def _word_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    src, dst = a.to_pylist(), b.to_pylist()
+    out = np.zeros(len(src), np.int32)
+    fit = [k for k, (x, y) in enumerate(zip(src, dst, strict=True)) if x is not None and y is not None and x != y]
+    for start, end in _slices([len(src[k]) + len(dst[k]) for k in fit]):
+        some, known = fit[start:end], {}
+        sides = []
+        for texts in (src, dst):
+            coded = [[known.setdefault(w, len(known)) for w in texts[k].split()] for k in some]
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])
+            sides.append(waves.Texts(np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1])), ends))
+        out[some] = waves.distances(*sides)
+    return pa.array(out, mask=np.asarray(pc.or_(a.is_null(), b.is_null())))
 
 
 def with_word_distances(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """Columns with the edits between the words (by white space) of two text columns each; null where a side is null.
 
-    Every different word of a pair becomes one code point, by a linear Arrow UDF, so that the banded distance over code points in the JVM is
-    the distance over words. A pair of texts may have a million different words.
+    Every different word becomes a number, so that the distance is that of edit_distance. A pair of texts may have a million different words.
     """
-    columns = df.columns
-    coded = df.withColumns({f"__{name}": F.pandas_udf(_coded, "a string, b string")(F.col(a), F.col(b)) for name, (a, b) in pairs.items()})
-    return coded.select(*columns, *(edit_distance(F.col(f"__{name}.a"), F.col(f"__{name}.b")).alias(name) for name in pairs))
+    return df.withColumns({name: F.arrow_udf(_word_distances, "int")(F.col(a), F.col(b)) for name, (a, b) in pairs.items()})
 
 
 def words(text: Column) -> Column:

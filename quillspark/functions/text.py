@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import waves
+
 INSERT_GAP, DELETE_GAP = "^", "@"
 #: One code for each kind of character, and its name.
 TYPE_NAMES = {
@@ -34,20 +39,21 @@ def corrected(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(" te "), F.lit(" the ")), F.lit("1"), F.lit("l"))
 
 
-#: Bands of edits that are tried one after the other.
-BANDS = (8, 32, 128, 512, 2048, 8192)
-
-
-def edit_distance(a: Column, b: Column) -> Column:
+def edit_distance(a: Column, b: Column, once: bool = False) -> Column:
     """Levenshtein distance over code points; null where a side is null.
 
-    Equal texts cost a comparison. Others are tried within bands that grow by a factor of four, so that the cost is the length times the
-    distance, and a pair that is d apart pays for bands up to 4 d only; a band that the texts' lengths rule out costs nothing. A fold over
-    the bands takes the first that holds, and evaluates none twice.
+    A pair costs the square of its edits, or where they are many that of its length over 64 (see waves). once names the column as not
+    deterministic, so that filters on it do not find it again; aggregates do not take it then but from a column of its own.
     """
-    within = lambda found, band: F.when(found >= 0, found).otherwise(F.call_function("levenshtein", a, b, band))
-    banded = F.aggregate(F.array(*map(F.lit, BANDS)), F.lit(-1), within, lambda found: F.when(found >= 0, found).otherwise(F.levenshtein(a, b)))
-    return F.when(a == b, F.lit(0)).when(a.isNotNull() & b.isNotNull(), banded)
+
+    def of(x: pa.Array, y: pa.Array) -> pa.Array:
+        differ = pc.fill_null(pc.not_equal(x, y), False)
+        out = np.zeros(len(x), np.int32)
+        out[np.flatnonzero(differ)] = waves.distances(waves.Texts.of(x.filter(differ)), waves.Texts.of(y.filter(differ)))
+        return pa.array(out, mask=np.asarray(pc.or_(x.is_null(), y.is_null())))
+
+    found = F.arrow_udf(of, "int")
+    return (found.asNondeterministic() if once else found)(a, b)
 
 
 def error_rate(distance: Column, reference_length: Column) -> Column:

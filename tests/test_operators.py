@@ -212,3 +212,24 @@ def test_places_by_document(spark):
     rows_in = [("a", 1, 4), ("a", 1, 2), ("b", 1, 3), ("b", 1, 1), ("b", 2, 9)]
     df = spark.createDataFrame(rows_in, "doc string, page int, mark_id int")
     assert rows(marks.reading_order(df)) == [("a", 1, 2, 1), ("a", 1, 4, 2), ("b", 1, 1, 1), ("b", 1, 3, 2), ("b", 2, 9, 1)]
+
+
+def test_boxes_by_page_are_those_of_the_join(spark, monkeypatch):
+    """A row with a page's boxes gives the pairs, best matches and words of the join, without an exchange; slices of one page too."""
+    import random
+
+    rng = random.Random(3)
+    box = lambda k: (k, *(lambda x, y: (x, y, x + rng.randrange(150), y + rng.randrange(150)))(rng.randrange(-300, 300), rng.randrange(-300, 300)))
+    sides = "array<struct<id:int,xmin:int,ymin:int,xmax:int,ymax:int{}>>"
+    rows = [(page, [box(k) for k in range(40)], [(*box(k), f"w{k % 5}") for k in range(50)]) for page in range(3)] + [(7, [], []), (8, None, None)]
+    pages = spark.createDataFrame(rows, f"page long, left {sides.format('')}, right {sides.format(',text:string')}")
+    one = lambda c, s, *more: pages.select("page", F.inline(c)).select("page", F.col("id").alias(f"{s}_id"), *(F.col(x).alias(f"{s}_{x}") for x in ("xmin", "ymin", "xmax", "ymax", *more)))
+    pairs = S.overlaps(one("left", "l"), one("right", "r", "text"), pad=8)
+    best = S.best_matches(pairs.withColumn("iou", S.iou()), "iou", "r_xmin", "r_text")
+    monkeypatch.setattr(S, "SLICE", 60)
+    plain = lambda df, *columns: sorted(map(tuple, df.select(*columns).collect()))
+    assert plain(S.page_overlaps(pages, pad=8), "page", "l_id", "r_id") == plain(pairs, "page", "l_id", "r_id")
+    assert plain(S.page_matches(pages, pad=8), "page", "r_id", "l_id", "iou") == plain(best, "page", "r_id", "l_id", "iou")
+    merged = S.page_merged_words(pages, pad=8)
+    assert plain(merged, "page", "l_id", "ocr_text", "n_words") == plain(S.merged_words(best), "page", "l_id", "ocr_text", "n_words")
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()

@@ -23,8 +23,6 @@ from . import waves
 REPLACE, INSERT, DELETE = "replace", "insert", "delete"
 #: Beyond so many edits, sequences are cut in two at a place that a shortest script passes: history takes the square of the edits.
 MOST_WAVES = 1500
-#: Pairs of so many code points and more are tried with few edits first: waves take the square of the edits, bit vectors that of the length.
-LONG = 512
 #: Texts of so many code points together are aligned at once.
 SLICE = 1 << 21
 
@@ -123,24 +121,21 @@ def _path(script: list[tuple[str, int, int]], n: int) -> np.ndarray:
 def paths(src: Sequence[str], dst: Sequence[str]) -> list[np.ndarray]:
     """For each pair of texts the operations of its edit_script with the matches between them, as numbers of bitvectors.
 
-    Pairs go through bit vectors in groups of like size; long ones with few edits, and those whose bits would not fit, through waves.
+    Pairs go through waves in groups of like size; those with many edits for their length go through bit vectors, and those whose bits
+    would not fit through their own waves.
     """
-    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(src)
+    edits, out = waves.paths(waves.Texts.of(src), waves.Texts.of(dst))
     left, cut = [], []
-    for k, (a, b) in enumerate(zip(src, dst, strict=True)):
+    for k in np.flatnonzero(edits < 0).tolist():
+        a, b = src[k], dst[k]
         same = len(commonprefix((a, b)))
         n, m = len(a) - same, len(b) - same
         if not n or not m:
             out[k] = np.concatenate([np.zeros(same, np.uint8), np.full(n, B.DELETE, np.uint8), np.full(m, B.INSERT, np.uint8)])
             continue
-        fits = B.trace_bytes(n, m) <= B.TRACE_BYTES
-        if not fits:
+        if B.trace_bytes(n, m) > B.TRACE_BYTES:
             out[k] = _path(edit_script(a, b), len(a))
             continue
-        waves = _waves(a, b, max(n, m) // 128) if max(n, m) >= LONG else None
-        if waves is not None:
-            out[k] = _path(_walk(waves, len(a), len(b)), len(a))
-            continue
         left.append(k)
         cut.append(same)
     rest = [(B.code_points(src[k][c:]), B.code_points(dst[k][c:])) for k, c in zip(left, cut, strict=True)]
@@ -191,24 +186,27 @@ def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def edit_script_column(ocr: Column, gt: Column) -> Column:
     """The edit script as an array of (op, sp, dp); null where a side is null."""
-    names = {B.REPLACE: REPLACE, B.INSERT: INSERT, B.DELETE: DELETE}
-
-    def script(path: np.ndarray) -> list[dict]:
-        at = np.flatnonzero(path)
-        i, j = np.cumsum(path != B.INSERT), np.cumsum(path != B.DELETE)
-        ops = path[at]
-        return [{"op": names[o], "sp": x, "dp": y} for o, x, y in zip(ops.tolist(), (i[at] - (ops != B.INSERT)).tolist(), (j[at] - (ops != B.DELETE)).tolist(), strict=True)]
-
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        out: list = [None] * len(a)
-        fit = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
-        for start, end in _slices([len(a[k]) + len(b[k]) for k in fit]):
+    names = pa.array(["", REPLACE, INSERT, DELETE])
+
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        src, dst = a.to_pylist(), b.to_pylist()
+        none = [x is None or y is None for x, y in zip(src, dst, strict=True)]
+        ops, places, sizes = [np.zeros(0, np.uint8)], [np.zeros((2, 0), np.int32)], np.zeros(len(src), np.int32)
+        fit = [k for k, gone in enumerate(none) if not gone]
+        for start, end in _slices([len(src[k]) + len(dst[k]) for k in fit]):
             some = fit[start:end]
-            for k, path in zip(some, paths([a[k] for k in some], [b[k] for k in some]), strict=True):
-                out[k] = script(path)
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(of, "array<struct<op:string,sp:int,dp:int>>")(ocr, gt)
+            for k, path in zip(some, paths([src[k] for k in some], [dst[k] for k in some]), strict=True):
+                at = np.flatnonzero(path)
+                op = path[at]
+                ops.append(op)
+                places.append(np.stack([np.cumsum(path != B.INSERT)[at] - (op != B.INSERT), np.cumsum(path != B.DELETE)[at] - (op != B.DELETE)]).astype(np.int32))
+                sizes[k] = len(at)
+        sp, dp = np.concatenate(places, axis=1)
+        rows = pa.StructArray.from_arrays([names.take(pa.array(np.concatenate(ops))), pa.array(sp), pa.array(dp)], ["op", "sp", "dp"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, rows, mask=pa.array(none, pa.bool_()))
+
+    return F.arrow_udf(of, "array<struct<op:string,sp:int,dp:int>>")(ocr, gt)
 
 
 def aligned_column(ocr: Column, gt: Column, gt_types: Column | None = None, ocr_types: Column | None = None) -> Column:

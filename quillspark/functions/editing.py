@@ -122,7 +122,7 @@ def paths(src: Sequence[str], dst: Sequence[str]) -> list[np.ndarray]:
     """For each pair of texts the operations of its edit_script with the matches between them, as numbers of bitvectors.
 
     Pairs go through waves in groups of like size; those with many edits for their length go through bit vectors, and those whose bits
-    would not fit through their own waves.
+    would not fit one by one through waves that are not all kept.
     """
     edits, out = waves.paths(waves.Texts.of(src), waves.Texts.of(dst))
     left, cut = [], []
@@ -134,7 +134,8 @@ def paths(src: Sequence[str], dst: Sequence[str]) -> list[np.ndarray]:
             out[k] = np.concatenate([np.zeros(same, np.uint8), np.full(n, B.DELETE, np.uint8), np.full(m, B.INSERT, np.uint8)])
             continue
         if B.trace_bytes(n, m) > B.TRACE_BYTES:
-            out[k] = _path(edit_script(a, b), len(a))
+            one = waves.path_of_one(waves.Texts.of([a]), waves.Texts.of([b]))
+            out[k] = _path(edit_script(a, b), len(a)) if one is None else one
             continue
         left.append(k)
         cut.append(same)

@@ -88,3 +88,23 @@ def test_halves_lean_on_earlier_halves(spark, batch):
         assert spatial.hyphen_union(h.limit(0), w).count() == 0 and spatial.hyphen_union(h.filter(F.col("ord") == 0), w.limit(0)).count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_halves_of_pages_in_rows(spark):
+    """A row holds a page's words, in any order: the halves are those of the words dealt by page, which were dealt and swept one by one."""
+    rng = random.Random(4)
+    boxes = []
+    for page in range(40):
+        for o in range(rng.choice([1, 3, 60, 200])):
+            line, x = o // 8, (o % 8) * 30
+            broken = rng.random() < (0.95 if 40 < o < 90 else 0.3)
+            boxes.append((page, (o, broken, x, line, x + rng.choice([20, 25]), line + (rng.choice([1, 1, 1, -1]) if broken else 0), f"w{o}")))
+    rng.shuffle(boxes)
+    flat = spark.createDataFrame(boxes, "page long, b struct<ord: int, broken: boolean, xmin: int, ymin: int, xmax: int, ymax: int, word: string>").select("page", "b.*").cache()
+    held = flat.groupBy("page").agg(F.collect_list(F.struct(F.col("ord").alias("id"), "broken", "xmin", "ymin", "xmax", "ymax", "word")).alias("boxes"))
+    h, w = flat.filter("broken").drop("broken"), flat.filter("NOT broken").select("page", "ord", "xmin", "ymin", "xmax")
+    rows = lambda df: sorted(map(tuple, df.select("page", "ord", "half", "xmin", "y", "xmax", "word").collect()))
+    for reach, far in ((3, 4), (25, 5)):
+        halves, union = spatial.page_hyphen_halves(held, reach, far), spatial.page_hyphen_union(held, reach, far)
+        assert rows(halves) == rows(spatial.hyphen_halves(h, w, reach, far)) and rows(union) == rows(spatial.hyphen_union(h, w, reach, far)) != rows(halves)
+    assert rows(spatial.page_hyphen_union(held.limit(0))) == []

@@ -86,18 +86,22 @@ def with_preamble(text: Column) -> Column:
     return F.replace(text, F.lit("\\begin{document}"), F.lit(PREAMBLE + "\\begin{document}"))
 
 
+def _tokens(text: Column) -> Column:
+    body = F.regexp_extract(text, r"(?s)\\begin\{document\}(.*)\\end\{document\}", 1)
+    plain = F.regexp_replace(body, r"(?m)(?<!\\)%.*$", "")
+    return F.regexp_extract_all(plain, F.lit(r"(?s)\S*?\$[^$]*\$\S*|\S+"), 0)
+
+
 def segments(texts: DataFrame) -> DataFrame:
     """doc, pos, token: the words of a TeX document's body. Inline math is one word; comments go."""
-    body = F.regexp_extract("text", r"(?s)\\begin\{document\}(.*)\\end\{document\}", 1)
-    plain = F.regexp_replace(body, r"(?m)(?<!\\)%.*$", "")
-    return texts.select("doc", F.posexplode(F.regexp_extract_all(plain, F.lit(r"(?s)\S*?\$[^$]*\$\S*|\S+"), 0)).alias("pos", "token"))
+    return texts.select("doc", F.posexplode(_tokens(F.col("text"))).alias("pos", "token"))
 
 
 def with_marks(texts: DataFrame, kind: str) -> DataFrame:
-    """The words with a position mark before and after each, numbered in order, joined again by blanks."""
-    mark = lambda side: F.concat(F.lit(f"\\tikzmark{{{kind}{side}"), F.col("pos").cast("string"), F.lit("}"))
-    words = segments(texts).withColumn("marked", F.concat(mark("Start"), "token", mark("End")))
-    return words.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "marked"))), lambda w: w["marked"]), " ").alias("text"))
+    """The words with a position mark before and after each, numbered in order, joined again by blanks, in the row that holds the text. Texts without words have no row."""
+    mark = lambda side, at: F.concat(F.lit(f"\\tikzmark{{{kind}{side}"), at.cast("string"), F.lit("}"))
+    words = texts.select("doc", _tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    return words.select("doc", F.array_join(F.transform("words", lambda w, k: F.concat(mark("Start", k), w, mark("End", k))), " ").alias("text"))
 
 
 def _field(title: Column, pattern: str, kind: str, default: str = "NULL") -> Column:

@@ -233,3 +233,13 @@ def test_boxes_by_page_are_those_of_the_join(spark, monkeypatch):
     merged = S.page_merged_words(pages, pad=8)
     assert plain(merged, "page", "l_id", "ocr_text", "n_words") == plain(S.merged_words(best), "page", "l_id", "ocr_text", "n_words")
     assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_are_set_in_the_row_that_holds_the_text(spark):
+    """Words were dealt by document, with their marks."""
+    body = lambda t: f"\\begin{{document}}\n{t}\n\\end{{document}}"
+    tex = spark.createDataFrame([("a", body("x $y z$ % w\nv")), ("b", body("  ")), ("c", None), ("d", body("u"))], "doc string, text string")
+    marked = marks.with_marks(tex, "m")
+    assert "Exchange" not in marked._jdf.queryExecution().executedPlan().toString()
+    start, end = (lambda k: f"\\tikzmark{{mStart{k}}}"), (lambda k: f"\\tikzmark{{mEnd{k}}}")
+    assert rows(marked, "doc") == [("a", " ".join(f"{start(k)}{w}{end(k)}" for k, w in enumerate(["x", "$y z$", "v"]))), ("d", f"{start(0)}u{end(0)}")]

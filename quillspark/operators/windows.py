@@ -106,6 +106,18 @@ def characters(df: DataFrame, text: str) -> DataFrame:
     return one.groupBy("char").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_with_character(wins: DataFrame, key: str, start: str, window: str) -> DataFrame:
+    """char, and key and start (whole numbers, starts below 2^32) of the first window with it.
+
+    Both are one decimal, whose least one is found by hashing: a least pair would sort every window's characters in each task.
+    """
+    place = F.col(key).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(start)
+    chars = wins.select(place.alias("place"), F.explode(F.array_distinct(F.split(window, ""))).alias("char")).filter(F.col("char") != "")
+    best = chars.groupBy("char").agg(F.min("place").alias("place")).withColumn("low", F.pmod("place", F.lit(1 << 32).cast("decimal(10,0)")))
+    kinds = (wins.schema[key].dataType, wins.schema[start].dataType)
+    return best.select("char", ((F.col("place") - F.col("low")) / F.lit(1 << 32).cast("decimal(10,0)")).cast(kinds[0]).alias(key), F.col("low").cast(kinds[1]).alias(start))
+
+
 def vocabulary(df: DataFrame, text: str, *more: str) -> DataFrame:
     """char and idx: the characters in order, from 3 on, with those added and the sign for unknown ones."""
     added = df.sparkSession.createDataFrame([(c,) for c in (*more, UNKNOWN)], "char string")

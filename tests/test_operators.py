@@ -243,3 +243,12 @@ def test_marks_are_set_in_the_row_that_holds_the_text(spark):
     assert "Exchange" not in marked._jdf.queryExecution().executedPlan().toString()
     start, end = (lambda k: f"\\tikzmark{{mStart{k}}}"), (lambda k: f"\\tikzmark{{mEnd{k}}}")
     assert rows(marked, "doc") == [("a", " ".join(f"{start(k)}{w}{end(k)}" for k, w in enumerate(["x", "$y z$", "v"]))), ("d", f"{start(0)}u{end(0)}")]
+
+
+def test_first_window_with_a_character(spark):
+    """A least pair of key and start was found by sorting every window's characters."""
+    wins = spark.createDataFrame([(5, 0, "ab"), (5, 50, "c"), (-3, 100, "b"), (-3, 50, "bd"), (1 << 40, 0, "z"), (7, 0, ""), (7, 0, None)], "k long, s int, w string")
+    found = W.first_with_character(wins, "k", "s", "w")
+    assert found.dtypes == [("char", "string"), ("k", "bigint"), ("s", "int")]
+    assert rows(found, "char") == [("a", 5, 0), ("b", -3, 50), ("c", 5, 50), ("d", -3, 50), ("z", 1 << 40, 0)]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

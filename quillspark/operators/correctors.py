@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,44 +41,56 @@ def limit(seconds: float | None) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
+#: Rows whose corrected texts are handed back together.
+HANDED = 1024
+
+
 def correct(df: DataFrame, text: str, corrector: Corrector, out: str = "pred_text", error: str = "error", seconds: float | None = 120, at_once: int = 64) -> DataFrame:
     """The texts corrected, at_once at a time. A group that fails or takes longer than one text may is tried again text by text; a text that fails, or takes
     longer than so many seconds, has null and its error's name, and the others go on."""
+    return _corrected(df, text, {(out, error): corrector}, seconds, at_once)
+
 
-    def one(x: str | None) -> tuple[str | None, str | None]:
-        if x is None:
-            return None, None
+def _corrected(df: DataFrame, text: str, models: dict[tuple[str, str], Corrector], seconds: float | None, at_once: int = 64) -> DataFrame:
+    """Columns of texts and errors for each model. One worker of a task runs all models; it holds Python's texts of at_once rows, and the results of HANDED."""
+
+    def one(corrector: Corrector, x: str) -> tuple[str | None, str | None]:
         try:
             with limit(seconds):
                 return corrector([x])[0], None
         except Exception as failed:
             return None, type(failed).__name__
 
-    def group(texts: list[str | None]) -> list[tuple[str | None, str | None]]:
+    def group(corrector: Corrector, texts: list[str | None]) -> list[tuple[str | None, str | None]]:
         given = [x for x in texts if x is not None]
         try:
             with limit(seconds):
                 got = iter(corrector(given) if given else [])
             return [(None, None) if x is None else (next(got), None) for x in texts]
         except Exception:
-            return [one(x) for x in texts]
+            return [(None, None) if x is None else one(corrector, x) for x in texts]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            every = texts.tolist()
-            rows = [r for at in range(0, len(every), at_once) for r in group(every[at : at + at_once])]
-            yield pd.DataFrame(rows, columns=["text", "error"], dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    both = F.pandas_udf(run, "text string, error string")(F.col(text))
-    return df.withColumn("__both", both).withColumn(out, F.col("__both.text")).withColumn(error, F.col("__both.error")).drop("__both")
+            for start in range(0, len(texts), HANDED):
+                part, parts = texts.slice(start, HANDED), [[] for _ in range(2 * len(models))]
+                for at in range(0, len(part), at_once):
+                    every = part.slice(at, at_once).to_pylist()
+                    for k, corrector in enumerate(models.values()):
+                        for c, values in enumerate(zip(*group(corrector, every), strict=True)):
+                            parts[2 * k + c].append(pa.array(values, pa.string()))
+                yield pa.StructArray.from_arrays([pa.concat_arrays(p) for p in parts], [f"c{k}" for k in range(len(parts))])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    names = [name for pair in models for name in pair]
+    every = F.arrow_udf(run, ", ".join(f"c{k} string" for k in range(len(names))))(F.col(text))
+    held = df.withColumn("__all", every)
+    return held.withColumns({name: F.col("__all").getField(f"c{k}") for k, name in enumerate(names)}).drop("__all")
 
 
 def correct_by_all(df: DataFrame, text: str, models: dict[str, Corrector], seconds: float | None = 120) -> DataFrame:
     """A column of predictions for each named model, and one of its errors (<name>_error). A model that fails on a text takes nothing from the others."""
-    for name, model in models.items():
-        df = correct(df, text, model, name, f"{name}_error", seconds)
-    return df
+    return _corrected(df, text, {(name, f"{name}_error"): model for name, model in models.items()}, seconds)
 
 
 def correct_disjoint(df: DataFrame, key: str, text: str, corrector: Corrector, size: int = 50) -> DataFrame:

@@ -252,3 +252,13 @@ def test_first_window_with_a_character(spark):
     assert found.dtypes == [("char", "string"), ("k", "bigint"), ("s", "int")]
     assert rows(found, "char") == [("a", 5, 0), ("b", -3, 50), ("c", 5, 50), ("d", -3, 50), ("z", 1 << 40, 0)]
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_models_share_a_worker_and_hand_texts_back_in_parts(spark, monkeypatch):
+    """Each model had a worker of its own, that held all of a batch's texts and results."""
+    seen = lambda xs: [f"{x}{len(xs)}" for x in xs]
+    df = spark.createDataFrame([(k, None if k % 7 == 3 else f"t{k}-") for k in range(100)], "k long, t string").repartition(1)
+    monkeypatch.setattr(correctors, "HANDED", 16)
+    got = correctors.correct_by_all(df, "t", {"a": lambda xs: [x.upper() for x in xs], "b": seen})
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert [(r["k"], r["a"], r["a_error"], r["b_error"]) for r in got.orderBy("k").collect()] == [(k, None if k % 7 == 3 else f"T{k}-", None, None) for k in range(100)]

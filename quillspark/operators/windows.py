@@ -12,7 +12,7 @@ UNKNOWN = "<UNK>"
 
 
 #: Texts are cut into pieces of about so many characters before windows are taken, since a window's place in a string is found by counting from its start.
-PIECE = 512
+PIECE = 128
 
 
 def pieces(text: Column, size: int, after: int) -> Column:

@@ -262,3 +262,8 @@ def test_models_share_a_worker_and_hand_texts_back_in_parts(spark, monkeypatch):
     got = correctors.correct_by_all(df, "t", {"a": lambda xs: [x.upper() for x in xs], "b": seen})
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
     assert [(r["k"], r["a"], r["a_error"], r["b_error"]) for r in got.orderBy("k").collect()] == [(k, None if k % 7 == 3 else f"T{k}-", None, None) for k in range(100)]
+
+
+def test_pieces_are_short_for_their_windows():
+    """A window's place is found by counting from its piece's start: pieces of 512 made windows of 100 cost 1.4 times as much."""
+    assert W.PIECE <= 128

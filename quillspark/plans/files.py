@@ -62,11 +62,12 @@ def hocr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT doc_id, doc_id % 5 AS volume, regexp_replace(text, '[^ -~]', '', 'g') AS line FROM documents WHERE text IS NOT NULL) SELECT volume, (row_number() OVER (PARTITION BY volume ORDER BY doc_id) - 1)::INTEGER AS line_no, doc_id || ' ' || line AS line FROM w""")
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five text files of many lines, each written in order by a task of its own, read in pieces and numbered."""
+    """Five texts of many lines, each a folder of files that many tasks write in order, read in pieces and numbered."""
     where, docs = f"{_folder(spark, 'lines')}/volumes", table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace("text", "[^ -~]", "")).alias("value")
-    docs.withColumn("volume", F.col("doc_id") % 5).repartition(5, "volume").sortWithinPartitions("volume", "doc_id").select("volume", line).write.partitionBy("volume").text(where)
-    read = [readers.numbered_lines(spark, f"{where}/volume={k}").withColumn("volume", F.lit(k).cast("long")) for k in range(5)]
+    tasks = max(5, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs.withColumn("volume", F.col("doc_id") % 5).repartitionByRange(tasks, "volume", "doc_id").sortWithinPartitions("volume", "doc_id").select("volume", line).write.partitionBy("volume").text(where)
+    read = [readers.numbered_lines(spark, f"{where}/volume={k}", together=True).withColumn("volume", F.lit(k).cast("long")) for k in range(5)]
     return reduce(DataFrame.unionByName, read).select("volume", "line_no", "line")
 
 

@@ -40,13 +40,15 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """doc, line_no, line of text files. Large files are read in pieces by many tasks; a line's number is its place in its piece plus the number of lines in the
+def numbered_lines(spark: SparkSession, path: str, together: bool = False) -> DataFrame:
+    """doc, line_no, line of text files; together: of all files of a folder as one text, in the order of their names. Large files are read in pieces by many tasks; a line's number is its place in its piece plus the number of lines in the
     pieces before. The lines are stored once with the pieces that this reading made, and counted there."""
     piece = (F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"))
     rows = stored(spark.read.text(path).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("line"), *piece, F.monotonically_increasing_id().alias("__id")), "lines")
     counts = rows.groupBy("__path", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each piece, not for each line
+    along = Window.orderBy("__path", "__block") if together else Window.partitionBy("__path").orderBy("__block")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__path", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     return rows.join(starts, ["__path", "__block"]).select("doc", (F.col("__id") - F.col("__first") + F.col("__start")).cast("int").alias("line_no"), "line")
 

@@ -63,3 +63,11 @@ def test_stream(spark, tmp_path):
     run = live.running_confusion(stream).writeStream.format("memory").queryName("pairs").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert {(r["pdf_letters"], r["ocr_letters"]): r["count"] for r in spark.table("pairs").collect()} == {("c", "c"): 1, ("o", "0"): 1, ("t", "t"): 1, ("a", "a"): 1, ("b", "b"): 1}
+
+
+def test_lines_of_a_folder_are_numbered_together(spark, tmp_path):
+    """Many tasks may write a text in order: one task each wrote and held a whole one before."""
+    where = str(tmp_path / "text")
+    spark.range(500).repartitionByRange(7, "id").sortWithinPartitions("id").select(F.col("id").cast("string")).write.text(where)
+    got = readers.numbered_lines(spark, where, together=True).select("line_no", "line").collect()
+    assert len(readers.listed(spark, where, "part-*")) == 7 and sorted((r[0], int(r[1])) for r in got) == [(k, k) for k in range(500)]

@@ -18,6 +18,10 @@ from .inputs import rated, table
 from .registry import query
 
 
+#: Folders that checkpoints of orders are written to.
+CHECKPOINTS = 64
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_path(spark, name)}/{name}"
 
@@ -36,15 +40,25 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT strftime(o_orderdate::DATE, '%Y%m') AS month, o_custkey // 7 * 7 AS step, o_totalprice FROM orders), c AS (SELECT max(month) AS newest, max(step) AS latest, count(DISTINCT month) AS files FROM r)
  SELECT 'result=' || newest AS newest, 'checkpoint=step-' || latest AS latest, files::INTEGER AS files, (SELECT count(*) FROM r WHERE month = newest) AS newest_rows, (SELECT count(*) FROM r WHERE step = latest) AS latest_rows FROM c""")
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as results by month and as checkpoints by customers: the last result by name and the checkpoint with the largest number, how many results there are, and the rows of both, read back."""
+    """Orders as results by month and as checkpoints by customers: the last result by name and the checkpoint with the largest number, how many results there are, and the rows of both, read back.
+
+    A checkpoint holds the steps since the one before it, and there are CHECKPOINTS of them at most, however many customers there are.
+    """
     where, orders = _folder(spark, "listing"), table(spark, sf_dir, "orders")
     orders.select(F.date_format("o_orderdate", "yyyyMM").alias("result"), "o_totalprice").repartition("result").write.partitionBy("result").csv(f"{where}/results")
-    step = F.concat(F.lit("step-"), (F.floor(F.col("o_custkey") / 7) * 7).cast("string"))
-    orders.select(step.alias("checkpoint"), "o_totalprice").repartition("checkpoint").write.partitionBy("checkpoint").csv(f"{where}/checkpoints")
+    steps = orders.select((F.floor(F.col("o_custkey") / 7) * 7).alias("step"), "o_totalprice")
+    least, most = steps.agg(F.min("step"), F.max("step")).first()
+    part = F.floor((F.col("step") - F.lit(least)) / F.lit((((most or 0) - (least or 0)) // CHECKPOINTS) + 1))
+    steps = steps.withColumn("part", part)
+    last = steps.groupBy("part").agg(F.concat(F.lit("step-"), F.max("step").cast("string")).alias("checkpoint"))
+    # CHECKPOINTS rows
+    steps.join(F.broadcast(last), "part", "left").select("checkpoint", "step", "o_totalprice").repartition("checkpoint").write.partitionBy("checkpoint").csv(f"{where}/checkpoints")
     newest, latest = readers.newest(spark, f"{where}/results", "result=*"), readers.latest_checkpoint(spark, f"{where}/checkpoints")
     name = lambda path: F.lit(path.rstrip("/").rpartition("/")[2])
-    rows = lambda path, n: readers.csv(spark, path, ["o_totalprice"], header=False).agg(F.count(F.lit(1)).alias(n))
-    both = rows(newest, "newest_rows").join(rows(latest, "latest_rows"), F.lit(True))
+    count = lambda n: F.count(F.lit(1)).alias(n)
+    own = F.col("step") == latest.rstrip("/").rpartition("-")[2]
+    held = readers.csv(spark, latest, ["step", "o_totalprice"], header=False).filter(own)
+    both = readers.csv(spark, newest, ["o_totalprice"], header=False).agg(count("newest_rows")).join(held.agg(count("latest_rows")), F.lit(True))
     return both.select(name(newest).alias("newest"), name(latest).alias("latest"), F.lit(len(readers.listed(spark, f"{where}/results", "result=*"))).alias("files"), "newest_rows", "latest_rows")
 
 

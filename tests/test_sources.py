@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quillspark.plans import files
 from quillspark.sources import readers, sinks
 from quillspark.streaming import live
 
@@ -71,3 +72,17 @@ def test_lines_of_a_folder_are_numbered_together(spark, tmp_path):
     spark.range(500).repartitionByRange(7, "id").sortWithinPartitions("id").select(F.col("id").cast("string")).write.text(where)
     got = readers.numbered_lines(spark, where, together=True).select("line_no", "line").collect()
     assert len(readers.listed(spark, where, "part-*")) == 7 and sorted((r[0], int(r[1])) for r in got) == [(k, k) for k in range(500)]
+
+
+def test_checkpoints_do_not_grow_with_customers(spark, tmp_path):
+    """20,000 customers had 2,858 folders of checkpoints."""
+    orders = spark.range(20_000).select(F.col("id").alias("o_custkey"), F.expr("date '2020-01-01' + cast(id % 90 as int)").alias("o_orderdate"), F.lit(1.5).alias("o_totalprice"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    made = []
+    folder, files._folder = files._folder, lambda s, name: made.append(str(tmp_path / name)) or made[-1]
+    try:
+        [row] = files.newest_files(spark, str(tmp_path)).collect()
+    finally:
+        files._folder = folder
+    assert row["latest"] == f"checkpoint=step-{19_999 // 7 * 7}" and row["latest_rows"] == 19_999 % 7 + 1 and row["files"] == 3
+    assert len(readers.listed(spark, f"{made[0]}/checkpoints", "checkpoint=*")) <= files.CHECKPOINTS

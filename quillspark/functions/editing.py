@@ -7,7 +7,6 @@ deleting, then inserting, then replacing, so that results do not hang on a libra
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
@@ -23,8 +22,8 @@ from . import waves
 REPLACE, INSERT, DELETE = "replace", "insert", "delete"
 #: Beyond so many edits, sequences are cut in two at a place that a shortest script passes: history takes the square of the edits.
 MOST_WAVES = 1500
-#: Texts of so many code points together are aligned at once.
-SLICE = 1 << 21
+#: Texts of so many code points together are aligned at once, and split into words.
+SLICE, SPLIT = 1 << 21, 1 << 23
 
 
 def _waves(src: Sequence, dst: Sequence, most: int) -> list[dict[int, int]] | None:
@@ -174,11 +173,12 @@ def align(ocr: str, gt: str, gt_types: str | None = None, ocr_types: str | None
     return align_all([ocr], [gt], [gt_types], [ocr_types])[0]
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Parts of a batch with SLICE code points or one row each."""
+def _slices(sizes: list[int], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Parts of a batch with most code points (SLICE if not given) or one row each."""
+    most = SLICE if most is None else most
     start = total = 0
     for k, size in enumerate(sizes):
-        if k > start and total + size > SLICE:
+        if k > start and total + size > most:
             yield start, k
             start, total = k, 0
         total += size
@@ -229,19 +229,32 @@ def aligned_column(ocr: Column, gt: Column, gt_types: Column | None = None, ocr_
     return aligning(ocr, gt, none if gt_types is None else gt_types, none if ocr_types is None else ocr_types)
 
 
-def _word_distances(a: pa.Array, b: pa.Array) -> pa.Array:
-    src, dst = a.to_pylist(), b.to_pylist()
-    out = np.zeros(len(src), np.int32)
-    fit = [k for k, (x, y) in enumerate(zip(src, dst, strict=True)) if x is not None and y is not None and x != y]
-    for start, end in _slices([len(src[k]) + len(dst[k]) for k in fit]):
-        some, known = fit[start:end], {}
-        sides = []
-        for texts in (src, dst):
-            coded = [[known.setdefault(w, len(known)) for w in texts[k].split()] for k in some]
-            ends = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])
-            sides.append(waves.Texts(np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1])), ends))
-        out[some] = waves.distances(*sides)
-    return pa.array(out, mask=np.asarray(pc.or_(a.is_null(), b.is_null())))
+def _words_of(texts: Sequence[pa.Array]) -> list[waves.Texts]:
+    """The texts with a number for each different word (by white space, as Python splits) in place of its signs; the same in all of the arrays."""
+    lists = [pc.utf8_split_whitespace(pc.fill_null(t, "")) for t in texts]
+    flat = pa.concat_arrays([x.flatten() for x in lists])
+    some = np.asarray(pc.binary_length(flat)) > 0
+    # texts that begin or end with white space have empty words there
+    numbers = np.asarray(flat.dictionary_encode().indices).astype(np.uint32)[some]
+    before, out, start = np.concatenate([[0], np.cumsum(some)]), [], 0
+    for x in lists:
+        ends = before[start + np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(x), dtype=np.int64))])]
+        out.append(waves.Texts(numbers[ends[0] : ends[-1]], ends - ends[0]))
+        start += int(np.asarray(pc.list_value_length(x), dtype=np.int64).sum())
+    return out
+
+
+def _word_distances(texts: Sequence[pa.Array], pairs: Sequence[tuple[int, int]]) -> list[pa.Array]:
+    """The edits between the words of two texts each; the texts are split once for all pairs."""
+    out = np.zeros((len(pairs), len(texts[0])), np.int32)
+    sizes = sum(np.asarray(pc.fill_null(pc.utf8_length(t), 0)).astype(np.int64) for t in texts)
+    for start, end in _slices(sizes.tolist(), SPLIT) if len(sizes) else ():
+        some = [t[start:end] for t in texts]
+        coded = _words_of(some)
+        for k, (a, b) in enumerate(pairs):
+            differ = np.flatnonzero(np.asarray(pc.fill_null(pc.not_equal(some[a], some[b]), False)))
+            out[k, start + differ] = waves.distances(coded[a].some(differ), coded[b].some(differ))
+    return [pa.array(found, mask=np.asarray(pc.or_(texts[a].is_null(), texts[b].is_null()))) for found, (a, b) in zip(out, pairs, strict=True)]
 
 
 def with_word_distances(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
@@ -249,7 +262,14 @@ def with_word_distances(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
 
     Every different word becomes a number, so that the distance is that of edit_distance. A pair of texts may have a million different words.
     """
-    return df.withColumns({name: F.arrow_udf(_word_distances, "int")(F.col(a), F.col(b)) for name, (a, b) in pairs.items()})
+    columns = list(dict.fromkeys(c for pair in pairs.values() for c in pair))
+    places = [(columns.index(a), columns.index(b)) for a, b in pairs.values()]
+
+    def of(*texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_word_distances(texts, places), list(pairs))
+
+    found = F.arrow_udf(of, ", ".join(f"`{name}` int" for name in pairs))(*(F.col(c) for c in columns))
+    return df.withColumn("__word_distances", found).withColumns({name: F.col("__word_distances")[name] for name in pairs}).drop("__word_distances")
 
 
 def words(text: Column) -> Column:
